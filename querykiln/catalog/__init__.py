@@ -1,0 +1,12 @@
+"""All registered queries: name -> (Spark query, DuckDB SQL)."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from querykiln.catalog import dataset, warehouse
+
+    out: dict = {}
+    for module in (warehouse, dataset):
+        out.update(module.QUERIES)
+    return out

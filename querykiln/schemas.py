@@ -1,13 +1,7 @@
-"""Record shapes, warehouse tables and vocabularies."""
+"""Record shapes and warehouse tables as DDL text, and vocabularies."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
 
 # ---- Fixed values: record keys and vocabularies -------------------------------------------
 SFT_REQUIRED_KEYS = [
@@ -39,16 +33,16 @@ TABLE_PREFIX = "ecom_v1"
 MONEY = "decimal(18,4)"
 RATE = "decimal(9,6)"
 
-SFT_CANDIDATE = T.StructType([T.StructField(k, T.StringType()) for k in SFT_REQUIRED_KEYS])
-CHAT_RECORD = _struct(
+SFT_CANDIDATE = ", ".join(f"{k} string" for k in SFT_REQUIRED_KEYS)
+CHAT_RECORD = (
     "example_id string, seed_id string, schema string, difficulty string, "
     "messages array<struct<role: string, content: string>>"
 )
-SCORED_RECORD = _struct(
+SCORED_RECORD = (
     "example_id string, condition string, difficulty string, result_equivalent boolean, "
     "error_class string, generated_sql string"
 )
-GENERATION_RECORD = _struct(
+GENERATION_RECORD = (
     "run_id string, eval_version string, schema string, split string, difficulty string, "
     "example_id string, model string, base_model string, adapter_path string, "
     "model_mode string, prompt_version string, schema_context_version string, "
@@ -56,49 +50,49 @@ GENERATION_RECORD = _struct(
     "quantization string, thinking boolean, thinking_budget int, thinking_tokens int, "
     "generated_tokens int"
 )
-EVAL_BUNDLE = _struct(
+EVAL_BUNDLE = (
     "examples array<struct<example_id: string, question_de: string, split: string, "
     "difficulty: string>>, contexts map<string,string>, prompt_template string, "
     "prompt_version string, eval_version string"
 )
-RUN_REGISTRY = _struct(
+RUN_REGISTRY = (
     "ord int, scope string, run string, label string, grp string"
 )
 
 WAREHOUSE = {
-    "dim_date": _struct(
+    "dim_date": (
         "date_key date not null, year bigint not null, quarter bigint not null, "
         "month bigint not null, day_of_month bigint not null, day_of_week bigint not null, "
         "iso_week bigint not null, is_weekend boolean not null, is_public_holiday boolean not null"
     ),
-    "categories": _struct(
+    "categories": (
         "category_id bigint not null, category_name string not null, parent_category_id bigint"
     ),
-    "products": _struct(
+    "products": (
         "product_id bigint not null, sku string not null, product_name string not null, "
         f"category_id bigint not null, list_price {MONEY} not null, "
         f"purchase_price {MONEY} not null, launched_on date not null, discontinued_on date"
     ),
-    "customers": _struct(
+    "customers": (
         "customer_id bigint not null, customer_number string not null, signup_date date not null, "
         "country_code string not null, postal_code string, segment string not null, "
         "newsletter_optin boolean not null, deleted_at timestamp"
     ),
-    "channels": _struct(
+    "channels": (
         "channel_id bigint not null, channel_name string not null, channel_type string not null, "
         f"commission_rate {RATE} not null"
     ),
-    "orders": _struct(
+    "orders": (
         "order_id bigint not null, customer_id bigint not null, channel_id bigint not null, "
         "order_date date not null, ship_date date, order_status string not null, "
         f"shipping_cost {MONEY} not null, payment_method string not null"
     ),
-    "order_items": _struct(
+    "order_items": (
         "order_item_id bigint not null, order_id bigint not null, product_id bigint not null, "
         f"quantity bigint not null, unit_price_gross {MONEY} not null, "
         f"discount_amount {MONEY} not null, tax_rate {RATE} not null"
     ),
-    "returns": _struct(
+    "returns": (
         "return_id bigint not null, order_item_id bigint not null, return_date date not null, "
         f"quantity_returned bigint not null, reason_code string not null, refund_amount {MONEY} not null"
     ),

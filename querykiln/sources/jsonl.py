@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from querykiln.functions.text import strip
 from querykiln.schemas import CONDITIONS, EVAL_BUNDLE, SFT_CANDIDATE, SFT_REQUIRED_KEYS
@@ -12,7 +11,7 @@ from querykiln.schemas import CONDITIONS, EVAL_BUNDLE, SFT_CANDIDATE, SFT_REQUIR
 FAILFAST = {"mode": "FAILFAST"}
 
 
-def parse_json(raw: Column, schema: T.StructType) -> Column:
+def parse_json(raw: Column, schema: str) -> Column:
     """Parsed record; malformed JSON fails the job, as a loader should."""
     return F.from_json(raw, schema, FAILFAST)
 
@@ -43,7 +42,7 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_jsonl(spark: SparkSession, path, schema: T.StructType,
+def read_jsonl(spark: SparkSession, path, schema: str,
                required: list[str] | None = None) -> DataFrame:
     """Typed records with their ordinal, and `missing_keys` if keys are required."""
     lines = read_lines(spark, path)
