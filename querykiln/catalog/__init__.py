@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from querykiln.catalog import dataset, warehouse
+    from querykiln.catalog import dataset, evaluation, warehouse
 
     out: dict = {}
-    for module in (warehouse, dataset):
+    for module in (warehouse, dataset, evaluation):
         out.update(module.QUERIES)
     return out

@@ -99,8 +99,7 @@ def axis_vocabulary_drift(spark, sf_dir: str) -> DataFrame:
 def prohibited_inputs(spark, sf_dir: str) -> DataFrame:
     """Train rows whose lineage names a prohibited source."""
     lineage = V.train(spark, sf_dir).select("example_id", F.col("source").alias("source_file"))
-    listed = spark.createDataFrame([(s,) for s in V.PROHIBITED], "source_file string")
-    return validation.prohibited_inputs(lineage, listed)
+    return validation.prohibited_inputs(lineage, V.PROHIBITED)
 
 
 def sql_lint(spark, sf_dir: str) -> DataFrame:
@@ -323,7 +322,7 @@ QUERIES = {
         UNION ALL SELECT 'axis_terminology', axis_terminology, count(*) FROM fx_train
         WHERE axis_terminology NOT IN ('literal', 'house_term') GROUP BY axis_terminology""", "fx_train")),
     "prohibited_inputs": (prohibited_inputs, with_views("""
-        SELECT source AS source_file, example_id FROM fx_train WHERE source IN ('src3', 'src7', 'src11')""",
+        SELECT example_id, source AS source_file FROM fx_train WHERE source IN ('src3', 'src7', 'src11')""",
         "fx_train")),
     "sql_lint": (sql_lint, """
         SELECT CAST(doc_id AS VARCHAR) AS example_id, rule FROM documents, (VALUES
