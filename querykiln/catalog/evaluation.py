@@ -49,12 +49,12 @@ def wrong_examples(spark, sf_dir: str) -> DataFrame:
 
 def latency_summary(spark, sf_dir: str) -> DataFrame:
     """Latency and token figures per model and condition, percentiles exact."""
-    rows, by = V.generations(spark, sf_dir), ["model", "condition"]
-    totals = rows.groupBy(*by).agg(
-        F.sum("latency_ms").alias("latency_sum"), F.sum("generated_tokens").alias("generated_tokens"))
-    ranks = lengths.nearest_rank(rows, "latency_ms", {"p50": 0.50, "p95": 0.95}, by)
-    return ranks.join(totals, by).select(
-        *by, "records", F.round(F.col("latency_sum") / F.col("records"), 4).alias("avg_latency_ms"),
+    by = ["model", "condition"]
+    ranks = lengths.nearest_rank(
+        V.generations(spark, sf_dir), "latency_ms", {"p50": 0.50, "p95": 0.95}, by,
+        {"generated_tokens": F.sum("generated_tokens")})
+    return ranks.select(
+        *by, "records", F.round(F.col("total") / F.col("records"), 4).alias("avg_latency_ms"),
         "p50", "p95", F.col("max").alias("max_latency_ms"), "generated_tokens")
 
 
@@ -78,7 +78,9 @@ def _triage(spark, sf_dir: str) -> DataFrame:
 
 
 def consensus_triage(spark, sf_dir: str) -> DataFrame:
-    return _triage(spark, sf_dir)
+    """Status per candidate, with the two verdicts spelled out."""
+    word = lambda c: F.when(F.col(c).isNull(), "missing").when(F.col(c), "equal").otherwise("different")
+    return _triage(spark, sf_dir).withColumns({c: word(c) for c in ["first_ok", "second_ok"]})
 
 
 def triage_summary(spark, sf_dir: str) -> DataFrame:
@@ -169,8 +171,8 @@ _TRIAGED = """
                  coalesce(bool_and(verdict) FILTER (run = 'run_b'), false) AS b
           FROM (SELECT run, example_id, coalesce(verdict, false) AS verdict FROM fx_scored WHERE condition = 'P0')
           GROUP BY example_id),
-    t AS (SELECT example_id, doc_id, CASE WHEN example_id IN (SELECT example_id FROM v) THEN coalesce(a, false) END AS first_ok,
-                 CASE WHEN example_id IN (SELECT example_id FROM v) THEN coalesce(b, false) END AS second_ok,
+    t AS (SELECT example_id, doc_id, CASE WHEN a IS NULL THEN 'missing' WHEN a THEN 'equal' ELSE 'different' END AS first_ok,
+                 CASE WHEN b IS NULL THEN 'missing' WHEN b THEN 'equal' ELSE 'different' END AS second_ok,
                  CASE WHEN a AND b THEN 'accepted' ELSE 'review' END AS status
           FROM fx_axis_eval LEFT JOIN v USING (example_id))"""
 _BY_RUN = """

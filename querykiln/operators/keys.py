@@ -58,16 +58,20 @@ def key_profile(train_keys: DataFrame, eval_keys: DataFrame | None = None) -> Da
 
 
 def join_profile(train_keys: DataFrame, profile: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Rows whose key is in the profile, with the profile's columns.
+    """Rows whose key is in the profile, with the profile's columns, from one pass over the rows.
 
-    The most frequent keys meet their rows through a broadcast of at most `hot_keys` rows;
-    all others go through an ordinary shuffled join. Together they cover every row.
+    The most frequent keys meet their rows through a broadcast of at most `hot_keys` rows. In
+    the shuffled join with all other keys these rows carry a spread-out stand-in for their key,
+    so no task receives more than a 1/`hot_keys` share because of one key.
     """
     by = ["label", "key"]
-    hot = profile.orderBy(F.col("copies").desc(), *by).limit(hot_keys)
-    marked = train_keys.join(F.broadcast(hot), by, "left")
-    kept = ["label", "ord", "first_ord", "copies", "in_eval"]
-    from_hot = marked.filter(F.col("copies").isNotNull()).select(*kept)
-    rest = marked.filter(F.col("copies").isNull()).select(*by, "ord")
-    cold = profile.join(F.broadcast(hot.select(*by)), by, "left_anti")
-    return from_hot.unionByName(rest.join(cold, by).select(*kept))
+    found = F.struct("first_ord", "copies", "in_eval")
+    hot = profile.orderBy(F.col("copies").desc(), *by).limit(hot_keys).select(*by, found.alias("hot"))
+    cold = profile.select(*by, found.alias("cold"))
+    spread = F.hex(F.xxhash64("label", "ord")).cast("binary")
+    marked = train_keys.join(F.broadcast(hot), by, "left").withColumn(
+        "key", F.when(F.col("hot").isNull(), F.col("key")).otherwise(spread))
+    return (
+        marked.join(cold, by, "left").select("label", "ord", F.coalesce("hot", "cold").alias("f"))
+        .filter(F.col("f").isNotNull()).select("label", "ord", "f.*")
+    )

@@ -40,40 +40,38 @@ def token_lengths(rendered: DataFrame, text_col: str = "text", marker: str = ASS
 
 
 def nearest_rank(rows: DataFrame, value: str, fractions: dict[str, float] = FRACTIONS,
-                 by: list[str] | None = None) -> DataFrame:
-    """Sorted value at index round((n-1)*f), half to even, per group.
+                 by: list[str] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Sorted value at index round((n-1)*f), half to even, per group, with total and extra sums.
 
     Works on the histogram: after one combined count per distinct value the window only sees
-    distinct values, so it does not grow with the number of rows.
+    distinct values, so it does not grow with the number of rows. `sums` are aggregates that
+    ride along in the same pass.
     """
-    by = by or []
-    histogram = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    by, sums = by or [], sums or {}
+    histogram = rows.groupBy(*by, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in sums.items()])
     group = Window.partitionBy(*by)
     running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.select(
-        *by, "_v", F.sum("_n").over(running).alias("_cum"), F.sum("_n").over(group).alias("_all"))
+    ranked = histogram.withColumns(
+        {"_cum": F.sum("_n").over(running), "_all": F.sum("_n").over(group)})
     picks = [
         F.min(F.when(F.col("_cum") > F.bround((F.col("_all") - 1) * F.lit(f)), F.col("_v"))).alias(name)
         for name, f in fractions.items()
     ]
     return ranked.groupBy(*by).agg(
-        F.max("_all").alias("records"), F.min("_v").alias("min"), *picks, F.max("_v").alias("max"))
+        F.max("_all").alias("records"), F.min("_v").alias("min"), *picks, F.max("_v").alias("max"),
+        F.sum(F.col("_v") * F.col("_n")).alias("total"), *[F.sum(n).alias(n) for n in sums])
 
 
 def token_length_report(lengths: DataFrame, limit: int) -> DataFrame:
-    """Distribution of lengths and how many records a length limit would hurt."""
-    over = lengths.groupBy("tokens", "prefix_tokens").agg(F.count(F.lit(1)).alias("_c")).agg(
-        F.coalesce(F.sum(F.when(F.col("tokens") > limit, F.col("_c"))), F.lit(0)).alias("over_limit"),
-        F.coalesce(F.sum(F.when(F.col("prefix_tokens") >= limit, F.col("_c"))), F.lit(0))
-        .alias("no_response_tokens"),
-    )
-    # Both sides are one-row aggregates; the join pairs these two rows.
-    return (
-        nearest_rank(lengths, "tokens").withColumn("_k", F.lit(1))
-        .join(over.withColumn("_k", F.lit(1)), "_k")
-        .select("records", "min", *FRACTIONS, "max", "over_limit",
-                F.col("over_limit").alias("response_truncated"), "no_response_tokens")
-    )
+    """Distribution of lengths and how many records a length limit would hurt; one pass."""
+    report = nearest_rank(lengths, "tokens", sums={
+        "over_limit": F.count_if(F.col("tokens") > limit),
+        "no_response_tokens": F.count_if(F.col("prefix_tokens") >= limit),
+    })
+    return report.select(
+        "records", "min", *FRACTIONS, "max", "over_limit",
+        F.col("over_limit").alias("response_truncated"), "no_response_tokens")
 
 
 def supervised_summary(lengths: DataFrame) -> DataFrame:

@@ -54,10 +54,14 @@ def rate_sums(wh: Warehouse, order_dims: dict[str, Column] | None = None,
     )
 
 
+def without_tax(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Exact net revenue `net` per dimension of sums that have one row per dimension and rate."""
+    return sums.groupBy(*by).agg(F.sum(net_of_tax(F.col("gross"), F.col("tax_rate"))).alias("net"))
+
+
 def net_revenue(sums: DataFrame, by: list[str]) -> DataFrame:
-    """Exact net revenue `net` of rate sums per dimension."""
-    per_rate = sums.groupBy(*by, "tax_rate").agg(F.sum("gross").alias("gross"))
-    return per_rate.groupBy(*by).agg(F.sum(net_of_tax(F.col("gross"), F.col("tax_rate"))).alias("net"))
+    """Net revenue of finer sums, brought to one row per dimension and rate first."""
+    return without_tax(sums.groupBy(*by, "tax_rate").agg(F.sum("gross").alias("gross")), by)
 
 
 # ---- categories ---------------------------------------------------------------------------
@@ -95,15 +99,11 @@ def leaf_categories(categories: DataFrame) -> DataFrame:
     return categories.join(parents, "category_id", "left_anti")
 
 
-def product_revenue(wh: Warehouse) -> DataFrame:
-    """Gross sums per product, tax rate and category."""
-    return rate_sums(wh, by_product=True).join(
-        wh.products.select("product_id", "product_name", "category_id"), "product_id")
-
-
 def category_sums(wh: Warehouse) -> DataFrame:
     """Gross sums per category and tax rate, small enough to meet the category tree."""
-    return product_revenue(wh).groupBy("category_id", "tax_rate").agg(F.sum("gross").alias("gross"))
+    per_product = rate_sums(wh, by_product=True).join(
+        wh.products.select("product_id", "category_id"), "product_id")
+    return per_product.groupBy("category_id", "tax_rate").agg(F.sum("gross").alias("gross"))
 
 
 # ---- revenue ------------------------------------------------------------------------------
@@ -115,7 +115,7 @@ def net_revenue_by_main_category(wh: Warehouse) -> DataFrame:
 
 
 def monthly_net(wh: Warehouse) -> DataFrame:
-    return net_revenue(rate_sums(wh, {"month": F.trunc("order_date", "month")}), ["month"])
+    return without_tax(rate_sums(wh, {"month": F.trunc("order_date", "month")}), ["month"])
 
 
 def net_revenue_by_month(wh: Warehouse) -> DataFrame:
@@ -364,7 +364,9 @@ def orders_without_returns(wh: Warehouse) -> DataFrame:
 # ---- rankings and windows -------------------------------------------------------------------
 
 def product_net(wh: Warehouse) -> DataFrame:
-    return net_revenue(product_revenue(wh), ["product_id", "product_name", "category_id"])
+    """Net revenue per product: one row per product meets the product table."""
+    net = without_tax(rate_sums(wh, by_product=True), ["product_id"])
+    return net.join(wh.products.select("product_id", "product_name", "category_id"), "product_id")
 
 
 def top_products(wh: Warehouse, n: int = 10) -> DataFrame:
@@ -405,7 +407,7 @@ def revenue_moving_avg(wh: Warehouse, months: int = 3) -> DataFrame:
 
 
 def category_net(wh: Warehouse) -> DataFrame:
-    return net_revenue(category_sums(wh), ["category_id"])
+    return without_tax(category_sums(wh), ["category_id"])
 
 
 def category_revenue_share(wh: Warehouse) -> DataFrame:

@@ -22,30 +22,25 @@ def missing_keys(raw: Column, required: list[str]) -> Column:
     return F.array_sort(F.array_except(wanted, F.json_object_keys(raw)))
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
+def read_lines(spark: SparkSession, path, batch: int = 0) -> DataFrame:
     """Non-blank lines `(raw, ordinal)`; ordinals sort like the lines of the files.
 
-    The ordinal is (file, block, row), because row ids alone do not follow file order once
-    several splits share a task.
+    The ordinal is (batch, file, block, row), because row ids alone do not follow file order
+    once several splits share a task.
     """
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("value").alias("raw"),
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("ordinal"),
-        )
-        .filter(strip(F.col("raw")) != "")
-    )
+    lines = spark.read.text(path).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ).filter(strip(F.col("raw")) != "")
+    return lines.select(
+        "raw", F.struct(F.lit(batch).alias("batch"), "file", "block",
+                        F.monotonically_increasing_id().alias("row")).alias("ordinal"))
 
 
-def read_jsonl(spark: SparkSession, path, schema: str,
-               required: list[str] | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path, schema: str, required: list[str] | None = None,
+               batch: int = 0) -> DataFrame:
     """Typed records with their ordinal, and `missing_keys` if keys are required."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, batch)
     columns = [F.col("ordinal"), parse_json(F.col("raw"), schema).alias("r")]
     if required:
         columns.append(missing_keys(F.col("raw"), required).alias("missing_keys"))
@@ -53,30 +48,38 @@ def read_jsonl(spark: SparkSession, path, schema: str,
     return lines.select(*columns).select("ordinal", *extra, "r.*")
 
 
-def read_sft(spark: SparkSession, path) -> DataFrame:
-    return read_jsonl(spark, path, SFT_CANDIDATE, SFT_REQUIRED_KEYS)
+def read_sft(spark: SparkSession, path, batch: int = 0) -> DataFrame:
+    return read_jsonl(spark, path, SFT_CANDIDATE, SFT_REQUIRED_KEYS, batch)
+
+
+def read_sft_batches(spark: SparkSession, data: str, known: list[str]) -> DataFrame:
+    """Candidates with the known files in front; each further one goes before the earlier ones."""
+    paths = [*reversed(known), data]
+    rows = read_sft(spark, paths[0], 0)
+    for batch, path in enumerate(paths[1:], 1):
+        rows = rows.unionByName(read_sft(spark, path, batch))
+    return rows
 
 
-def with_line_numbers(rows: DataFrame, ordinal: str = "ordinal",
-                      name: str = "line_number") -> DataFrame:
-    """Consecutive line numbers over all files.
+def line_numbers(found: DataFrame, lines: DataFrame, name: str = "line_number") -> DataFrame:
+    """Consecutive numbers, over all batches and files, for rows that carry an ordinal.
 
-    Rows are numbered inside their file block (a block is one input split), and each block is
-    shifted by the rows of the blocks before it. Only one row per block meets in one task.
+    A block is read by one task, so a row's place in it is the distance of its id to the
+    block's first id; blocks before it add their row counts. Only this table of one row per
+    block is ordered, and the records themselves are never moved to be numbered.
     """
-    block_key = [F.col(f"{ordinal}.file").alias("_file"), F.col(f"{ordinal}.block").alias("_block")]
-    keyed = rows.select("*", *block_key)
-    in_block = Window.partitionBy("_file", "_block").orderBy(ordinal)
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        keyed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    block = ["batch", "file", "block"]
+    parts = [F.col(f"ordinal.{b}").alias(b) for b in block]
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        lines.select(*parts, F.col("ordinal.row").alias("row")).groupBy(*block)
+        .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+        .select(*block, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     )
+    number = F.col("shift") + F.col("ordinal.row") - F.col("first") + 1
     return (
-        keyed.withColumn("_at", F.row_number().over(in_block))
-        .join(shifts, ["_file", "_block"])
-        .withColumn(name, (F.col("_shift") + F.col("_at")).cast("bigint"))
-        .drop("_file", "_block", "_at", "_shift")
+        found.select("*", *parts).join(blocks, block).withColumn(name, number)
+        .drop(*block, "first", "shift")
     )
 
 
