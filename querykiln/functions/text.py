@@ -72,15 +72,22 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     )
 
 
-def last_subsequence_index(tokens: Column, marker: Column) -> Column:
-    """0-based start of the last occurrence of `marker` in an array, -1 if there is none."""
-    width = F.size(marker)
-    starts = F.sequence(F.lit(1), F.size(tokens) - width + 1)
-    hits = F.filter(starts, lambda i: F.slice(tokens, i, width) == marker)
-    found = F.when(F.size(tokens) >= width, F.array_max(hits) - 1)
+def last_subsequence_index(tokens: Column, marker: Column, separator: str = " ") -> Column:
+    """0-based start of the last occurrence of `marker` in a token array, -1 if there is none.
+
+    Both arrays are compared in delimited form, which is one linear search per row; tokens (ids
+    or words) must not contain the separator.
+    """
+    sep = F.lit(separator)
+    wrap = lambda a: F.concat(sep, F.array_join(a.cast("array<string>"), separator), sep)
+    text, wanted = wrap(tokens), wrap(marker)
+    # Every token of the tail is followed by one separator.
+    tail = F.call_function("substring_index", text, wanted, F.lit(-1))
+    after = F.char_length(tail) - F.char_length(F.replace(tail, sep, F.lit("")))
+    found = (F.size(tokens) >= F.size(marker)) & F.contains(text, wanted)
     return F.when(
-        width == 0, F.raise_error(F.lit("marker tokens must not be empty")).cast("int")
-    ).otherwise(F.coalesce(found, F.lit(-1)))
+        F.size(marker) == 0, F.raise_error(F.lit("marker tokens must not be empty")).cast("int")
+    ).when(found, F.size(tokens) - F.size(marker) - after).otherwise(F.lit(-1))
 
 
 def sha256_hex(c: Column) -> Column:

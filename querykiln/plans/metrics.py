@@ -17,9 +17,15 @@ from querykiln.sources.warehouse import Warehouse
 
 CANCELLED = "cancelled"
 
+
 # A line's value is kept at four decimals, a quotient by VAT at eight.
-QUANTITY = F.col("quantity").cast("decimal(9,0)")
-GROSS = QUANTITY * F.col("unit_price_gross") - F.col("discount_amount")
+
+def charged_value() -> Column:
+    return F.col("quantity").cast("decimal(9,0)") * F.col("unit_price_gross")
+
+
+def line_gross() -> Column:
+    return charged_value() - F.col("discount_amount")
 
 
 def net_of_tax(gross: Column, tax_rate: Column) -> Column:
@@ -50,7 +56,7 @@ def rate_sums(wh: Warehouse, order_dims: dict[str, Column] | None = None,
     keys = [*dims, *(["product_id"] if by_product else []), "tax_rate"]
     return (
         wh.order_items.join(chosen, "order_id").groupBy(*keys)
-        .agg(F.sum("quantity").alias("quantity"), F.sum(GROSS).alias("gross"))
+        .agg(F.sum("quantity").alias("quantity"), F.sum(line_gross()).alias("gross"))
     )
 
 
@@ -133,7 +139,7 @@ def net_revenue_after_returns(wh: Warehouse) -> DataFrame:
     lines = wh.order_items.join(returns_per_item(wh.returns), "order_item_id", "left")
     orders = sold_orders(wh).select("order_id", F.trunc("order_date", "month").alias("month"))
     per_rate = lines.join(orders, "order_id").groupBy("month", "tax_rate").agg(
-        F.sum(GROSS).alias("gross"), F.sum(F.coalesce("refund", F.lit(0))).alias("refund"))
+        F.sum(line_gross()).alias("gross"), F.sum(F.coalesce("refund", F.lit(0))).alias("refund"))
     per_month = per_rate.groupBy("month").agg(
         F.sum(net_of_tax(F.col("gross"), F.col("tax_rate"))).alias("net"),
         F.sum("refund").cast("decimal(38,8)").alias("refund"))
@@ -165,8 +171,8 @@ def contribution_margin_by_channel(wh: Warehouse, commission_base: str = "gross"
         chosen = sold_orders(wh).select("order_id", "channel_id")
         sums = wh.order_items.join(chosen, "order_id").groupBy(
             "channel_id", "product_id", "tax_rate",
-        ).agg(F.sum("quantity").alias("quantity"), F.sum(GROSS).alias("gross"),
-              F.sum(QUANTITY * F.col("unit_price_gross")).alias("base"))
+        ).agg(F.sum("quantity").alias("quantity"), F.sum(line_gross()).alias("gross"),
+              F.sum(charged_value()).alias("base"))
     cost = F.col("quantity").cast("decimal(18,0)") * F.col("purchase_price")
     per_rate = (
         sums.join(wh.products.select("product_id", "purchase_price"), "product_id")
@@ -332,7 +338,7 @@ def null_state_counts(wh: Warehouse) -> DataFrame:
 def price_realisation(wh: Warehouse) -> DataFrame:
     """Charged value over list value of the quantity sold, per main category."""
     sold = sold_orders(wh).select("order_id")
-    charged = QUANTITY * F.col("unit_price_gross")
+    charged = charged_value()
     per_product = wh.order_items.join(sold, "order_id", "left_semi").groupBy("product_id").agg(
         F.sum("quantity").alias("quantity"), F.sum(charged).alias("charged"))
     list_value = F.col("quantity").cast("decimal(18,0)") * F.col("list_price")
