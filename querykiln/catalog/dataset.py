@@ -135,11 +135,13 @@ def ablation_subsets(spark, sf_dir: str) -> DataFrame:
 
 
 def dataset_manifest(spark, sf_dir: str) -> DataFrame:
-    """Axis counts of the manifest in long form, with the step plan of the set on every row."""
-    rows = V.train(spark, sf_dir)
-    plan = curation.step_plan(rows).withColumn("_k", F.lit(1))
-    counts = curation.axis_counts(rows).withColumn("_k", F.lit(1))
-    return counts.join(plan, "_k").drop("_k")
+    """Axis counts of the manifest in long form."""
+    return curation.axis_counts(V.train(spark, sf_dir))
+
+
+def step_plan(spark, sf_dir: str) -> DataFrame:
+    """Training steps that a set of this size leads to."""
+    return curation.step_plan(V.train(spark, sf_dir))
 
 
 def dataset_fingerprint(spark, sf_dir: str) -> DataFrame:
@@ -374,15 +376,15 @@ QUERIES = {
     "dataset_manifest": (dataset_manifest, with_views("""
         WITH long AS (
             UNPIVOT (SELECT axis_terminology, axis_structure, axis_time, difficulty FROM fx_train)
-            ON axis_terminology, axis_structure, axis_time, difficulty INTO NAME axis VALUE value),
-        n AS (SELECT count(*) AS records FROM fx_train),
+            ON axis_terminology, axis_structure, axis_time, difficulty INTO NAME axis VALUE value)
+        SELECT axis, value, count(*) AS "rows" FROM long GROUP BY axis, value""", "fx_train")),
+    "step_plan": (step_plan, with_views("""
+        WITH n AS (SELECT count(*) AS records FROM fx_train),
         p AS (SELECT records, CAST(ceil(ceil(records / 8) * 3.0) AS BIGINT) AS planned_steps FROM n)
-        SELECT axis, value, count(*) AS "rows", any_value(records) AS records,
-               any_value(planned_steps) AS planned_steps,
-               CAST(CASE WHEN any_value(planned_steps) < 20 THEN 0
-                    ELSE greatest(1, round_even(any_value(planned_steps) * CAST(0.03 AS DOUBLE), 0)) END AS BIGINT)
-                    AS warmup_steps
-        FROM long, p GROUP BY axis, value""", "fx_train")),
+        SELECT records, planned_steps,
+               CAST(CASE WHEN planned_steps < 20 THEN 0
+                    ELSE greatest(1, round_even(planned_steps * CAST(0.03 AS DOUBLE), 0)) END AS BIGINT)
+                    AS warmup_steps FROM p""", "fx_train")),
     "dataset_fingerprint": (dataset_fingerprint, """
         WITH h AS (SELECT sha256(concat_ws('|', doc_id, lang, source, text)) AS x FROM documents),
         s AS (SELECT count(*) AS records, """ + ", ".join(

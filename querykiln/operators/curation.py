@@ -132,18 +132,14 @@ def ablation_subsets(rows: DataFrame, seed: str = "0", sizes: list[int] = ABLATI
 def dataset_manifest(rows: DataFrame, version: str, row_text: Column, axes: list[str] = AXES,
                      ids: dict[str, list[str]] | None = None) -> DataFrame:
     """One row: version, counts per axis value as maps, and the content fingerprint."""
-    maps = axis_counts(rows, axes).groupBy().agg(*[
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.when((F.col("axis") == a) & F.col("value").isNotNull(), F.struct("value", "rows"))
-        ))).alias(a.removeprefix("axis_"))
-        for a in axes
-    ])
-    totals = rows.agg(F.count(F.lit(1)).alias("selected_candidates"),
-                      multiset_fingerprint(row_text).alias("candidate_sha256"))
-    manifest = (
-        maps.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
-        .withColumn("version", F.lit(version))
-    )
+    totals = rows.agg(F.count(F.lit(1)).alias("total"), multiset_fingerprint(row_text).alias("digest"))
+    cells = axis_counts(rows, axes).unionByName(totals, allowMissingColumns=True)
+    counts_of = lambda a: F.map_from_entries(F.array_sort(F.collect_list(
+        F.when((F.col("axis") == a) & F.col("value").isNotNull(), F.struct("value", "rows")))))
+    manifest = cells.agg(
+        F.lit(version).alias("version"), F.max("total").alias("selected_candidates"),
+        *[counts_of(a).alias(a.removeprefix("axis_")) for a in axes],
+        F.max("digest").alias("candidate_sha256"))
     for name, values in (ids or {}).items():
         manifest = manifest.withColumn(
             name, F.array(*[F.lit(v) for v in values]).cast("array<string>"))

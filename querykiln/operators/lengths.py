@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ def tokenizer_counter(encode_batch: Callable) -> Callable[[Column], Column]:
 
     Runs as an Arrow-batched pandas UDF; the default `word_count` needs no Python.
     """
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:

@@ -274,23 +274,22 @@ def order_count_vs_quantity_sold(wh: Warehouse) -> DataFrame:
 
 
 def return_rate_by_reason(wh: Warehouse) -> DataFrame:
-    """Returned quantity and refunds per reason, as a share of the quantity sold.
-
-    Sold orders only. The total is a one-row aggregate that a constant key attaches.
-    """
-    sold = sold_orders(wh).select("order_id")
-    lines = wh.order_items.join(sold, "order_id", "left_semi")
-    total = lines.agg(F.sum("quantity").alias("sold")).withColumn("k", F.lit(1))
+    """Returned quantity and refunds per reason, as a share of the quantity sold (sold orders only)."""
+    lines = wh.order_items.join(sold_orders(wh).select("order_id"), "order_id", "left_semi")
+    per_item = wh.returns.groupBy("order_item_id", "reason_code").agg(
+        F.count(F.lit(1)).alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
+        F.sum("refund_amount").alias("refund"))
     reasons = (
-        wh.returns.groupBy("order_item_id", "reason_code").agg(
-            F.count(F.lit(1)).alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
-            F.sum("refund_amount").alias("refund"))
-        .join(lines.select("order_item_id"), "order_item_id", "left_semi")
+        per_item.join(lines.select("order_item_id"), "order_item_id", "left_semi")
         .groupBy("reason_code").agg(
             F.sum("returns").alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
             F.sum("refund").alias("refund"))
     )
-    return reasons.withColumn("k", F.lit(1)).join(total, "k").select(
+    total = lines.agg(F.sum("quantity").alias("sold"))
+    # One row per reason and one for the total: the window spreads the total over them.
+    rows = reasons.unionByName(total, allowMissingColumns=True).withColumn(
+        "sold", F.max("sold").over(Window.partitionBy()))
+    return rows.filter("returns is not null").select(
         "reason_code", "returns", "quantity_returned", as_money(F.col("refund")).alias("refund_amount"),
         F.round(ratio(F.col("quantity_returned"), F.col("sold")), 6).alias("return_rate"))
 
