@@ -44,9 +44,9 @@ def build_chat(spark: SparkSession, data: str, template: str, context: str) -> D
     return chat.chat_records(rows, read(template), read(context))
 
 
-def eval_set(spark: SparkSession, path: str) -> DataFrame:
+def eval_set(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Eval examples, the last copy of an id counting."""
-    return scoring.latest_eval(jsonl.read_jsonl(spark, path, SFT_CANDIDATE), "ordinal")
+    return scoring.latest_eval(jsonl.read_jsonl(spark, path, SFT_CANDIDATE), "ordinal", columns)
 
 
 def scored_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def scored_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def analyze(spark: SparkSession, evaluation: str, results: list[str], axis: str | None) -> DataFrame:
     """Accuracy per file by one axis, or by all axes when none is given."""
-    scored, examples, keys = scored_files(spark, results), eval_set(spark, evaluation), ["file", "condition"]
+    scored, examples, keys = scored_files(spark, results), eval_set(spark, evaluation, AXES), ["file", "condition"]
     if axis:
         return scoring.accuracy_by_axis(scored, examples, axis, keys)
     return scoring.accuracy_all_axes(scored, examples, keys)
@@ -67,7 +67,7 @@ def analyze(spark: SparkSession, evaluation: str, results: list[str], axis: str
 
 def errors_only(spark: SparkSession, evaluation: str, results: list[str]) -> DataFrame:
     return scoring.wrong_examples(
-        scored_files(spark, results), eval_set(spark, evaluation), ["file", "condition"])
+        scored_files(spark, results), eval_set(spark, evaluation, scoring.WRONG_LABELS), ["file", "condition"])
 
 
 def compare_runs(spark: SparkSession, root: str, registry: str | None) -> tuple[DataFrame, DataFrame]:

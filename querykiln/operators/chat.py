@@ -65,20 +65,19 @@ def turn_contract(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     A conversation is never collected: counts and the first and last role are enough, so one
     with very many turns costs no more memory than a short one.
     """
-    blank = F.coalesce(strip(F.col(text_col)) == "", F.lit(True))
-    stats = turns.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("turns"),
-        F.min_by(role_col, turn_col).alias("first_role"),
-        F.max_by(role_col, turn_col).alias("last_role"),
-        F.count_if(blank).alias("blank_turns"),
-    )
-    roles_ok = (
-        (F.col("turns") == 2) & (F.col("first_role") == ROLES[0]) & (F.col("last_role") == ROLES[1])
-    )
-    return stats.withColumn(
-        "problem",
-        F.when(~F.coalesce(roles_ok, F.lit(False)), "roles").when(F.col("blank_turns") > 0, "empty content"),
-    )
+    # Small numbers only, so the aggregation hashes instead of sorting the texts.
+    facts = turns.select(
+        id_col, F.col(turn_col).alias("_turn"),
+        F.when(F.col(role_col) == ROLES[0], 0).when(F.col(role_col) == ROLES[1], 1).otherwise(2).alias("_role"),
+        F.coalesce(strip(F.col(text_col)) == "", F.lit(True)).alias("_blank"))
+    stats = facts.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("turns"), F.min_by("_role", "_turn").alias("first_role"),
+        F.max_by("_role", "_turn").alias("last_role"), F.count_if("_blank").alias("blank_turns"))
+    roles_ok = (F.col("turns") == 2) & (F.col("first_role") == 0) & (F.col("last_role") == 1)
+    return stats.select(
+        id_col, "turns", "blank_turns",
+        F.when(~F.coalesce(roles_ok, F.lit(False)), "roles").when(F.col("blank_turns") > 0, "empty content")
+        .alias("problem"))
 
 
 def records_from_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",

@@ -51,7 +51,7 @@ def next_version(base: DataFrame, removed: DataFrame, added: DataFrame,
         base.columns)
     if fixed is not None:
         old = kept.join(fixed.select("example_id").distinct(), "example_id", "left_anti")
-        repaired = fixed.join(kept.select("example_id"), "example_id", "left_semi")
+        repaired = fixed.join(kept.select("example_id").distinct(), "example_id", "left_semi")
         kept = old.select(base.columns).unionByName(repaired.select(base.columns))
     return kept.unionByName(added.select(base.columns))
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from querykiln.functions.numeric import count_true, ratio
 from querykiln.schemas import AXES
 
+WRONG_LABELS = [*AXES, "question_de"]
 
-def latest_eval(evaluation: DataFrame, order_col: str = "line_number") -> DataFrame:
-    """One row per example; of several the last one counts."""
-    keep = [c for c in evaluation.columns if c not in ("example_id", order_col)]
+
+def latest_eval(evaluation: DataFrame, order_col: str = "line_number",
+                columns: list[str] = AXES) -> DataFrame:
+    """One row per example with the wanted columns; of several copies the last one counts."""
     return (
         evaluation.groupBy("example_id")
-        .agg(F.max_by(F.struct(*keep), F.col(order_col)).alias("e"))
+        .agg(F.max_by(F.struct(*columns), F.col(order_col)).alias("e"))
         .select("example_id", "e.*")
     )
 
@@ -116,11 +118,10 @@ def run_gap(per_run: DataFrame, better: str, base: str, column: str,
 
 def wrong_examples(scored: DataFrame, evaluation: DataFrame, keys: list[str] = ["condition"]) -> DataFrame:
     """Rows that are not equivalent, with axis labels; examples outside the eval set are kept."""
-    labels = [*AXES, "question_de"]
     wrong = scored.filter(~F.coalesce(F.col("result_equivalent"), F.lit(False)))
     return (
         wrong.select(*keys, "example_id", "error_class")
-        .join(evaluation.select("example_id", *labels), "example_id", "left")
+        .join(evaluation.select("example_id", *WRONG_LABELS), "example_id", "left")
         .select(*keys, "example_id",
-                *[F.coalesce(F.col(c), F.lit("?")).alias(c) for c in labels], "error_class")
+                *[F.coalesce(F.col(c), F.lit("?")).alias(c) for c in WRONG_LABELS], "error_class")
     )

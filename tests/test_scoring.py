@@ -49,7 +49,7 @@ def test_runs_and_denominators(spark, scored, rows):
 
 
 def test_wrong_examples_keep_unmatched(scored, evaluation, rows):
-    got = rows(scoring.wrong_examples(scored, scoring.latest_eval(evaluation)).select(
+    got = rows(scoring.wrong_examples(scored, scoring.latest_eval(evaluation, columns=scoring.WRONG_LABELS)).select(
         "condition", "example_id", "axis_structure", "question_de", "error_class"))
     assert got == [("P0", "b", "cte", "?b", "x"), ("P1", "a", "flat", "?a2", "y"), ("P1", "z", "?", "?", None)]
 
