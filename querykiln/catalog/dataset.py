@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from querykiln.fixtures import views as V
 from querykiln.fixtures.oracle_views import with_views
-from querykiln.functions.text import last_subsequence_index, normalize, strip_sql_fences
+from querykiln.functions.text import (
+    drop_prefix, last_subsequence_index, normalize, strip_sql_fences, through_marker,
+)
 from querykiln.operators import chat, curation, lengths, triage, validation
 from querykiln.operators.lint import lint, passes_lint
 from querykiln.sources.jsonl import missing_keys, parse_json
@@ -202,6 +204,14 @@ def supervised_tokens(spark, sf_dir: str) -> DataFrame:
         "example_id", "tokens", "prefix_tokens", "supervised_tokens")
 
 
+def response_prefix(spark, sf_dir: str) -> DataFrame:
+    """Rendered conversations without a leading marker, and their text up to the answer."""
+    text = drop_prefix(F.concat(F.lit("<bos>"), "text"))
+    return _rendered(spark, sf_dir).select(
+        "example_id", F.char_length(text).cast("bigint").alias("chars"),
+        F.sha2(through_marker(text, lengths.ASSISTANT_MARKER), 256).alias("prefix_sha256"))
+
+
 def clean_outputs(spark, sf_dir: str) -> DataFrame:
     """Answers without fences, with and without the reasoning step."""
     return V.model_outputs(spark, sf_dir).select(
@@ -422,6 +432,10 @@ QUERIES = {
                count(*) FILTER (n > {TOKEN_LIMIT}) AS response_truncated,
                count(*) FILTER (p >= {TOKEN_LIMIT}) AS no_response_tokens
         FROM rendered""", "fx_examples")),
+    "response_prefix": (response_prefix, with_views("""
+        WITH r AS (SELECT example_id, e'<|im_start|>user\n' || text || e'<|im_end|>\n<|im_start|>assistant\n' AS p,
+                          gold_sql || e'<|im_end|>\n' AS q FROM fx_examples)
+        SELECT example_id, length(p) + length(q) AS chars, sha256(p) AS prefix_sha256 FROM r""", "fx_examples")),
     "supervised_tokens": (supervised_tokens, f"""
         WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts
                    FROM conversations GROUP BY conv_id HAVING roles = ['user', 'assistant']),

@@ -62,6 +62,13 @@ def result_equivalence(spark, sf_dir: str) -> DataFrame:
     return equivalence.equivalence(*V.results(spark, sf_dir))
 
 
+def result_row_diff(spark, sf_dir: str) -> DataFrame:
+    """Result rows that the gold and predicted tables do not share, with multiplicity."""
+    gold, predicted = V.results(spark, sf_dir)
+    return equivalence.tables_equal(gold, predicted).select(
+        "side", "example_id", F.col("row.c0").alias("customer"), F.col("row.c1").alias("cents"))
+
+
 def gold_nonempty_gate(spark, sf_dir: str) -> DataFrame:
     """Gold rows per example; the slots also hold months that no urgent order falls into."""
     o = V.table(spark, sf_dir, "orders")
@@ -121,6 +128,23 @@ def completeness(spark, sf_dir: str) -> DataFrame:
     return grid.completeness(labelled, done, CONDITIONS)
 
 
+def run_manifest(spark, sf_dir: str) -> DataFrame:
+    done = V.scored(spark, sf_dir).filter("run = 'run_a'")
+    labelled = V.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("example_id"))
+    return grid.run_manifest(done, labelled, ["P0", "P1"], "run_a", "model_a").drop("conditions")
+
+
+def shard_by_offset(spark, sf_dir: str) -> DataFrame:
+    """The second shard of fifty examples in file order."""
+    rows = V.axis_eval(spark, sf_dir).select("example_id", "line_number")
+    return grid.slice_shard(rows, offset=50, limit=50)
+
+
+def first_records(spark, sf_dir: str) -> DataFrame:
+    """The record limit of a training run, in file order."""
+    return grid.first_records(V.train(spark, sf_dir).select("example_id", "line_number"), 64)
+
+
 def resume_integrity(spark, sf_dir: str) -> DataFrame:
     """Both runs read as one results file: every P0 key is there twice, P1 was not selected."""
     return grid.resume_violations(V.scored(spark, sf_dir), ["P0"])
@@ -239,6 +263,23 @@ QUERIES = {
         pc AS (SELECT example_id, count(*) AS predicted_rows FROM p GROUP BY 1)
         SELECT example_id, gold_rows, predicted_rows, example_id NOT IN (SELECT example_id FROM bad) AS result_equivalent
         FROM gc JOIN pc USING (example_id)"""),
+    "result_row_diff": (result_row_diff, """
+        WITH g AS (SELECT o_orderstatus || ' ' || strftime(o_orderdate, '%Y-%m') AS example_id, o_orderkey AS k,
+                          o_custkey AS customer, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents FROM orders),
+        p AS (SELECT example_id, customer, CASE WHEN k % 997 = 0 THEN cents + 1 ELSE cents END AS cents FROM g
+              UNION ALL
+              SELECT example_id, customer, CASE WHEN k % 997 = 0 THEN cents + 1 ELSE cents END FROM g WHERE k % 1499 = 0)
+        SELECT 'left' AS side, * FROM (SELECT example_id, customer, cents FROM g EXCEPT ALL SELECT * FROM p)
+        UNION ALL
+        SELECT 'right', * FROM (SELECT * FROM p EXCEPT ALL SELECT example_id, customer, cents FROM g)"""),
+    "run_manifest": (run_manifest, with_views("""
+        WITH n AS (SELECT count(DISTINCT (condition, example_id)) AS records FROM fx_scored WHERE run = 'run_a')
+        SELECT 'run_a' AS run_id, 'model_a' AS model, records, records = 2 * (SELECT count(*) FROM labels) AS complete
+        FROM n""", "fx_scored")),
+    "shard_by_offset": (shard_by_offset, with_views(
+        "SELECT example_id, line_number FROM fx_axis_eval ORDER BY line_number LIMIT 50 OFFSET 50", "fx_axis_eval")),
+    "first_records": (first_records, with_views(
+        "SELECT example_id, line_number FROM fx_train ORDER BY line_number LIMIT 64", "fx_train")),
     "gold_nonempty_gate": (gold_nonempty_gate, """
         SELECT o_orderstatus || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS example_id,
                count(*) FILTER (o_orderpriority = '1-URGENT') AS "rows",

@@ -50,6 +50,12 @@ def dim_date(spark, sf_dir: str) -> DataFrame:
     return V.warehouse(spark, sf_dir).dim_date
 
 
+def products_per_main_category(spark, sf_dir: str) -> DataFrame:
+    """The recursive roll-up, over all products."""
+    wh = V.warehouse(spark, sf_dir)
+    return M.products_per_main_category(wh, M.category_roots(spark, wh.categories))
+
+
 def warehouse_conformance(spark, sf_dir: str) -> DataFrame:
     """NOT NULL and enumeration checks; the enumerations here are the reference ones, so the
     segments and channel names of the test data show up as outside."""
@@ -101,6 +107,21 @@ QUERIES = {
         SELECT channel_name, {money8('n8')} AS net_revenue, {money8('c8')} AS purchase_cost,
                {money8('m8')} AS commission, {money8('(n8 - c8 - m8)')} AS margin
         FROM parts""", "fx_lines", "fx_products", "fx_channels")),
+    "revenue_last_90_days": (_wh(M.revenue_last_days, V.SNAPSHOT), with_views(f"""
+        WITH recent AS (SELECT * FROM fx_lines
+            WHERE order_date BETWEEN DATE '2001-06-30' - INTERVAL 90 DAY AND DATE '2001-06-30')
+        SELECT channel_name, {money8('n8')} AS net_revenue
+        FROM ({_net_by('channel_id', 'recent')}) JOIN fx_channels USING (channel_id)""",
+        "fx_lines", "fx_channels")),
+    "revenue_period_compare": (_wh(M.revenue_period_compare, V.FIRST_HALF, V.SECOND_HALF), with_views(f"""
+        WITH {_CATEGORY}, one AS (SELECT * FROM sold WHERE order_date BETWEEN {_HALF1}),
+        two AS (SELECT * FROM sold WHERE order_date BETWEEN {_HALF2}),
+        a AS ({_net_by('category_id', 'one')}), b AS ({_net_by('category_id', 'two')}),
+        pairs AS (SELECT category_id, coalesce(a.n8, 0) AS x, coalesce(b.n8, 0) AS y
+                  FROM a FULL JOIN b USING (category_id))
+        SELECT category_name, {money8('x')} AS first_period, {money8('y')} AS second_period,
+               {money8('(y - x)')} AS change
+        FROM pairs JOIN fx_categories USING (category_id)""", "fx_lines", "fx_products", "fx_categories")),
     "active_customers_by_segment": (_wh(M.active_customers_by_segment, V.SNAPSHOT), with_views("""
         SELECT segment, count(*) AS active_customers FROM fx_customers c
         WHERE NOT is_deleted AND EXISTS (
@@ -188,6 +209,9 @@ QUERIES = {
         SELECT channel_name, count(*) AS orders FROM fx_orders JOIN fx_channels USING (channel_id)
         WHERE NOT is_cancelled AND order_id NOT IN (SELECT order_id FROM fx_returns)
         GROUP BY channel_name""", "fx_orders", "fx_channels", "fx_returns")),
+    "products_per_main_category": (products_per_main_category, with_views("""
+        SELECT main_category, count(*) AS products, count(*) FILTER (NOT discontinued) AS in_assortment
+        FROM fx_products JOIN fx_tree USING (category_id) GROUP BY main_category""", "fx_products", "fx_tree")),
     "top_products_by_revenue": (_wh(M.top_products), with_views(f"""
         WITH {_PRODUCT}
         SELECT product_name, product_id, {money8('n8')} AS net_revenue

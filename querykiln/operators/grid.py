@@ -29,9 +29,17 @@ def first_records(rows: DataFrame, n: int, order_col: str = "line_number") -> Da
 
 
 def slice_shard(rows: DataFrame, offset: int, limit: int, order_col: str = "line_number") -> DataFrame:
-    """Offset-then-limit shard in file order; a limit of 0 takes the rest."""
-    part = rows.orderBy(order_col).offset(offset)
-    return part.limit(limit) if limit else part
+    """Offset-then-limit shard in file order; a limit of 0 takes the rest.
+
+    Only offset + limit rows are ever ranked (the rest is what an anti-join with the first
+    `offset` rows leaves), so this suits small shards; `hash_shard` splits data of any size.
+    """
+    if limit:
+        return rows.orderBy(order_col).offset(offset).limit(limit)
+    if not offset:
+        return rows
+    skipped = rows.orderBy(order_col).limit(offset).select(order_col)
+    return rows.join(skipped, order_col, "left_anti").select(rows.columns)
 
 
 def hash_shard(rows: DataFrame, shard: int, shards: int, key: str = "example_id") -> DataFrame:

@@ -195,6 +195,31 @@ def contribution_margin_by_channel(wh: Warehouse, commission_base: str = "gross"
     )
 
 
+def revenue_last_days(wh: Warehouse, snapshot: str = SNAPSHOT_DATE, days: int = 90) -> DataFrame:
+    """Net revenue per channel in the days up to and including the snapshot."""
+    recent = sold_orders(wh).filter(
+        F.col("order_date").between(days_before(snapshot, days), F.lit(snapshot).cast("date")))
+    sums = rate_sums(wh, {"channel_id": F.col("channel_id")}, orders=recent)
+    return without_tax(sums, ["channel_id"]).join(wh.channels, "channel_id").select(
+        "channel_name", as_money(F.col("net")).alias("net_revenue"))
+
+
+def revenue_period_compare(wh: Warehouse, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
+    """Net revenue of each category in two periods and its change; one pass over the lines."""
+    inside = lambda p: F.col("order_date").between(F.lit(p[0]).cast("date"), F.lit(p[1]).cast("date"))
+    period = F.when(inside(one), "one").when(inside(two), "two")
+    orders = sold_orders(wh).filter(inside(one) | inside(two))
+    per_product = rate_sums(wh, {"period": period}, by_product=True, orders=orders).join(
+        wh.products.select("product_id", "category_id"), "product_id")
+    net = net_revenue(per_product, ["category_id", "period"])
+    of = lambda p: F.coalesce(F.sum(F.when(F.col("period") == p, F.col("net"))), F.lit(0))
+    both = net.groupBy("category_id").agg(of("one").alias("first"), of("two").alias("second"))
+    return both.join(wh.categories.select("category_id", "category_name"), "category_id").select(
+        "category_name", as_money(F.col("first")).alias("first_period"),
+        as_money(F.col("second")).alias("second_period"),
+        as_money(F.col("second") - F.col("first")).alias("change"))
+
+
 # ---- customers ----------------------------------------------------------------------------
 
 def active_customers(wh: Warehouse, snapshot: str = SNAPSHOT_DATE, days: int = 90) -> DataFrame:
@@ -366,6 +391,14 @@ def orders_without_returns(wh: Warehouse) -> DataFrame:
     return kept.join(wh.channels, "channel_id").select("channel_name", "orders")
 
 
+def products_per_main_category(wh: Warehouse, roots: DataFrame) -> DataFrame:
+    """Products below each main category, given the roots of a tree of any depth."""
+    per_category = wh.products.groupBy("category_id").agg(
+        F.count(F.lit(1)).alias("products"), F.count_if(F.col("discontinued_on").isNull()).alias("in_assortment"))
+    return per_category.join(roots, "category_id").groupBy("main_category").agg(
+        F.sum("products").alias("products"), F.sum("in_assortment").alias("in_assortment"))
+
+
 # ---- rankings and windows -------------------------------------------------------------------
 
 def product_net(wh: Warehouse) -> DataFrame:
