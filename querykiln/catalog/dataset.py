@@ -78,8 +78,8 @@ def known_batch_duplicates(spark, sf_dir: str) -> DataFrame:
                                        [V.known(spark, sf_dir), V.evaluation(spark, sf_dir)])
     rows = validation.complete(validation.union_batches(batches))
     found = validation.key_violations(rows, None, "position")
-    return found.select(F.col("position.batch").alias("batch"), F.col("position.line").alias("line_number"),
-                        "rule")
+    at = F.col("position")
+    return found.select(validation.batch_of(at).alias("batch"), validation.line_of(at).alias("line_number"), "rule")
 
 
 def quota_gap(spark, sf_dir: str) -> DataFrame:

@@ -27,12 +27,27 @@ def selected_conditions(text: str) -> list[str]:
 
 
 def validate(spark: SparkSession, data: str, evaluation: str, known: list[str] = (),
-             require_ready: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """Numbered violations of a candidate file, and the quota lines that are not met."""
-    rows = jsonl.read_sft_batches(spark, data, list(known))
-    held_out = jsonl.read_sft(spark, evaluation)
-    found = validation.violations(rows, held_out, "ordinal")
-    numbered = jsonl.line_numbers(found, rows).select("line_number", "rule", "detail")
+             require_ready: bool = False, ingested: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Numbered violations of a candidate file, and the quota lines that are not met.
+
+    With `ingested` all paths are Parquet copies made by the ingest job.
+    """
+    if ingested:
+        read = spark.read.parquet
+        batches = validation.prepend_known(read(data), [read(k) for k in known])
+        rows = validation.union_batches(batches)
+        found = validation.violations(rows, read(evaluation), "position")
+        # Lines count on over the batches, as if the files were one.
+        batch, shift = validation.batch_of(F.col("position")), F.lit(0)
+        before = [b.count() for b in batches[:-1]]
+        for i in range(1, len(batches)):
+            shift = F.when(batch >= i, F.lit(sum(before[:i]))).otherwise(shift)
+        numbered = found.select(
+            (validation.line_of(F.col("position")) + shift).alias("line_number"), "rule", "detail")
+    else:
+        rows = jsonl.read_sft_batches(spark, data, list(known))
+        found = validation.violations(rows, jsonl.read_sft(spark, evaluation), "ordinal")
+        numbered = jsonl.line_numbers(found, rows).select("line_number", "rule", "detail")
     quota = validation.quota_report(rows).filter(~F.col("met")) if require_ready else None
     return numbered, quota
 
@@ -118,6 +133,8 @@ def pending_prompts(spark: SparkSession, bundle: str, done: str | None, conditio
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="querykiln")
+    parser.add_argument("--shuffle-partitions", type=int,
+                        help="about the shuffled bytes divided by 200 MB; AQE merges what is too small")
     job = parser.add_subparsers(dest="job", required=True)
 
     p = job.add_parser("validate", help="check candidates against the held-out set")
@@ -125,8 +142,13 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--eval", required=True)
     p.add_argument("--known", action="append", default=[])
     p.add_argument("--require-ready", action="store_true")
+    p.add_argument("--ingested", action="store_true", help="all files are Parquet copies from the ingest job")
     p.add_argument("--out", help="write all violations to this folder")
 
+    p = job.add_parser("ingest", help="Parquet copy of candidates with line numbers")
+    p.add_argument("data")
+    p.add_argument("output")
+
     p = job.add_parser("build", help="write chat records")
     p.add_argument("data")
     p.add_argument("output")
@@ -179,9 +201,10 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
-    spark = spark or build_session()
+    spark = spark or build_session(shuffle_partitions=args.shuffle_partitions)
     if args.job == "validate":
-        found, quota = validate(spark, args.data, args.eval, args.known, args.require_ready)
+        found, quota = validate(
+            spark, args.data, args.eval, args.known, args.require_ready, args.ingested)
         if args.out:
             found.write.mode("errorifexists").parquet(args.out)
             found = spark.read.parquet(args.out)
@@ -192,7 +215,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             messages.append("dataset is not ready: difficulty quota is not met")
         print("\n".join(messages) if messages else f"Validated {args.data} without direct leakage.")
         return 1 if messages else 0
-    if args.job == "build":
+    if args.job == "ingest":
+        jsonl.ingest_sft(spark, args.data, args.output)
+    elif args.job == "build":
         sinks.write_jsonl(build_chat(spark, args.data, args.template, args.context), args.output)
     elif args.job == "analyze" and args.errors_only:
         wrong = errors_only(spark, args.eval, args.results)

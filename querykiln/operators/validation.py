@@ -22,11 +22,16 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size("missing_keys") == 0)
 
 
+BATCH_SPAN = 1 << 48
+
+
 def union_batches(batches: list[DataFrame], order_col: str = "line_number") -> DataFrame:
-    """Batches one after the other; the position becomes (batch, line)."""
+    """Batches one after the other; `position` orders by (batch, line).
+
+    Both numbers share one long, which keeps later aggregations over it hash-based.
+    """
     tagged = [
-        b.withColumn("position", F.struct(F.lit(i).alias("batch"), F.col(order_col).alias("line")))
-        for i, b in enumerate(batches)
+        b.withColumn("position", F.lit(i * BATCH_SPAN) + F.col(order_col)) for i, b in enumerate(batches)
     ]
     out = tagged[0]
     for batch in tagged[1:]:
@@ -34,6 +39,14 @@ def union_batches(batches: list[DataFrame], order_col: str = "line_number") -> D
     return out
 
 
+def batch_of(position: Column) -> Column:
+    return F.floor(position / F.lit(BATCH_SPAN)).cast("int")
+
+
+def line_of(position: Column) -> Column:
+    return position % F.lit(BATCH_SPAN)
+
+
 def prepend_known(data: DataFrame, known: list[DataFrame]) -> list[DataFrame]:
     """Batch order of the validator: each known file is put in front of what is there."""
     return [*reversed(known), data]

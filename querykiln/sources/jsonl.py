@@ -83,6 +83,15 @@ def line_numbers(found: DataFrame, lines: DataFrame, name: str = "line_number")
     )
 
 
+def ingest_sft(spark: SparkSession, path: str, out: str) -> None:
+    """Parquet copy of a candidate file with plain line numbers.
+
+    Later checks then read only the columns they need and order by a number instead of an ordinal.
+    """
+    rows = read_sft(spark, path)
+    line_numbers(rows, rows).drop("ordinal").write.mode("errorifexists").parquet(out)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row `(text)` for a whole template or context file."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))

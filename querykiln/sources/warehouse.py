@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,15 +43,22 @@ def open_warehouse(spark: SparkSession, directory: str) -> Warehouse:
     return Warehouse(**{t: spark.read.parquet(f"{directory}/{t}") for t in WAREHOUSE})
 
 
-def save_bucketed(wh: Warehouse, buckets: int, database: str = "default") -> None:
-    """Store the big tables bucketed on their join key, so fact joins need no exchange."""
-    plan = {
-        "orders": (wh.orders, "order_id"),
-        "order_items": (wh.order_items, "order_id"),
-        "products": (wh.products, "product_id"),
-    }
-    for name, (table, key) in plan.items():
+BUCKET_KEYS = {"orders": "order_id", "order_items": "order_id", "products": "product_id"}
+
+
+def save_bucketed(wh: Warehouse, path: str, buckets: int, database: str = "default") -> None:
+    """Store the big tables bucketed on their join key, so the fact join needs no exchange.
+
+    Rows are spread by the key before writing, so each bucket is one file and not one per task.
+    """
+    for name, key in BUCKET_KEYS.items():
+        table = getattr(wh, name)
         if table is not None:
-            table.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(
-                f"{database}.{name}"
-            )
+            (table.repartition(buckets, key).write.mode("overwrite").option("path", f"{path}/{name}")
+             .bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}"))
+
+
+def open_bucketed(spark: SparkSession, wh: Warehouse, database: str = "default") -> Warehouse:
+    """The warehouse with its big tables read from their bucketed copies."""
+    stored = {n: spark.table(f"{database}.{n}") for n in BUCKET_KEYS if getattr(wh, n) is not None}
+    return replace(wh, **stored)

@@ -33,6 +33,19 @@ def test_validate(spark, files, capsys):
     assert jobs.main(["validate", clean, "--eval", files["eval"]], spark) == 0
 
 
+def test_validate_ingested_copies(spark, files, rows):
+    known = write(files["dir"] / "k.jsonl", [example(1), "", example(7)])
+    second = write(files["dir"] / "k2.jsonl", [example(5)])
+    paths = {"data": files["data"], "eval": files["eval"], "known": known, "second": second}
+    for name, path in paths.items():
+        jobs.main(["ingest", path, str(files["dir"] / f"{name}.parquet")], spark)
+    copy = {n: str(files["dir"] / f"{n}.parquet") for n in paths}
+    plain, _ = jobs.validate(spark, files["data"], files["eval"], [known, second])
+    fast, _ = jobs.validate(spark, copy["data"], copy["eval"], [copy["known"], copy["second"]], ingested=True)
+    assert rows(fast) == rows(plain)
+    assert {r.line_number for r in fast.collect()} == {4, 6}
+
+
 def test_build_refuses_to_overwrite(spark, files):
     template, context = files["dir"] / "t.txt", files["dir"] / "c.md"
     template.write_text("{{schema_context}}\nFrage: {{question_de}}", "utf-8")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from querykiln.plans import calendar
 from querykiln.plans import metrics as M
 from querykiln.schemas import WAREHOUSE
-from querykiln.sources.warehouse import Warehouse
+from querykiln.sources.warehouse import Warehouse, open_bucketed, save_bucketed
 
 
 def day(text):
@@ -107,6 +107,21 @@ def test_results_do_not_depend_on_partitioning(wh, rows):
         assert rows(metric(spread)) == rows(metric(wh))
 
 
+def test_bucketed_fact_join_has_no_exchange(spark, wh, rows, tmp_path):
+    save_bucketed(wh, str(tmp_path), 4)
+    stored = open_bucketed(spark, wh)
+    assert rows(M.net_revenue_by_month(stored)) == rows(M.net_revenue_by_month(wh))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.rate_sums(stored, {})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in ("orders", "order_items", "products"):
+            spark.sql(f"DROP TABLE {name}")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the aggregation's own
+
+
 def test_category_trees_of_any_depth(spark, wh, rows):
     two = M.main_categories(wh.categories)
     assert rows(M.category_roots(spark, wh.categories)) == rows(two)
