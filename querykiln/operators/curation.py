@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querykiln.functions.numeric import multiset_fingerprint, ratio
 from querykiln.functions.text import digest
-from querykiln.operators.keys import join_profile, key_profile, sft_keys
+from querykiln.operators.keys import join_profile, key_profile, label_of, sft_keys
 from querykiln.schemas import (
     ABLATION_SIZES, AXES, CANDIDATE_BUDGET, HOUSE_TERM_BAND, READY_QUOTA,
 )
@@ -18,14 +18,15 @@ from querykiln.schemas import (
 def duplicate_values(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
     """Per duplicate key kind: values held more than once, and the later copies of them."""
     profile = key_profile(sft_keys(rows, order_col))
-    return profile.groupBy("label").agg(
-        F.count(F.lit(1)).alias("values"), F.sum(F.col("copies") - 1).alias("extra_copies"))
+    return profile.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("values"), F.sum(F.col("copies") - 1).alias("extra_copies"),
+    ).select(label_of(F.col("kind")).alias("label"), "values", "extra_copies")
 
 
 def leakage_hits(train: DataFrame, evaluation: DataFrame, order_col: str = "line_number") -> DataFrame:
     """Train rows whose seed, question or gold SQL is in the eval set."""
-    keys = sft_keys(train, order_col).filter(F.col("label") != "example_id")
-    eval_keys = sft_keys(evaluation, None).filter(F.col("label") != "example_id")
+    leaking = ["seed_id", "question", "gold_sql"]
+    keys, eval_keys = sft_keys(train, order_col, leaking), sft_keys(evaluation, None, leaking)
     found = join_profile(keys, key_profile(keys, eval_keys)).filter("in_eval")
     return found.select(F.col("ord").alias(order_col), "label")
 
