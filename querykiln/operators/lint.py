@@ -39,20 +39,24 @@ def unknown_tables(sql: Column, tables: list[str] = list(WAREHOUSE),
     return F.array_except(table_refs(sql), known)
 
 
+def broken_rules(sql: Column, bare: Column) -> dict[str, Column]:
+    """Each convention with the condition that breaks it."""
+    body = F.regexp_replace(bare, TRAILING_SEMICOLON, "")
+    return {
+        "table_prefix": F.size(unknown_tables(sql)) > 0,
+        "dynamic_time": bare.rlike(DYNAMIC_TIME),
+        "markdown_fence": F.contains(sql, F.lit("```")),
+        "comment": bare.rlike(COMMENT),
+        "single_query": F.contains(body, F.lit(";")),
+        "query_start": ~strip(bare).rlike(QUERY_START),
+    }
+
+
 def lint(rows: DataFrame, sql_col: str = "gold_sql", id_col: str = "example_id") -> DataFrame:
     """One `(id, rule)` row per broken convention."""
     sql = F.col(sql_col)
-    bare = F.col("bare")
-    body = F.regexp_replace(bare, TRAILING_SEMICOLON, "")
-    rules = [
-        ("table_prefix", F.size(unknown_tables(sql)) > 0),
-        ("dynamic_time", bare.rlike(DYNAMIC_TIME)),
-        ("markdown_fence", F.contains(sql, F.lit("```"))),
-        ("comment", bare.rlike(COMMENT)),
-        ("single_query", F.contains(body, F.lit(";"))),
-        ("query_start", ~strip(bare).rlike(QUERY_START)),
-    ]
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules]))
+    rules = broken_rules(sql, F.col("bare"))
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
     return (
         rows.select(id_col, sql_col, bare_sql(sql).alias("bare"))
         .select(id_col, F.explode(broken).alias("rule"))
@@ -60,11 +64,8 @@ def lint(rows: DataFrame, sql_col: str = "gold_sql", id_col: str = "example_id")
 
 
 def passes_lint(sql: Column) -> Column:
-    """Gate form of the rules above for one SQL column."""
-    bare = bare_sql(sql)
-    body = F.regexp_replace(bare, TRAILING_SEMICOLON, "")
-    return (
-        (F.size(unknown_tables(sql)) == 0) & ~bare.rlike(DYNAMIC_TIME)
-        & ~F.contains(sql, F.lit("```")) & ~bare.rlike(COMMENT)
-        & ~F.contains(body, F.lit(";")) & strip(bare).rlike(QUERY_START)
-    )
+    """Gate form: no convention is broken."""
+    good = F.lit(True)
+    for bad in broken_rules(sql, bare_sql(sql)).values():
+        good = good & ~bad
+    return good
