@@ -231,8 +231,8 @@ QUERIES = {
     "denominator_check": (denominator_check, with_views("""
         WITH f AS (SELECT run, condition, count(*) AS n, count(*) FILTER (difficulty = 'hard') AS h
                    FROM fx_scored GROUP BY ALL)
-        SELECT count(*) AS files, min(n) AS min_rows, max(n) AS max_rows, min(h) AS min_hard_rows,
-               min(n) = max(n) AND min(h) > 0 AS comparable FROM f""", "fx_scored")),
+        SELECT count(DISTINCT run) AS runs, count(*) AS files, min(n) AS min_rows, max(n) AS max_rows, min(h) AS min_hard_rows,
+               count(*) = 4 AND min(n) = max(n) AND min(h) > 0 AS comparable FROM f""", "fx_scored")),
     "wrong_examples": (wrong_examples, with_views("""
         SELECT s.run, s.condition, s.example_id, coalesce(e.axis_terminology, '?') AS axis_terminology,
                coalesce(e.axis_structure, '?') AS axis_structure, coalesce(e.axis_time, '?') AS axis_time,

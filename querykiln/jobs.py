@@ -86,14 +86,19 @@ def errors_only(spark: SparkSession, evaluation: str, results: list[str]) -> Dat
 
 
 def compare_runs(spark: SparkSession, root: str, registry: str | None) -> tuple[DataFrame, DataFrame]:
-    """P0/P1 and hard accuracy of all runs below a folder, and the equal-denominator check."""
+    """P0/P1 and hard accuracy of all runs below a folder, and the equal-denominator check.
+
+    With a registry only its runs count, in its order, and each must have both files.
+    """
     scored = runs.read_scored(spark, root).withColumn("condition", F.col("file_condition"))
-    per_run = scoring.accuracy_by_run(scored, ["scope", "run"])
-    if registry:
-        dim = spark.read.schema(RUN_REGISTRY).option("header", True).csv(registry)
-        labelled = runs.with_run_labels(per_run, dim)
-        scored = scored.join(dim.select("scope", "run"), ["scope", "run"], "left_semi")
-        per_run = labelled.orderBy("ord")
+    if not registry:
+        return scoring.accuracy_by_run(scored, ["scope", "run"]), scoring.denominator_check(scored, ["scope", "run"])
+    dim = spark.read.schema(RUN_REGISTRY).option("header", True).csv(registry)
+    absent = runs.missing_files(scored, dim, ["P0", "P1"]).first()
+    if absent is not None:
+        raise ValueError(f"no scored rows for {absent['scope']}/{absent['run']}/{absent['file_condition']}")
+    scored = scored.join(dim.select("scope", "run"), ["scope", "run"], "left_semi")
+    per_run = runs.with_run_labels(scoring.accuracy_by_run(scored, ["scope", "run"]), dim).orderBy("ord")
     return per_run, scoring.denominator_check(scored, ["scope", "run"])
 
 
@@ -105,7 +110,11 @@ def length_report(spark: SparkSession, data: str, limit: int, counter=lengths.wo
 
 
 def chat_problems(spark: SparkSession, data: str) -> DataFrame:
-    return chat.chat_contract_violations(jsonl.read_jsonl(spark, data, CHAT_RECORD))
+    """Broken chat records of a file, which must hold at least one record."""
+    records = jsonl.read_jsonl(spark, data, CHAT_RECORD)
+    if records.isEmpty():
+        raise ValueError(f"no chat records in {data}")
+    return chat.chat_contract_violations(records)
 
 
 def manifest(spark: SparkSession, data: str, version: str) -> DataFrame:
@@ -170,6 +179,10 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("data")
     p.add_argument("--limit", type=int, default=2048)
 
+    p = job.add_parser("check-chat", help="chat contract of records; writes the broken ones")
+    p.add_argument("data")
+    p.add_argument("output")
+
     p = job.add_parser("lint", help="SQL conventions of candidates")
     p.add_argument("data")
     p.add_argument("output")
@@ -242,6 +255,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             MESSAGES_SHOWN, truncate=False)
     elif args.job == "lengths":
         length_report(spark, args.data, args.limit).show(truncate=False)
+    elif args.job == "check-chat":
+        sinks.write_jsonl(chat_problems(spark, args.data), args.output)
     elif args.job == "lint":
         sinks.write_jsonl(lint_file(spark, args.data), args.output)
     elif args.job == "manifest":

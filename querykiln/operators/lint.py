@@ -11,7 +11,11 @@ from querykiln.schemas import TABLE_PREFIX, WAREHOUSE
 # Patterns of the conventions.
 LITERAL = r"'[^']*'"
 EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+\s+FROM\b"
-TABLE_REF = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_`][\w.`-]*)"
+TABLE_LIST = (
+    r"(?i)\b(?:FROM|JOIN)\s+([^();]*?)(?=[();]|\z|\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|QUALIFY|WINDOW|UNION"
+    r"|INTERSECT|EXCEPT|ON|USING|JOIN|INNER|LEFT|RIGHT|FULL|CROSS)\b)"
+)
+TABLE_NAME = r"^\s*([\w.`-]+)"
 CTE_NAME = r"(?i)(?:\bWITH|,)\s*([A-Za-z_]\w*)\s+AS\s*\("
 DYNAMIC_TIME = r"(?i)\bCURRENT_(?:DATE|TIMESTAMP|DATETIME|TIME)\b"
 COMMENT = r"--|/\*"
@@ -27,10 +31,12 @@ def bare_sql(sql: Column) -> Column:
 def table_refs(sql: Column) -> Column:
     """Distinct lower-case tables after FROM or JOIN, without names the query itself defines."""
     text = F.regexp_replace(bare_sql(sql), EXTRACT_FROM, "EXTRACT(")
-    lowered = lambda names: F.transform(names, lambda t: F.replace(F.lower(t), F.lit("`"), F.lit("")))
-    refs = lowered(F.regexp_extract_all(text, F.lit(TABLE_REF), F.lit(1)))
-    ctes = lowered(F.regexp_extract_all(text, F.lit(CTE_NAME), F.lit(1)))
-    return F.filter(F.array_except(refs, ctes), lambda t: t != "unnest")
+    plain = lambda names: F.transform(names, lambda t: F.replace(F.lower(t), F.lit("`"), F.lit("")))
+    lists = F.regexp_extract_all(text, F.lit(TABLE_LIST), F.lit(1))
+    items = F.flatten(F.transform(lists, lambda part: F.split(part, ",")))
+    refs = plain(F.transform(items, lambda item: F.regexp_extract(item, TABLE_NAME, 1)))
+    ctes = plain(F.regexp_extract_all(text, F.lit(CTE_NAME), F.lit(1)))
+    return F.filter(F.array_except(refs, ctes), lambda t: ~t.isin("", "unnest"))
 
 
 def unknown_tables(sql: Column, tables: list[str] = list(WAREHOUSE),

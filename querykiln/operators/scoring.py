@@ -29,9 +29,11 @@ def _tally(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def _labelled(scored: DataFrame, evaluation: DataFrame, axes: list[str],
               keys: list[str]) -> DataFrame:
-    # The scored files carry their own difficulty; the axis comes from the eval set.
+    """Counts with the axis values of the eval set; a matched example without one is an error."""
+    given = lambda a: F.coalesce(
+        F.col(a), F.raise_error(F.lit(f"eval example without {a}")).cast("string"))
     axis_of = evaluation.select("example_id", *axes)
-    return _tally(scored, keys).join(axis_of, "example_id")
+    return _tally(scored, keys).join(axis_of, "example_id").withColumns({a: given(a) for a in axes})
 
 
 def _accuracy(counts: DataFrame) -> DataFrame:
@@ -96,15 +98,18 @@ def accuracy_by_run(scored: DataFrame, run_keys: list[str] = ["run"],
     )
 
 
-def denominator_check(scored: DataFrame, run_keys: list[str] = ["run"]) -> DataFrame:
-    """Whether all runs and conditions have the same, non-zero number of rows and hard rows."""
+def denominator_check(scored: DataFrame, run_keys: list[str] = ["run"],
+                      conditions: list[str] = ["P0", "P1"]) -> DataFrame:
+    """Whether every run has all conditions, each with the same, non-zero number of rows and hard rows."""
     per_file = run_condition_counts(scored, run_keys)
+    whole = (
+        (F.col("files") > 0) & (F.col("files") == F.col("runs") * len(conditions))
+        & (F.col("min_rows") == F.col("max_rows")) & (F.col("min_hard_rows") > 0))
     return per_file.agg(
-        F.count(F.lit(1)).alias("files"), F.min("total").alias("min_rows"),
-        F.max("total").alias("max_rows"), F.min("hard_total").alias("min_hard_rows"),
-    ).withColumn(
-        "comparable",
-        (F.col("files") > 0) & (F.col("min_rows") == F.col("max_rows")) & (F.col("min_hard_rows") > 0))
+        F.count_distinct(*run_keys).alias("runs"), F.count(F.lit(1)).alias("files"),
+        F.min("total").alias("min_rows"), F.max("total").alias("max_rows"),
+        F.min("hard_total").alias("min_hard_rows"),
+    ).withColumn("comparable", whole)
 
 
 def run_gap(per_run: DataFrame, better: str, base: str, column: str,

@@ -17,9 +17,12 @@ def parse_json(raw: Column, schema: str) -> Column:
 
 
 def missing_keys(raw: Column, required: list[str]) -> Column:
-    """Sorted required keys that the JSON text lacks. A key holding null is present."""
+    """Sorted required keys that the JSON text lacks. A key holding null is present.
+
+    Text that is no JSON object lacks them all.
+    """
     wanted = F.array(*[F.lit(k) for k in required])
-    return F.array_sort(F.array_except(wanted, F.json_object_keys(raw)))
+    return F.array_sort(F.coalesce(F.array_except(wanted, F.json_object_keys(raw)), wanted))
 
 
 def read_lines(spark: SparkSession, path, batch: int = 0) -> DataFrame:

@@ -24,6 +24,14 @@ def read_scored(spark: SparkSession, root: str) -> DataFrame:
     ).select("scope", "run", "file_condition", "ordinal", "r.*")
 
 
+def missing_files(scored: DataFrame, registry: DataFrame, conditions: list[str]) -> DataFrame:
+    """Registered runs and conditions for which no record was read."""
+    wanted = registry.select(
+        "scope", "run", F.explode(F.array(*[F.lit(c) for c in conditions])).alias("file_condition"))
+    there = scored.select("scope", "run", "file_condition").distinct()
+    return wanted.join(there, ["scope", "run", "file_condition"], "left_anti")
+
+
 def with_run_labels(per_run: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry label, group and order for per-run results; unknown runs are dropped."""
     return per_run.join(registry, ["scope", "run"])

@@ -1,9 +1,11 @@
+import hashlib
 import json
 from types import SimpleNamespace
 
 import pytest
 
 from querykiln import jobs
+from querykiln.operators import curation
 from querykiln.session import shared_folder
 from querykiln.sources import jsonl, sinks, warehouse
 from querykiln.streaming.scoring import running_accuracy, scored_stream, write_latest
@@ -91,6 +93,28 @@ def test_compare_runs(spark, files, rows):
     assert jobs.main(["compare", str(files["dir"] / "runs"), "--registry", str(registry)], spark) == 0
 
 
+def test_missing_run_file_is_an_error(spark, files):
+    folder = files["dir"] / "runs" / "offline" / "m"
+    folder.mkdir(parents=True)
+    write(folder / "p0.jsonl", [scored(1, True)])
+    registry = files["dir"] / "registry.csv"
+    registry.write_text("ord,scope,run,label,grp\n1,offline,m,M,g\n")
+    with pytest.raises(ValueError, match="offline/m/P1"):
+        jobs.compare_runs(spark, str(files["dir"] / "runs"), str(registry))
+    _, check = jobs.compare_runs(spark, str(files["dir"] / "runs"), None)
+    assert not check.first()["comparable"]
+
+
+def test_empty_chat_file_is_an_error(spark, files):
+    with pytest.raises(ValueError, match="no chat records"):
+        jobs.chat_problems(spark, write(files["dir"] / "none.jsonl", ["", " "]))
+
+
+def test_file_digest(spark, files):
+    row = curation.file_sha256(spark, files["data"]).first()
+    assert row["sha256"] == hashlib.sha256(open(files["data"], "rb").read()).hexdigest()
+
+
 def test_manifest_and_lint(spark, files):
     out = files["dir"] / "manifest"
     jobs.main(["manifest", files["data"], "v9", str(out)], spark)

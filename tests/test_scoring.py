@@ -29,6 +29,15 @@ def test_axis_accuracy(spark, scored, evaluation, rows):
         ("P1", "ALL", 1, 2, 0.5), ("P1", "house_term", 0, 1, 0.0), ("P1", "literal", 1, 1, 1.0)]
 
 
+def test_missing_axis_is_an_error_only_where_it_counts(spark, scored, evaluation):
+    gap = lambda i: evaluation.filter("line_number > 1").withColumn(
+        "axis_time", F.when(F.col("example_id") != i, F.col("axis_time")))
+    with pytest.raises(Exception, match="without axis_time"):
+        scoring.accuracy_by_axis(scored, scoring.latest_eval(gap("a")), "axis_time").collect()
+    unmatched = evaluation.union(spark.createDataFrame([(9, "unseen", "x", "x", None, "x", "?")], evaluation.schema))
+    assert scoring.accuracy_by_axis(scored, scoring.latest_eval(unmatched), "axis_time").count() == 4
+
+
 def test_all_axes_agree_with_single_axis(scored, evaluation, rows):
     latest = scoring.latest_eval(evaluation)
     table = scoring.accuracy_all_axes(scored, latest)

@@ -80,6 +80,12 @@ def test_malformed_json_fails(spark, tmp_path):
         jsonl.read_sft(spark, write(tmp_path / "bad.jsonl", ["{not json"])).collect()
 
 
+def test_a_line_that_is_no_object_is_not_lost(spark, tmp_path):
+    lines = jsonl.read_lines(spark, write(tmp_path / "odd.jsonl", ["[1]", "7", json.dumps(example(1))]))
+    missing = lines.select(jsonl.missing_keys(F.col("raw"), ["a", "b"]).alias("m")).collect()
+    assert [r.m for r in missing] == [["a", "b"]] * 3
+
+
 def brute_duplicates(train, evaluation):
     seen, out = set(), set()
     for i, row in enumerate(train):
@@ -133,10 +139,12 @@ def test_lint(spark):
     good = [
         "SELECT 1 FROM ecom_v1.orders;", " with a as (select 1), b as (select * from a) select * from b join ecom_v1.returns on true",
         "SELECT EXTRACT(YEAR FROM order_date) FROM `ecom_v1.orders` WHERE x = 'FROM y; -- z CURRENT_DATE'",
-        "SELECT x FROM UNNEST([1, 2]) AS x", "SELECT 'it''s' FROM ecom_v1.orders",
+        "SELECT x FROM UNNEST([1, 2]) AS x", "SELECT 1 FROM ecom_v1.orders o, ecom_v1.returns AS r, UNNEST([1]) WHERE o.a = r.b",
+        "SELECT 1 FROM (SELECT 1 FROM ecom_v1.orders) LEFT JOIN ecom_v1.returns USING (a) ORDER BY a, b", "SELECT 'it''s' FROM ecom_v1.orders",
     ]
     bad = {
-        "SELECT 1 FROM orders": {"table_prefix"}, "SELECT 1 FROM ecom_v1.nope": {"table_prefix"},
+        "SELECT 1 FROM orders": {"table_prefix"}, "SELECT 1 FROM ecom_v1.orders o, returns": {"table_prefix"},
+        "SELECT 1 FROM ecom_v1.orders o\nJOIN returns r ON o.a = r.a": {"table_prefix"}, "SELECT 1 FROM ecom_v1.nope": {"table_prefix"},
         "SELECT Current_Timestamp FROM ecom_v1.orders": {"dynamic_time"},
         "SELECT 1 /* x */ FROM ecom_v1.orders": {"comment"}, "```\nSELECT 1```": {"markdown_fence", "query_start"},
         "SELECT 1; SELECT 2": {"single_query"}, "UPDATE ecom_v1.orders SET a = 1": {"query_start"},
