@@ -27,7 +27,7 @@ def _net_by(key: str, source: str, where: str = "NOT is_cancelled") -> str:
         GROUP BY {key}"""
 
 
-_MONTHLY = f"monthly AS (SELECT month, {money8('n8')} AS net_revenue FROM ({_net_by('month', 'fx_lines')}))"
+_MONTHLY = f"monthly AS (SELECT strftime(month, '%Y-%m') AS month, {money8('n8')} AS net_revenue FROM ({_net_by('month', 'fx_lines')}))"
 _CATEGORY = "sold AS (SELECT * FROM fx_lines JOIN fx_products USING (product_id))"
 _PRODUCT = f"""net AS ({_net_by('product_id', 'fx_lines')}),
     named AS (SELECT * FROM net JOIN fx_products USING (product_id))"""
@@ -85,7 +85,7 @@ QUERIES = {
         refunds AS (
             SELECT month, SUM(CAST(coalesce(refund_cents, 0) AS HUGEINT)) * 1000000 AS r8
             FROM fx_lines LEFT JOIN fx_item_returns USING (item) WHERE NOT is_cancelled GROUP BY month)
-        SELECT month, {money8('n8')} AS net_revenue, {money8('r8')} AS refunds,
+        SELECT strftime(month, '%Y-%m') AS month, {money8('n8')} AS net_revenue, {money8('r8')} AS refunds,
                {money8('(n8 - r8)')} AS net_after_returns
         FROM net JOIN refunds USING (month)""", "fx_lines", "fx_item_returns")),
     "revenue_by_day_type": (_wh(M.revenue_by_day_type), with_views(f"""

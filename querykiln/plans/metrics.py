@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querykiln.functions.numeric import as_money, days_before, ratio
+from querykiln.functions.numeric import as_money, days_before, month_key, ratio
 from querykiln.schemas import SNAPSHOT_DATE
 from querykiln.sources.warehouse import Warehouse
 
@@ -125,7 +125,8 @@ def monthly_net(wh: Warehouse) -> DataFrame:
 
 
 def net_revenue_by_month(wh: Warehouse) -> DataFrame:
-    return monthly_net(wh).select("month", as_money(F.col("net")).alias("net_revenue"))
+    return monthly_net(wh).select(
+        month_key(F.col("month")).alias("month"), as_money(F.col("net")).alias("net_revenue"))
 
 
 def returns_per_item(returns: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def net_revenue_after_returns(wh: Warehouse) -> DataFrame:
         F.sum(net_of_tax(F.col("gross"), F.col("tax_rate"))).alias("net"),
         F.sum("refund").cast("decimal(38,8)").alias("refund"))
     return per_month.select(
-        "month", as_money(F.col("net")).alias("net_revenue"), as_money(F.col("refund")).alias("refunds"),
+        month_key(F.col("month")).alias("month"), as_money(F.col("net")).alias("net_revenue"), as_money(F.col("refund")).alias("refunds"),
         as_money(F.col("net") - F.col("refund")).alias("net_after_returns"))
 
 
