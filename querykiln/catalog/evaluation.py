@@ -81,7 +81,7 @@ def gold_nonempty_gate(spark, sf_dir: str) -> DataFrame:
 def _triage(spark, sf_dir: str) -> DataFrame:
     s = V.scored(spark, sf_dir).filter("condition = 'P0'")
     return triage.consensus_triage(
-        V.axis_eval(spark, sf_dir), s.filter("run = 'run_a'"), s.filter("run = 'run_b'"))
+        V.axis_eval(spark, sf_dir).select("example_id"), s.filter("run = 'run_a'"), s.filter("run = 'run_b'"))
 
 
 def consensus_triage(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querykiln.functions.numeric import three_decimals, whole_percent
-from querykiln.operators import chat, curation, grid, lengths, scoring, validation
+from querykiln.operators import chat, curation, grid, lengths, scoring, triage, validation
 from querykiln.operators.lint import lint
 from querykiln.schemas import AXES, CHAT_RECORD, CONDITIONS, RUN_REGISTRY, SCORED_RECORD, SFT_CANDIDATE
 from querykiln.session import build_session
@@ -124,6 +124,15 @@ def manifest(spark: SparkSession, data: str, version: str) -> DataFrame:
     return curation.dataset_manifest(rows, version, F.col("raw"))
 
 
+def triage_candidates(spark: SparkSession, candidates: str, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates that both models answer equivalently, and the queue for manual review."""
+    rows = jsonl.read_jsonl(spark, candidates, SFT_CANDIDATE).drop("ordinal")
+    verdicts = lambda path: jsonl.read_jsonl(spark, path, SCORED_RECORD)
+    judged = triage.consensus_triage(rows, verdicts(first), verdicts(second))
+    pick = lambda status: judged.filter(F.col("status") == status).select(rows.columns)
+    return pick("accepted"), pick("review")
+
+
 def lint_file(spark: SparkSession, data: str) -> DataFrame:
     return lint(jsonl.read_jsonl(spark, data, SFT_CANDIDATE))
 
@@ -187,6 +196,13 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("data")
     p.add_argument("output")
 
+    p = job.add_parser("triage", help="split candidates by the agreement of two models with the gold result")
+    p.add_argument("candidates")
+    p.add_argument("first")
+    p.add_argument("second")
+    p.add_argument("--accepted-out", required=True)
+    p.add_argument("--review-out", required=True)
+
     p = job.add_parser("manifest", help="dataset manifest")
     p.add_argument("data")
     p.add_argument("version")
@@ -209,6 +225,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("source")
     p.add_argument("output")
     p.add_argument("checkpoint")
+    p.add_argument("--files-per-batch", type=int)
     return parser
 
 
@@ -259,6 +276,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_jsonl(chat_problems(spark, args.data), args.output)
     elif args.job == "lint":
         sinks.write_jsonl(lint_file(spark, args.data), args.output)
+    elif args.job == "triage":
+        accepted, review = triage_candidates(spark, args.candidates, args.first, args.second)
+        sinks.write_jsonl(accepted, args.accepted_out)
+        sinks.write_jsonl(review, args.review_out)
     elif args.job == "manifest":
         sinks.write_manifest(manifest(spark, args.data, args.version), args.output)
     elif args.job == "prompts":
@@ -268,7 +289,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.job == "load-seed":
         warehouse.load_seed(spark, args.csv_dir, args.out_dir, args.tables)
     elif args.job == "score-stream":
-        write_latest(running_accuracy(scored_stream(spark, args.source)), args.output,
+        write_latest(running_accuracy(scored_stream(spark, args.source, args.files_per_batch)), args.output,
                      args.checkpoint).awaitTermination()
     return 0
 

@@ -13,10 +13,10 @@ def _verdict(scored: DataFrame, name: str) -> DataFrame:
 
 
 def consensus_triage(candidates: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Accepted when both models agree with the gold result; anything else is for review."""
+    """Candidates with status: accepted when both models agree with the gold result, else review."""
     both = F.coalesce("first_ok", F.lit(False)) & F.coalesce("second_ok", F.lit(False))
     return (
-        candidates.select("example_id")
+        candidates
         .join(_verdict(first, "first_ok"), "example_id", "left")
         .join(_verdict(second, "second_ok"), "example_id", "left")
         .withColumn("status", F.when(both, "accepted").otherwise("review"))

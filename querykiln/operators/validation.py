@@ -52,19 +52,18 @@ def prepend_known(data: DataFrame, known: list[DataFrame]) -> list[DataFrame]:
     return [*reversed(known), data]
 
 
-def missing_key_violations(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
-    return rows.filter(F.size("missing_keys") > 0).select(
-        F.col(order_col), F.lit("missing keys").alias("rule"),
-        F.array_join("missing_keys", ",").alias("detail"),
-    )
-
-
 def _fails(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(True))
 
 
-def row_rule_violations(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
-    """Schema literal, difficulty, seed prefix and dynamic-time rules, in one pass."""
+def row_violations(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
+    """Rules that need only the row itself, in one pass.
+
+    A row without all required keys has that one violation; the others are checked for the
+    schema literal, difficulty, seed prefix and dynamic time.
+    """
+    entry = lambda rule, detail: F.struct(
+        F.lit(rule).alias("rule"), F.coalesce(detail, F.lit("")).alias("detail"))
     rules = [
         (_fails(F.col("schema") != SCHEMA_NAME), "unexpected schema", F.col("schema")),
         (_fails(~F.col("difficulty").isin(DIFFICULTIES)), "invalid difficulty",
@@ -74,10 +73,9 @@ def row_rule_violations(rows: DataFrame, order_col: str = "line_number") -> Data
         (F.col("gold_sql").rlike(DYNAMIC_TIME_CALL), "dynamic time function is forbidden",
          F.lit("")),
     ]
-    found = F.array_compact(F.array(*[
-        F.when(bad, F.struct(F.lit(rule).alias("rule"), F.coalesce(value, F.lit("")).alias("detail")))
-        for bad, rule, value in rules
-    ]))
+    missing = F.array(entry("missing keys", F.array_join("missing_keys", ",")))
+    broken = F.array_compact(F.array(*[F.when(bad, entry(rule, value)) for bad, rule, value in rules]))
+    found = F.when(F.size("missing_keys") > 0, missing).otherwise(broken)
     return rows.select(order_col, F.explode(found).alias("v")).select(order_col, "v.*")
 
 
@@ -100,12 +98,8 @@ def key_violations(train: DataFrame, evaluation: DataFrame | None,
 def violations(train: DataFrame, evaluation: DataFrame | None = None,
                order_col: str = "line_number") -> DataFrame:
     """All row-level violations `(order_col, rule, detail)` of a candidate set."""
-    valid = complete(train)
-    return (
-        missing_key_violations(train, order_col)
-        .unionByName(row_rule_violations(valid, order_col))
-        .unionByName(key_violations(valid, evaluation, order_col))
-    )
+    return row_violations(train, order_col).unionByName(
+        key_violations(complete(train), evaluation, order_col))
 
 
 def quota_report(rows: DataFrame, quota: dict[str, int] = READY_QUOTA) -> DataFrame:

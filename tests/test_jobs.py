@@ -8,7 +8,7 @@ from querykiln import jobs
 from querykiln.operators import curation
 from querykiln.session import shared_folder
 from querykiln.sources import jsonl, sinks, warehouse
-from querykiln.streaming.scoring import running_accuracy, scored_stream, write_latest
+from querykiln.streaming.scoring import running_accuracy, scored_stream, thin_repeats, write_latest
 from tests.test_validation import example, write
 
 
@@ -93,6 +93,17 @@ def test_compare_runs(spark, files, rows):
     assert jobs.main(["compare", str(files["dir"] / "runs"), "--registry", str(registry)], spark) == 0
 
 
+def test_triage_job(spark, files):
+    first = write(files["dir"] / "m1.jsonl", [scored(1, True), scored(2, True)])
+    second = write(files["dir"] / "m2.jsonl", [scored(1, True), scored(2, False), scored(3, True)])
+    out = {n: files["dir"] / n for n in ("accepted", "review")}
+    jobs.main(["triage", files["data"], first, second, "--accepted-out", str(out["accepted"]),
+               "--review-out", str(out["review"])], spark)
+    ids = {n: sorted(r["example_id"] for r in read_json(path)) for n, path in out.items()}
+    assert ids == {"accepted": ["e1"], "review": ["e2", "e3"]}
+    assert set(read_json(out["accepted"])[0]) == set(example(1))
+
+
 def test_missing_run_file_is_an_error(spark, files):
     folder = files["dir"] / "runs" / "offline" / "m"
     folder.mkdir(parents=True)
@@ -184,6 +195,14 @@ def test_stream_counts_each_key_once_and_resumes(spark, files, rows):
     assert rows(spark.read.parquet(out)) == [("P0", 3, 2, 0.666667), ("P1", 1, 0, 0.0)]
 
 
+def test_repeats_are_thinned_before_the_state(spark, rows):
+    data = [("P0", "hot", True)] * 500 + [("P0", "a", None), ("P1", "hot", False)]
+    frame = spark.createDataFrame(data, "condition string, example_id string, result_equivalent boolean").coalesce(1)
+    assert rows(thin_repeats(frame, ["condition", "example_id"])) == [
+        ("P0", "a", None), ("P0", "hot", True), ("P1", "hot", False)]
+    assert rows(running_accuracy(frame)) == [("P0", 2, 1, 0.5), ("P1", 1, 0, 0.0)]
+
+
 def session_with(master, **conf):
     return SimpleNamespace(conf=conf_reader(conf), sparkContext=SimpleNamespace(master=master))
 
