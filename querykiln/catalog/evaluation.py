@@ -173,10 +173,12 @@ def generation_records(spark, sf_dir: str) -> DataFrame:
 
 
 def streaming_accuracy(spark, sf_dir: str) -> DataFrame:
-    """The labels read as a file stream into running accuracy per run and condition."""
-    labels = (
-        spark.readStream.schema("doc_id bigint, quality int, toxic int")
-        .option("pathGlobFilter", "labels.parquet").parquet(sf_dir))
+    """The labels read as a file stream into running accuracy per run and condition.
+
+    The pattern matches a single file as well as a folder of part files.
+    """
+    labels = spark.readStream.schema("doc_id bigint, quality int, toxic int").parquet(
+        f"{sf_dir}/labels.parque[t]")
     scored = V.scored_from(labels, V.table(spark, sf_dir, "documents"))
     out, checkpoint = shared_folder(spark, "accuracy"), shared_folder(spark, "checkpoint")
     write_latest(running_accuracy(scored, RUN), out, checkpoint).awaitTermination()

@@ -9,6 +9,7 @@ from querykiln.functions.text import strip
 from querykiln.schemas import CONDITIONS, EVAL_BUNDLE, SFT_CANDIDATE, SFT_REQUIRED_KEYS
 
 FAILFAST = {"mode": "FAILFAST"}
+ROW_MASK = (1 << 33) - 1
 
 
 def parse_json(raw: Column, schema: str) -> Column:
@@ -29,7 +30,8 @@ def read_lines(spark: SparkSession, path, batch: int = 0) -> DataFrame:
     """Non-blank lines `(raw, ordinal)`; ordinals sort like the lines of the files.
 
     The ordinal is (batch, file, block, row), because row ids alone do not follow file order
-    once several splits share a task.
+    once several splits share a task. `row` counts the lines a task has read; the task's own
+    number, which differs between plans, is masked out.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"),
@@ -37,7 +39,7 @@ def read_lines(spark: SparkSession, path, batch: int = 0) -> DataFrame:
     ).filter(strip(F.col("raw")) != "")
     return lines.select(
         "raw", F.struct(F.lit(batch).alias("batch"), "file", "block",
-                        F.monotonically_increasing_id().alias("row")).alias("ordinal"))
+                        F.monotonically_increasing_id().bitwiseAND(ROW_MASK).alias("row")).alias("ordinal"))
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, required: list[str] | None = None,
