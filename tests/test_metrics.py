@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal as D
 
 import pytest
@@ -122,6 +123,18 @@ def test_bucketed_fact_join_has_no_exchange(spark, wh, rows, tmp_path):
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the aggregation's own
 
 
+def test_filters_and_columns_reach_the_scan(spark, wh, tmp_path):
+    wh.orders.write.parquet(str(tmp_path / "orders"))
+    stored = replace(wh, orders=spark.read.parquet(str(tmp_path / "orders")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    scan = [line for line in M.active_customers(stored)._jdf.queryExecution().executedPlan().toString().splitlines()
+            if "FileScan" in line][0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = scan.split("PushedFilters: ")[1]
+    assert "Not(EqualTo(order_status" in pushed and "GreaterThanOrEqual(order_date" in pushed
+    assert scan.split("ReadSchema: ")[1] == "struct<customer_id:bigint,order_date:date,order_status:string>"
+
+
 def test_category_trees_of_any_depth(spark, wh, rows):
     two = M.main_categories(wh.categories)
     assert rows(M.category_roots(spark, wh.categories)) == rows(two)
