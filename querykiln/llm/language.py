@@ -1,8 +1,8 @@
 """Language identification by compression: the dictionary that shortens a text most names it.
 
 Each language has a raw-content Zstandard dictionary, filled from a bounded sample of labelled
-texts. A text is compressed in pieces of a few kilobytes, whole, with every dictionary; pieces
-keep the dictionary's share in a long text as large as in a short one.
+texts. A text is compressed whole, in lower case, in pieces of a few kilobytes, with every
+dictionary; pieces keep the dictionary's share in a long text as large as in a short one.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from querykiln.llm.common import arrow_columns, table
 # characters to the sample, and so many bytes of it in a dictionary.
 SAMPLE_TEXTS = 200
 SAMPLE_CHARS = 2000
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 32 << 10
 PIECE_BYTES = 4096
-LEVEL = 3
+# Lazy matching from four bytes on, in tables just large enough for a dictionary and a piece.
+COMPRESSION = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4,
+               "target_length": 8, "strategy": zstandard.STRATEGY_LAZY}
 # A text whose second-best size is less than this share above the best is rejected.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
@@ -44,7 +46,7 @@ def train(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang")
               .orderBy("lang", "n").collect())
     out: dict[str, bytes] = {}
     for row in sample:
-        out[row.lang] = (out.get(row.lang, b"") + row.text.encode() + b"\n")[:DICTIONARY_BYTES]
+        out[row.lang] = (out.get(row.lang, b"") + row.text.lower().encode() + b"\n")[:DICTIONARY_BYTES]
     return out
 
 
@@ -61,16 +63,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
     def open_task():
+        how = zstandard.ZstdCompressionParameters(**COMPRESSION)
         coders = []
         for name, content in held.value:
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            coders.append((name, zstandard.ZstdCompressor(dict_data=data).compress))
+            data.precompute_compress(compression_params=how)
+            coders.append((name, zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress))
 
         def one(content: str | None):
             if not content or not coders or not _LETTER.search(content):
                 return UNKNOWN, 0.0, None
-            raw = content.encode()
+            raw = content.lower().encode()
             pieces = [raw[i:i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
             sizes = sorted((sum(len(press(p)) for p in pieces), name) for name, press in coders)
             score = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
