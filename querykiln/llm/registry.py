@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from querykiln.llm import chat_format, decontamination, language, url_rules
+from querykiln.llm import (
+    chat_format,
+    decontamination,
+    embedding_dedup,
+    language,
+    mixing,
+    url_rules,
+)
 
 QUERIES = {
     "op2_language": (language.op2_language, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.ORACLE_SQL),
+    "op5_embedding_dedup": (embedding_dedup.op5_embedding_dedup, embedding_dedup.ORACLE_SQL),
     "op6_decontamination": (decontamination.op6_decontamination, decontamination.ORACLE_SQL),
+    "op8_mixing": (mixing.op8_mixing, None),
     "op10_url_rules": (url_rules.op10_url_rules, url_rules.ORACLE_SQL),
 }
