@@ -8,6 +8,7 @@ from querykiln.llm import (
     embedding_dedup,
     language,
     mixing,
+    substring_dedup,
     url_rules,
 )
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.ORACLE_SQL),
     "op5_embedding_dedup": (embedding_dedup.op5_embedding_dedup, embedding_dedup.ORACLE_SQL),
     "op6_decontamination": (decontamination.op6_decontamination, decontamination.ORACLE_SQL),
+    "op7_substring_dedup": (substring_dedup.op7_substring_dedup, substring_dedup.ORACLE_SQL),
     "op8_mixing": (mixing.op8_mixing, None),
     "op10_url_rules": (url_rules.op10_url_rules, url_rules.ORACLE_SQL),
 }
