@@ -7,12 +7,14 @@ from querykiln.llm import (
     decontamination,
     embedding_dedup,
     language,
+    minhash_dedup,
     mixing,
     substring_dedup,
     url_rules,
 )
 
 QUERIES = {
+    "op1_minhash_dedup": (minhash_dedup.op1_minhash_dedup, None),
     "op2_language": (language.op2_language, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.ORACLE_SQL),
     "op5_embedding_dedup": (embedding_dedup.op5_embedding_dedup, embedding_dedup.ORACLE_SQL),

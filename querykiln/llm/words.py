@@ -120,12 +120,12 @@ def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return out
 
 
-def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str) -> DataFrame:
+def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str, keep: bool = False) -> DataFrame:
     """doc_id, doc_key, text_key, body (compressed text) as a table bucketed by doc_key.
 
     The one time the texts move: later joins on doc_key bring the small side to them. doc_key is a
     hash of id and text, so equal rows share it; text_key is a 128-bit hash of the text. A null
-    text is kept with a null body.
+    text is kept with a null body. With `keep`, `row` holds the other columns.
     """
     spark = docs.sparkSession
 
@@ -140,13 +140,17 @@ def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str) -> DataF
                 "doc_key": pa.array([xxhash.xxh3_64_intdigest(k + str(i).encode()) - (1 << 63)
                                      for i, k in zip(ids, keys, strict=True)], pa.int64()),
                 "text_key": pa.array(keys, pa.binary()),
-                "body": pa.array([None if t is None else press(t) for t in texts], pa.binary())})
+                "body": pa.array([None if t is None else press(t) for t in texts], pa.binary()),
+                **({"row": batch.column(2)} if keep else {})})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"),
+                       *[rest] * keep)
     n = partitions(spark)
     name = f"querykiln_{purpose}_{uuid.uuid4().hex}"
-    (rows.mapInArrow(run, f"doc_id {kind}, doc_key long, text_key binary, body binary")
+    row_kind = f", row {rows.schema['row'].dataType.simpleString()}" if keep else ""
+    (rows.mapInArrow(run, f"doc_id {kind}, doc_key long, text_key binary, body binary{row_kind}")
      .repartition(n, "doc_key").write.bucketBy(n, "doc_key").option("path", shared_folder(spark, purpose))
      .option("compression", "uncompressed").saveAsTable(name))
     return spark.table(name)
