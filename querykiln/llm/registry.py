@@ -9,6 +9,7 @@ from querykiln.llm import (
     language,
     minhash_dedup,
     mixing,
+    quality,
     substring_dedup,
     url_rules,
 )
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_minhash_dedup": (minhash_dedup.op1_minhash_dedup, None),
     "op2_language": (language.op2_language, None),
     "op3_chat_format": (chat_format.op3_chat_format, chat_format.ORACLE_SQL),
+    "op4_quality": (quality.op4_quality, None),
     "op5_embedding_dedup": (embedding_dedup.op5_embedding_dedup, embedding_dedup.ORACLE_SQL),
     "op6_decontamination": (decontamination.op6_decontamination, decontamination.ORACLE_SQL),
     "op7_substring_dedup": (substring_dedup.op7_substring_dedup, substring_dedup.ORACLE_SQL),
