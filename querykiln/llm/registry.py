@@ -10,6 +10,7 @@ from querykiln.llm import (
     minhash_dedup,
     mixing,
     quality,
+    secret_scan,
     substring_dedup,
     url_rules,
 )
@@ -23,5 +24,6 @@ QUERIES = {
     "op6_decontamination": (decontamination.op6_decontamination, decontamination.ORACLE_SQL),
     "op7_substring_dedup": (substring_dedup.op7_substring_dedup, substring_dedup.ORACLE_SQL),
     "op8_mixing": (mixing.op8_mixing, None),
+    "op9_secret_scan": (secret_scan.op9_secret_scan, None),
     "op10_url_rules": (url_rules.op10_url_rules, url_rules.ORACLE_SQL),
 }
