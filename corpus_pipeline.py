@@ -1,7 +1,53 @@
-"""The corpus pipeline, and all training-text queries with their SQL twins."""
+"""From raw documents to a training mix, in five stages; and all training-text queries."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from querykiln.llm import decontamination, minhash_dedup, mixing, quality, secret_scan
+from querykiln.llm.common import stored, table
 from querykiln.llm.registry import QUERIES as OPERATORS
 
-QUERIES = {**OPERATORS}
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on labelled ones among them, does not reject."""
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, quality.fit(quality.trusted_texts(docs, trusted)))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the least id."""
+    return minhash_dedup.keep_first(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in their texts are masked, and n_chars follows."""
+    return secret_scan.redact(docs, secret_scan.fit(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their share of the mix: size, source_size, target, taken, draws."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", good_quality), ("near duplicates", one_of_each), ("decontamination", uncontaminated),
+          ("secrets", without_secrets), ("mixing", mixed)]
+
+# Sampled similarities, trees and language models have no SQL; the stages are tested one by one.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each is written before the next begins, but the last."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {**OPERATORS, "pipeline": (run, ORACLE_SQL)}

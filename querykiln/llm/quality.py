@@ -269,6 +269,13 @@ def judge(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang",
                          RESULT, open_task)
 
 
+def keep_good(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that are not rejected, with their own columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    return judge(rows, fitted).where("quality_kept").select("row.*")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids whose labels all say good quality, and none says toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
