@@ -92,8 +92,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 yield pa.RecordBatch.from_pydict(dict(zip(
                     ("h", "check", "id", "doc_key", "start"), map(np.concatenate, out), strict=True)))
 
-    edge_rows = stored(distinct.join(marks, "doc_key").select("doc_key", "first_id", "body", "marks").mapInArrow(
-        edges, "h long, check int, id long, doc_key long, start int"), "edges")
+    # Made twice, for the sources and for the join with them: cheaper than the disk to keep them.
+    edge_rows = distinct.join(marks, "doc_key").select("doc_key", "first_id", "body", "marks").mapInArrow(
+        edges, "h long, check int, id long, doc_key long, start int")
     source = edge_rows.groupBy("h").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "start", "check")).alias("source")).where("n > 1")
     repeated = edge_rows.join(source.select("h", "source"), "h").where(
