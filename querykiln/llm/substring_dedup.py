@@ -68,7 +68,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 "h": grams[at].view(np.int64), "doc_key": keys, "pos": (at - begin).astype(np.int32)})
 
     anchor_rows = distinct.select("doc_key", "body").mapInArrow(anchors, "h long, doc_key long, pos int")
-    again = anchor_rows.groupBy("h").count().where("count > 1").select("h")
+    # Written, so that the join with a gram that very many texts have can be split.
+    again = stored(anchor_rows.groupBy("h").count().where("count > 1").select("h"), "spans")
     marks = anchor_rows.join(again, "h", "left_semi").groupBy("doc_key").agg(F.collect_list("pos").alias("marks"))
 
     def edges(batches):
