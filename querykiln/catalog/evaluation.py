@@ -11,7 +11,7 @@ from querykiln.fixtures.oracle_views import with_views
 from querykiln.operators import equivalence, grid, lengths, scoring, triage
 from querykiln.schemas import CONDITIONS
 from querykiln.session import shared_folder
-from querykiln.streaming.scoring import running_accuracy, write_latest
+from querykiln.streaming.scoring import keep_verdicts, latest_accuracy
 
 RUN = ["run", "condition"]
 CONTEXTS = {"P0": "bare schema", "P1": "schema and glossary", "P2": CONTEXT}
@@ -181,8 +181,8 @@ def streaming_accuracy(spark, sf_dir: str) -> DataFrame:
         f"{sf_dir}/labels.parque[t]")
     scored = V.scored_from(labels, V.table(spark, sf_dir, "documents"))
     out, checkpoint = shared_folder(spark, "accuracy"), shared_folder(spark, "checkpoint")
-    write_latest(running_accuracy(scored, RUN), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    keep_verdicts(scored, out, checkpoint, RUN).awaitTermination()
+    return latest_accuracy(spark, out, RUN)
 
 
 _AXES = ["axis_terminology", "axis_structure", "axis_time", "difficulty"]

@@ -22,12 +22,22 @@ def as_money(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits).cast("double")
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded to `digits`; an exact half goes to the even neighbour.
+
+    Only a double of few binary places (1/8, 1/16) is an exact half; decimals such as 0.0015 lie
+    above or below one and round to the nearer side.
+    """
+    exact = c * (1 << 20) == F.floor(c * (1 << 20))
+    return F.when(exact, F.bround(c, digits)).otherwise(F.round(c, digits))
+
+
 def three_decimals(c: Column) -> Column:
-    return F.format_string("%.3f", c)
+    return F.format_string("%.3f", half_even(c, 3))
 
 
 def whole_percent(c: Column) -> Column:
-    return F.format_string("%.0f%%", c * 100)
+    return F.format_string("%.0f%%", half_even(c, 2) * 100)
 
 
 def month_key(day: Column) -> Column:

@@ -13,9 +13,7 @@ from querykiln.operators.lint import lint
 from querykiln.schemas import AXES, CHAT_RECORD, CONDITIONS, RUN_REGISTRY, SCORED_RECORD, SFT_CANDIDATE
 from querykiln.session import build_session
 from querykiln.sources import jsonl, runs, sinks, warehouse
-from querykiln.streaming.scoring import running_accuracy, scored_stream, write_latest
-
-MESSAGES_SHOWN = 1000
+from querykiln.streaming.scoring import keep_verdicts, latest_accuracy, scored_stream
 
 
 def selected_conditions(text: str) -> list[str]:
@@ -34,9 +32,10 @@ def validate(spark: SparkSession, data: str, evaluation: str, known: list[str] =
     """
     if ingested:
         read = spark.read.parquet
+        held_out = read(evaluation)
         batches = validation.prepend_known(read(data), [read(k) for k in known])
         rows = validation.union_batches(batches)
-        found = validation.violations(rows, read(evaluation), "position")
+        found = validation.violations(rows, _with_keys(held_out), "position")
         # Lines count on over the batches, as if the files were one.
         batch, shift = validation.batch_of(F.col("position")), F.lit(0)
         before = [b.count() for b in batches[:-1]]
@@ -46,16 +45,21 @@ def validate(spark: SparkSession, data: str, evaluation: str, known: list[str] =
             (validation.line_of(F.col("position")) + shift).alias("line_number"), "rule", "detail")
     else:
         rows = jsonl.read_sft_batches(spark, data, list(known))
-        found = validation.violations(rows, jsonl.read_sft(spark, evaluation), "ordinal")
+        found = validation.violations(rows, _with_keys(jsonl.read_sft(spark, evaluation)), "ordinal")
         numbered = jsonl.line_numbers(found, rows).select("line_number", "rule", "detail")
     quota = validation.quota_report(rows).filter(~F.col("met")) if require_ready else None
     return numbered, quota
 
 
+def _with_keys(evaluation: DataFrame) -> DataFrame:
+    """Held-out rows; one without the fields that leakage is judged by stops the job."""
+    return validation.require_keys(evaluation, ["seed_id", "question_de", "gold_sql"], "a held-out row")
+
+
 def build_chat(spark: SparkSession, data: str, template: str, context: str) -> DataFrame:
-    """Chat records of a reviewed candidate file."""
+    """Chat records of a reviewed candidate file; a row without a field they need stops the job."""
     read = lambda path: jsonl.read_text(spark, path).first()["text"]
-    rows = validation.complete(jsonl.read_sft(spark, data))
+    rows = validation.require_keys(jsonl.read_sft(spark, data), chat.CHAT_FIELDS, "a candidate")
     return chat.chat_records(rows, read(template), read(context))
 
 
@@ -118,18 +122,26 @@ def chat_problems(spark: SparkSession, data: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, data: str, version: str) -> DataFrame:
-    """Manifest row of a candidate file; the digest is over its lines, in any order."""
+    """Manifest row of a candidate file, with the digest of the file and one of its lines in any order."""
     lines = jsonl.read_lines(spark, data)
     rows = lines.select("raw", jsonl.parse_json(F.col("raw"), SFT_CANDIDATE).alias("r")).select("raw", "r.*")
-    return curation.dataset_manifest(rows, version, F.col("raw"))
+    row = curation.dataset_manifest(rows, version, F.col("raw")).withColumnRenamed(
+        "candidate_sha256", "content_fingerprint")
+    files = curation.file_sha256(spark, data).agg(
+        F.when(F.count(F.lit(1)) == 1, F.first("sha256")).alias("candidate_sha256"))
+    return row.join(files)
 
 
 def triage_candidates(spark: SparkSession, candidates: str, first: str, second: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates that both models answer equivalently, and the queue for manual review."""
-    rows = jsonl.read_jsonl(spark, candidates, SFT_CANDIDATE).drop("ordinal")
+    """Lines of candidates that both models answer equivalently, and of the queue for manual review.
+
+    The lines are kept as they are, with fields that the triage does not know.
+    """
+    rows = jsonl.read_lines(spark, candidates).select(
+        "raw", jsonl.parse_json(F.col("raw"), "example_id string").alias("r")).select("raw", "r.*")
     verdicts = lambda path: jsonl.read_jsonl(spark, path, SCORED_RECORD)
     judged = triage.consensus_triage(rows, verdicts(first), verdicts(second))
-    pick = lambda status: judged.filter(F.col("status") == status).select(rows.columns)
+    pick = lambda status: judged.filter(F.col("status") == status).select("raw")
     return pick("accepted"), pick("review")
 
 
@@ -138,17 +150,51 @@ def lint_file(spark: SparkSession, data: str) -> DataFrame:
 
 
 def pending_prompts(spark: SparkSession, bundle: str, done: str | None, conditions: list[str],
-                    offset: int = 0, limit: int = 0) -> DataFrame:
-    """Prompts of a bundle's shard that have no record yet."""
-    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle))
-    shard = grid.slice_shard(examples, offset, limit, "position") if offset or limit else examples
-    cells = grid.prompt_grid(shard, conditions)
+                    offset: int = 0, limit: int = 0, shard: int = 0, shards: int = 1) -> DataFrame:
+    """Prompts of a bundle's shard that have no record yet.
+
+    `done` is what `collect-answers` appended; records of other conditions or present twice
+    stop the job. The bundle is one document, so its examples are spread out before the grid.
+    """
+    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle)).repartition("example_id")
+    part = grid.slice_shard(examples, offset, limit, "position") if offset or limit else examples
+    cells = grid.prompt_grid(grid.hash_shard(part, shard, shards) if shards > 1 else part, conditions)
     if done:
-        finished = spark.read.schema(SCORED_RECORD).json(done).select(*grid.KEY).distinct()
-        cells = cells.join(finished, grid.KEY, "left_anti")
+        records = spark.read.parquet(done)
+        wrong = grid.resume_violations(records, conditions).first()
+        if wrong is not None:
+            raise ValueError(f"record {wrong['condition']}/{wrong['example_id']}: {wrong['problem']}")
+        cells = cells.join(records.select(*grid.KEY).distinct(), grid.KEY, "left_anti")
     return cells
 
 
+OUTPUT_RECORD = ("condition string, example_id string, generated_text string, latency_ms bigint, "
+                 "thinking_tokens int, generated_tokens int")
+
+
+def collect_answers(spark: SparkSession, bundle: str, answers: str, records: str, conditions: list[str], run_id: str,
+                    model: str, base_model: str, adapter_path: str | None = None, stopped: bool = False,
+                    max_new_tokens: int = 1536, quantization: str = "nf4-4bit", thinking: bool = False,
+                    thinking_budget: int = 1536, max_runtime_minutes: int = 0) -> DataFrame:
+    """Append the records of a model's answers (JSONL); the manifest of the run as it then stands."""
+    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle)).repartition("example_id")
+    outputs = spark.read.schema(OUTPUT_RECORD).option("mode", "FAILFAST").json(answers)
+    sinks.append_records(grid.generation_records(
+        grid.grid(examples, conditions), outputs, run_id, model, base_model, adapter_path, max_new_tokens,
+        quantization, thinking, thinking_budget), records)
+    digest = curation.file_sha256(spark, bundle).first()["sha256"]
+    return grid.run_manifest(spark.read.parquet(records), examples, conditions, run_id, model, stopped, {
+        "base_model": base_model, "result_file": records, "bundle_sha256": digest, "adapter_path": adapter_path,
+        "model_mode": "adapter" if adapter_path else "base", "adapter_required": adapter_path is not None,
+        "max_new_tokens": max_new_tokens, "quantization": quantization, "thinking": thinking,
+        "thinking_budget": thinking_budget if thinking else 0, "max_runtime_minutes": max_runtime_minutes})
+
+
+def show_all(rows: DataFrame) -> None:
+    """Every row of a report on the console."""
+    rows.show(max(1, rows.count()), truncate=False)
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="querykiln")
     parser.add_argument("--shuffle-partitions", type=int,
@@ -161,7 +207,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--known", action="append", default=[])
     p.add_argument("--require-ready", action="store_true")
     p.add_argument("--ingested", action="store_true", help="all files are Parquet copies from the ingest job")
-    p.add_argument("--out", help="write all violations to this folder")
+    p.add_argument("--out", required=True, help="folder for the violations")
 
     p = job.add_parser("ingest", help="Parquet copy of candidates with line numbers")
     p.add_argument("data")
@@ -183,10 +229,12 @@ def _parser() -> argparse.ArgumentParser:
     p = job.add_parser("compare", help="accuracy of all runs below a folder")
     p.add_argument("root")
     p.add_argument("--registry", help="CSV: ord,scope,run,label,grp")
+    p.add_argument("--out")
 
     p = job.add_parser("lengths", help="token length report of chat records")
     p.add_argument("data")
     p.add_argument("--limit", type=int, default=2048)
+    p.add_argument("--out")
 
     p = job.add_parser("check-chat", help="chat contract of records; writes the broken ones")
     p.add_argument("data")
@@ -211,10 +259,29 @@ def _parser() -> argparse.ArgumentParser:
     p = job.add_parser("prompts", help="prompts of the unfinished grid cells")
     p.add_argument("bundle")
     p.add_argument("output")
-    p.add_argument("--done")
+    p.add_argument("--done", help="records that collect-answers appended")
     p.add_argument("--conditions", default=",".join(CONDITIONS))
     p.add_argument("--offset", type=int, default=0)
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--shard", type=int, default=0)
+    p.add_argument("--shards", type=int, default=1, help="more than 1: split by hash instead of by position")
+
+    p = job.add_parser("collect-answers", help="append a model's answers as records; write the run manifest")
+    p.add_argument("bundle")
+    p.add_argument("answers", help="JSONL: condition, example_id, generated_text, latency_ms, token counts")
+    p.add_argument("records")
+    p.add_argument("manifest")
+    p.add_argument("--run-id", required=True)
+    p.add_argument("--model", required=True)
+    p.add_argument("--base-model", required=True)
+    p.add_argument("--adapter-path")
+    p.add_argument("--conditions", default=",".join(CONDITIONS))
+    p.add_argument("--stopped", action="store_true", help="the run ended early")
+    p.add_argument("--max-new-tokens", type=int, default=1536)
+    p.add_argument("--quantization", default="nf4-4bit")
+    p.add_argument("--thinking", action="store_true")
+    p.add_argument("--thinking-budget", type=int, default=1536)
+    p.add_argument("--max-runtime-minutes", type=int, default=0)
 
     p = job.add_parser("load-seed", help="replace the warehouse tables by the CSV files")
     p.add_argument("csv_dir")
@@ -235,16 +302,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.job == "validate":
         found, quota = validate(
             spark, args.data, args.eval, args.known, args.require_ready, args.ingested)
-        if args.out:
-            found.write.mode("errorifexists").parquet(args.out)
-            found = spark.read.parquet(args.out)
-        # The console shows the first messages only; --out has all of them.
-        shown = validation.error_messages(found).orderBy("line_number", "message").limit(MESSAGES_SHOWN)
-        messages = [r["message"] for r in shown.collect()]
+        validation.error_messages(found, keep=["rule", "detail"]).write.mode("errorifexists").parquet(args.out)
+        # The folder has every message; the console has their number per rule.
+        by_rule = spark.read.parquet(args.out).groupBy("rule").count().orderBy("rule").collect()
+        lines = [f"{r['rule']}: {r['count']}" for r in by_rule]
         if quota is not None and not quota.isEmpty():
-            messages.append("dataset is not ready: difficulty quota is not met")
-        print("\n".join(messages) if messages else f"Validated {args.data} without direct leakage.")
-        return 1 if messages else 0
+            lines.append("difficulty quota not met")
+        print("\n".join(lines) if lines else f"{args.data}: no violations")
+        return 1 if lines else 0
     if args.job == "ingest":
         jsonl.ingest_sft(spark, args.data, args.output)
     elif args.job == "build":
@@ -254,43 +319,55 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.out:
             sinks.write_jsonl(wrong, args.out)
         else:
-            wrong.orderBy("file", "example_id").show(MESSAGES_SHOWN, truncate=False)
+            show_all(wrong.orderBy("file", "example_id"))
     elif args.job == "analyze":
         table = analyze(spark, args.eval, args.results, args.axis)
         if args.out:
             sinks.write_jsonl(table, args.out)
         else:
             order = [c for c in ("file", "axis", "axis_value") if c in table.columns]
-            table.withColumn("accuracy", three_decimals(F.col("accuracy"))).orderBy(*order).show(
-                MESSAGES_SHOWN, truncate=False)
+            show_all(table.withColumn("accuracy", three_decimals(F.col("correct") / F.col("total"))).orderBy(*order))
     elif args.job == "compare":
         per_run, check = compare_runs(spark, args.root, args.registry)
         if not check.first()["comparable"]:
             raise ValueError("runs do not have the same, non-empty set of rows and hard rows")
         shares = ["accuracy_p0", "accuracy_p1", "hard_accuracy_p0"]
-        per_run.withColumns({c: whole_percent(F.col(c)) for c in shares}).show(
-            MESSAGES_SHOWN, truncate=False)
+        if args.out:
+            sinks.write_jsonl(per_run, args.out)
+        else:
+            show_all(per_run.withColumns({c: whole_percent(F.col(c)) for c in shares}))
     elif args.job == "lengths":
-        length_report(spark, args.data, args.limit).show(truncate=False)
+        report = length_report(spark, args.data, args.limit)
+        if args.out:
+            sinks.write_jsonl(report, args.out)
+        else:
+            show_all(report)
     elif args.job == "check-chat":
         sinks.write_jsonl(chat_problems(spark, args.data), args.output)
     elif args.job == "lint":
         sinks.write_jsonl(lint_file(spark, args.data), args.output)
     elif args.job == "triage":
         accepted, review = triage_candidates(spark, args.candidates, args.first, args.second)
-        sinks.write_jsonl(accepted, args.accepted_out)
-        sinks.write_jsonl(review, args.review_out)
+        accepted.write.mode("errorifexists").text(args.accepted_out)
+        review.write.mode("errorifexists").text(args.review_out)
     elif args.job == "manifest":
         sinks.write_manifest(manifest(spark, args.data, args.version), args.output)
     elif args.job == "prompts":
         chosen = selected_conditions(args.conditions)
         sinks.write_jsonl(
-            pending_prompts(spark, args.bundle, args.done, chosen, args.offset, args.limit), args.output)
+            pending_prompts(spark, args.bundle, args.done, chosen, args.offset, args.limit, args.shard, args.shards),
+            args.output)
+    elif args.job == "collect-answers":
+        sinks.write_manifest(collect_answers(
+            spark, args.bundle, args.answers, args.records, selected_conditions(args.conditions), args.run_id,
+            args.model, args.base_model, args.adapter_path, args.stopped, args.max_new_tokens, args.quantization,
+            args.thinking, args.thinking_budget, args.max_runtime_minutes), args.manifest)
     elif args.job == "load-seed":
         warehouse.load_seed(spark, args.csv_dir, args.out_dir, args.tables)
     elif args.job == "score-stream":
-        write_latest(running_accuracy(scored_stream(spark, args.source, args.files_per_batch)), args.output,
-                     args.checkpoint).awaitTermination()
+        keep_verdicts(scored_stream(spark, args.source, args.files_per_batch), args.output,
+                      args.checkpoint).awaitTermination()
+        show_all(latest_accuracy(spark, args.output).orderBy("condition"))
     return 0
 
 

@@ -19,6 +19,10 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+# What a chat record is made of; a candidate may lack everything else.
+CHAT_FIELDS = ["example_id", "seed_id", "schema", "difficulty", "question_de", "gold_sql"]
+
+
 def chat_records(rows: DataFrame, template: str, context: str) -> DataFrame:
     """User prompt and gold SQL as a two-message conversation.
 

@@ -47,13 +47,16 @@ def dedup_gate(rows: DataFrame, text: Column, priority: list[str], id_col: str =
 
 def next_version(base: DataFrame, removed: DataFrame, added: DataFrame,
                  fixed: DataFrame | None = None) -> DataFrame:
-    """Base without the removed ids, with corrected rows in place of old ones, and added rows."""
+    """Base without the removed ids, with corrected rows in place of old ones, and added rows.
+
+    An id has one row in `fixed`.
+    """
     kept = base.join(removed.select("example_id").distinct(), "example_id", "left_anti").select(
         base.columns)
     if fixed is not None:
-        old = kept.join(fixed.select("example_id").distinct(), "example_id", "left_anti")
-        repaired = fixed.join(kept.select("example_id").distinct(), "example_id", "left_semi")
-        kept = old.select(base.columns).unionByName(repaired.select(base.columns))
+        new = fixed.select("example_id", F.struct(*base.columns).alias("new"))
+        kept = kept.join(new, "example_id", "left").select(*[
+            F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
     return kept.unionByName(added.select(base.columns))
 
 

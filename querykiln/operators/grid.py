@@ -108,12 +108,13 @@ def generation_records(cells: DataFrame, outputs: DataFrame, run_id: str, model:
 
 
 def run_manifest(done: DataFrame, examples: DataFrame, conditions: list[str], run_id: str,
-                 model: str, stopped: bool = False) -> DataFrame:
-    """One row: records, conditions and whether the grid is whole."""
+                 model: str, stopped: bool = False, settings: dict | None = None) -> DataFrame:
+    """One row: records, conditions and whether the grid is whole; then the run's settings as they are."""
     totals = completeness(examples, done, conditions).agg(
         F.sum("records").alias("records"), F.sum("expected").alias("expected"))
     return totals.select(
         F.lit(run_id).alias("run_id"), F.lit(model).alias("model"), "records",
         F.array(*[F.lit(c) for c in conditions]).alias("conditions"),
         ((F.col("records") == F.col("expected")) & F.lit(not stopped)).alias("complete"),
+        *[F.lit(value).alias(name) for name, value in (settings or {}).items()],
     )

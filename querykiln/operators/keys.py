@@ -46,7 +46,8 @@ def key_profile(train_keys: DataFrame, eval_keys: DataFrame | None = None) -> Da
     """Per key: its kind, first position, number of copies, and whether the eval set has it.
 
     One hash aggregation with map-side combine: a key with any number of copies costs each
-    map task one row. Keys without a second copy or eval match are dropped.
+    map task one row. Keys without a second copy or eval match are dropped. Keys are never
+    null; saying so here lets both users of the profile in `join_profile` share its exchange.
     """
     tagged = train_keys.select("kind", "key", "ord", F.lit(1).alias("n"), F.lit(False).alias("in_eval"))
     if eval_keys is not None:
@@ -57,6 +58,7 @@ def key_profile(train_keys: DataFrame, eval_keys: DataFrame | None = None) -> Da
         tagged.groupBy("key")
         .agg(F.max("kind").alias("kind"), F.min("ord").alias("first_ord"), F.sum("n").alias("copies"),
              F.max("in_eval").alias("in_eval"))
+        .filter(F.col("key").isNotNull())
         .filter((F.col("copies") > 1) | (F.col("in_eval") & (F.col("copies") > 0)))
     )
 

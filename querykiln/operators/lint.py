@@ -9,16 +9,23 @@ from querykiln.functions.text import strip
 from querykiln.schemas import TABLE_PREFIX, WAREHOUSE
 
 # Patterns of the conventions.
-LITERAL = r"'[^']*'"
-EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+\s+FROM\b"
+# Quoted text: triple quotes first, then single ones; raw strings keep their backslashes, but no
+# quote ends at one. Back-quoted names are no text.
+LITERAL = (
+    r"(?s)\"{3}(?:\\.|(?!\"{3}).)*\"{3}|'{3}(?:\\.|(?!'{3}).)*'{3}"
+    r"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+)
+# FROM that names no table: of a date part, and of IS [NOT] DISTINCT FROM.
+EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+(?:\s*\(\s*\w+\s*\))?\s+FROM\b"
+DISTINCT_FROM = r"(?i)\bIS\s+(NOT\s+)?DISTINCT\s+FROM\b"
 TABLE_LIST = (
     r"(?i)\b(?:FROM|JOIN)\s+([^();]*?)(?=[();]|\z|\b(?:WHERE|GROUP|ORDER|HAVING|LIMIT|QUALIFY|WINDOW|UNION"
     r"|INTERSECT|EXCEPT|ON|USING|JOIN|INNER|LEFT|RIGHT|FULL|CROSS)\b)"
 )
 TABLE_NAME = r"^\s*([\w.`-]+)"
-CTE_NAME = r"(?i)(?:\bWITH|,)\s*([A-Za-z_]\w*)\s+AS\s*\("
+CTE_NAME = r"(?i)(?:\bWITH(?:\s+RECURSIVE)?|,)\s*([A-Za-z_]\w*)\s+AS\s*\("
 DYNAMIC_TIME = r"(?i)\bCURRENT_(?:DATE|TIMESTAMP|DATETIME|TIME)\b"
-COMMENT = r"--|/\*"
+COMMENT = r"--|/\*|#"
 QUERY_START = r"(?i)^(?:SELECT|WITH)\b"
 TRAILING_SEMICOLON = r";\s*\z"
 
@@ -30,7 +37,7 @@ def bare_sql(sql: Column) -> Column:
 
 def table_refs(sql: Column) -> Column:
     """Distinct lower-case tables after FROM or JOIN, without names the query itself defines."""
-    text = F.regexp_replace(bare_sql(sql), EXTRACT_FROM, "EXTRACT(")
+    text = F.regexp_replace(F.regexp_replace(bare_sql(sql), EXTRACT_FROM, "EXTRACT("), DISTINCT_FROM, "=")
     plain = lambda names: F.transform(names, lambda t: F.replace(F.lower(t), F.lit("`"), F.lit("")))
     lists = F.regexp_extract_all(text, F.lit(TABLE_LIST), F.lit(1))
     items = F.flatten(F.transform(lists, lambda part: F.split(part, ",")))

@@ -29,15 +29,14 @@ def triage_summary(triage: DataFrame) -> DataFrame:
 
 def finalise(triage: DataFrame, approved: DataFrame, rejected: DataFrame) -> DataFrame:
     """Consensus rows and manually approved review rows, without the rejected ones."""
-    consensus = triage.filter(F.col("status") == "accepted").select(
-        "example_id", F.lit("consensus").alias("accepted_by"))
-    manual = (
-        triage.filter(F.col("status") == "review").select("example_id")
-        .join(approved.select("example_id").distinct(), "example_id", "left_semi")
-        .select("example_id", F.lit("review").alias("accepted_by"))
+    said_yes = approved.select("example_id").distinct().withColumn("approved", F.lit(True))
+    by = F.when(F.col("status") == "accepted", "consensus").when(
+        (F.col("status") == "review") & F.col("approved"), "review")
+    return (
+        triage.select("example_id", "status").join(said_yes, "example_id", "left")
+        .select("example_id", by.alias("accepted_by")).filter("accepted_by is not null")
+        .join(rejected.select("example_id").distinct(), "example_id", "left_anti")
     )
-    return consensus.unionByName(manual).join(
-        rejected.select("example_id").distinct(), "example_id", "left_anti")
 
 
 def gate_funnel(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:
@@ -62,14 +61,13 @@ def gate_funnel(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:
 def slots_to_regenerate(plan: DataFrame, candidates: DataFrame, report: DataFrame,
                         attempts: DataFrame | None = None, max_attempts: int | None = None) -> DataFrame:
     """Slots without a candidate and slots whose gold query failed; spent slots are left out."""
-    missing = plan.join(candidates.select("slot_id").distinct(), "slot_id", "left_anti").select(
-        "slot_id", F.lit("missing").alias("reason"))
-    bad = report.filter(F.col("status") == "replace").select("slot_id").distinct()
-    failed = (
-        plan.join(candidates.select("slot_id").distinct(), "slot_id", "left_semi")
-        .join(bad, "slot_id", "left_semi").select("slot_id", F.lit("failed").alias("reason"))
+    there = candidates.select("slot_id").distinct().withColumn("there", F.lit(True))
+    bad = report.filter(F.col("status") == "replace").select("slot_id").distinct().withColumn("bad", F.lit(True))
+    reason = F.when(F.col("there").isNull(), "missing").when(F.col("bad"), "failed")
+    out = (
+        plan.select("slot_id").join(there, "slot_id", "left").join(bad, "slot_id", "left")
+        .select("slot_id", reason.alias("reason")).filter("reason is not null")
     )
-    out = missing.unionByName(failed)
     if attempts is not None and max_attempts is not None:
         spent = attempts.groupBy("slot_id").agg(F.count(F.lit(1)).alias("n")).filter(
             F.col("n") >= max_attempts)

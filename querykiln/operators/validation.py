@@ -17,6 +17,13 @@ LEAK_RULES = {"seed_id": "eval seed leakage", "question": "eval question leakage
               "gold_sql": "eval SQL leakage"}
 
 
+def require_keys(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The rows, all of which must have `keys`: the first one without them stops the job."""
+    lacking = F.array_intersect("missing_keys", F.array(*[F.lit(k) for k in keys]))
+    return rows.filter(F.when(F.size(lacking) == 0, F.lit(True)).otherwise(F.raise_error(
+        F.concat(F.lit(f"{what} lacks "), F.array_join(lacking, ", "))).cast("boolean")))
+
+
 def complete(rows: DataFrame) -> DataFrame:
     """Rows with all required keys; the others are reported once and take no further part."""
     return rows.filter(F.size("missing_keys") == 0)
@@ -163,7 +170,7 @@ def disallowed_contexts(lineage: DataFrame, allowed: list[str]) -> DataFrame:
     return lineage.filter(~F.coalesce(F.col("context_file").isin(allowed), F.lit(False)))
 
 
-def error_messages(found: DataFrame, order_col: str = "line_number") -> DataFrame:
+def error_messages(found: DataFrame, order_col: str = "line_number", keep: list[str] = ()) -> DataFrame:
     """Text form of violations, for reports."""
     text = F.when(
         F.col("rule") == "missing keys",
@@ -171,4 +178,4 @@ def error_messages(found: DataFrame, order_col: str = "line_number") -> DataFram
                         F.concat(F.lit("'"), F.replace(F.col("detail"), F.lit(","), F.lit("', '")),
                                  F.lit("'"))),
     ).otherwise(F.format_string("line %d: %s", F.col(order_col), F.col("rule")))
-    return found.select(F.col(order_col), text.alias("message"))
+    return found.select(F.col(order_col), text.alias("message"), *keep)

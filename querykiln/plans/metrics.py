@@ -137,13 +137,13 @@ def returns_per_item(returns: DataFrame) -> DataFrame:
 
 def net_revenue_after_returns(wh: Warehouse) -> DataFrame:
     """Net revenue, refunds as recorded, and their difference per month."""
-    lines = wh.order_items.join(returns_per_item(wh.returns), "order_item_id", "left")
+    # Only returned lines go to their orders a second time; the two sums meet as one row per month.
     orders = sold_orders(wh).select("order_id", F.trunc("order_date", "month").alias("month"))
-    per_rate = lines.join(orders, "order_id").groupBy("month", "tax_rate").agg(
-        F.sum(line_gross()).alias("gross"), F.sum(F.coalesce("refund", F.lit(0))).alias("refund"))
-    per_month = per_rate.groupBy("month").agg(
-        F.sum(net_of_tax(F.col("gross"), F.col("tax_rate"))).alias("net"),
-        F.sum("refund").cast("decimal(38,8)").alias("refund"))
+    returned = wh.order_items.select("order_item_id", "order_id").join(returns_per_item(wh.returns), "order_item_id")
+    refunds = returned.groupBy("order_id").agg(F.sum("refund").alias("refund")).join(orders, "order_id").groupBy(
+        "month").agg(F.sum("refund").cast("decimal(38,8)").alias("refund"))
+    per_month = monthly_net(wh).join(refunds, "month", "left").withColumn(
+        "refund", F.coalesce("refund", F.lit(0).cast("decimal(38,8)")))
     return per_month.select(
         month_key(F.col("month")).alias("month"), as_money(F.col("net")).alias("net_revenue"), as_money(F.col("refund")).alias("refunds"),
         as_money(F.col("net") - F.col("refund")).alias("net_after_returns"))
@@ -301,20 +301,24 @@ def order_count_vs_quantity_sold(wh: Warehouse) -> DataFrame:
 
 def return_rate_by_reason(wh: Warehouse) -> DataFrame:
     """Returned quantity and refunds per reason, as a share of the quantity sold (sold orders only)."""
-    lines = wh.order_items.join(sold_orders(wh).select("order_id"), "order_id", "left_semi")
     per_item = wh.returns.groupBy("order_item_id", "reason_code").agg(
         F.count(F.lit(1)).alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
         F.sum("refund_amount").alias("refund"))
-    reasons = (
-        per_item.join(lines.select("order_item_id"), "order_item_id", "left_semi")
-        .groupBy("reason_code").agg(
+    # Returns come with their order, so that lines meet orders once: as one row per order for what
+    # was sold, and one per order and reason for what came back.
+    sold = wh.order_items.groupBy("order_id").agg(F.sum("quantity").alias("sold"))
+    back = per_item.join(wh.order_items.select("order_item_id", "order_id"), "order_item_id").groupBy(
+        "order_id", "reason_code").agg(
             F.sum("returns").alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
             F.sum("refund").alias("refund"))
-    )
-    total = lines.agg(F.sum("quantity").alias("sold"))
-    # One row per reason and one for the total: the window spreads the total over them.
-    rows = reasons.unionByName(total, allowMissingColumns=True).withColumn(
-        "sold", F.max("sold").over(Window.partitionBy()))
+    both = sold.unionByName(back, allowMissingColumns=True).join(
+        sold_orders(wh).select("order_id"), "order_id", "left_semi")
+    # A row of sold quantities has no `returns`, and ends up under the reason that is null.
+    reasons = both.groupBy("reason_code", F.col("returns").isNull().alias("sales")).agg(
+        F.sum("sold").alias("sold"), F.sum("returns").alias("returns"),
+        F.sum("quantity_returned").alias("quantity_returned"), F.sum("refund").alias("refund"))
+    # One row per reason and one for the sales: the window spreads the quantity sold over them.
+    rows = reasons.withColumn("sold", F.max("sold").over(Window.partitionBy()))
     return rows.filter("returns is not null").select(
         "reason_code", "returns", "quantity_returned", as_money(F.col("refund")).alias("refund_amount"),
         F.round(ratio(F.col("quantity_returned"), F.col("sold")), 6).alias("return_rate"))

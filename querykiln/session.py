@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -37,12 +40,19 @@ def build_session(app: str = "querykiln", master: str | None = None,
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below `spark.checkpoint.dir`, the storage every executor can reach.
 
-    Where the session names none, a temporary folder serves a local master; a cluster needs
-    the setting, since its executors do not share a local disk.
+    Where the session names none, a temporary folder serves a local master until the process
+    ends; a cluster needs the setting, since its executors do not share a local disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="querykiln-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/querykiln/{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_scratch() -> str:
+    folder = tempfile.mkdtemp(prefix="querykiln-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

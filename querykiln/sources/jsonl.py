@@ -91,10 +91,14 @@ def line_numbers(found: DataFrame, lines: DataFrame, name: str = "line_number")
 def ingest_sft(spark: SparkSession, path: str, out: str) -> None:
     """Parquet copy of a candidate file with plain line numbers.
 
-    Later checks then read only the columns they need and order by a number instead of an ordinal.
+    Later checks then read only the columns they need and order by a number instead of an ordinal;
+    `raw` keeps the line with all its fields.
     """
-    rows = read_sft(spark, path)
-    line_numbers(rows, rows).drop("ordinal").write.mode("errorifexists").parquet(out)
+    lines = read_lines(spark, path)
+    rows = lines.select(
+        "ordinal", "raw", missing_keys(F.col("raw"), SFT_REQUIRED_KEYS).alias("missing_keys"),
+        parse_json(F.col("raw"), SFT_CANDIDATE).alias("r")).select("ordinal", "raw", "missing_keys", "r.*")
+    line_numbers(rows, lines).drop("ordinal").write.mode("errorifexists").parquet(out)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from querykiln import jobs
 from querykiln.operators import curation
 from querykiln.session import shared_folder
 from querykiln.sources import jsonl, sinks, warehouse
-from querykiln.streaming.scoring import running_accuracy, scored_stream, thin_repeats, write_latest
+from querykiln.streaming.scoring import keep_verdicts, latest_accuracy, running_accuracy, scored_stream
 from tests.test_validation import example, write
 
 
@@ -28,11 +28,38 @@ def files(tmp_path):
 def test_validate(spark, files, capsys):
     out = str(files["dir"] / "found")
     assert jobs.main(["validate", files["data"], "--eval", files["eval"], "--require-ready", "--out", out], spark) == 1
-    assert capsys.readouterr().out.splitlines() == [
-        "line 3: duplicate question", "dataset is not ready: difficulty quota is not met"]
-    assert spark.read.parquet(out).count() == 1
+    assert capsys.readouterr().out.splitlines() == ["duplicate question: 1", "difficulty quota not met"]
+    assert [r.message for r in spark.read.parquet(out).collect()] == ["line 3: duplicate question"]
     clean = write(files["dir"] / "clean.jsonl", [example(1)])
-    assert jobs.main(["validate", clean, "--eval", files["eval"]], spark) == 0
+    assert jobs.main(["validate", clean, "--eval", files["eval"], "--out", out + "2"], spark) == 0
+
+
+def without(row, key):
+    return {k: v for k, v in row.items() if k != key}
+
+
+def test_validate_reports_every_violation(spark, files, capsys):
+    data = write(files["dir"] / "many.jsonl", [example(i, difficulty="odd") for i in range(1500)])
+    out = str(files["dir"] / "many")
+    assert jobs.main(["validate", data, "--eval", files["eval"], "--out", out], spark) == 1
+    assert spark.read.parquet(out).filter("rule = 'invalid difficulty'").count() == 1500
+    assert "invalid difficulty: 1500" in capsys.readouterr().out
+
+
+def test_held_out_row_without_keys_stops(spark, files):
+    bad = write(files["dir"] / "bad.jsonl", [without(example(9), "seed_id")])
+    with pytest.raises(Exception, match="seed_id"):
+        jobs.main(["validate", files["data"], "--eval", bad, "--out", str(files["dir"] / "x")], spark)
+
+
+def test_build_stops_at_a_needed_field_only(spark, files):
+    text = files["dir"] / "t.txt"
+    text.write_text("{{question_de}}", "utf-8")
+    good = write(files["dir"] / "good.jsonl", [example(1), without(example(2), "axis_time")])
+    assert jobs.build_chat(spark, good, str(text), str(text)).count() == 2
+    bad = write(files["dir"] / "bad.jsonl", [example(1), without(example(2), "gold_sql")])
+    with pytest.raises(Exception, match="gold_sql"):
+        jobs.build_chat(spark, bad, str(text), str(text)).collect()
 
 
 def test_validate_ingested_copies(spark, files, rows):
@@ -94,14 +121,16 @@ def test_compare_runs(spark, files, rows):
 
 
 def test_triage_job(spark, files):
+    files["data"] = write(files["dir"] / "c.jsonl", [example(i, split="iid", origin={"by": "hand"}) for i in (1, 2, 3)])
     first = write(files["dir"] / "m1.jsonl", [scored(1, True), scored(2, True)])
     second = write(files["dir"] / "m2.jsonl", [scored(1, True), scored(2, False), scored(3, True)])
     out = {n: files["dir"] / n for n in ("accepted", "review")}
     jobs.main(["triage", files["data"], first, second, "--accepted-out", str(out["accepted"]),
                "--review-out", str(out["review"])], spark)
-    ids = {n: sorted(r["example_id"] for r in read_json(path)) for n, path in out.items()}
+    read_lines = lambda path: [json.loads(x) for p in path.glob("part-*") for x in p.read_text("utf-8").splitlines()]
+    ids = {n: sorted(r["example_id"] for r in read_lines(path)) for n, path in out.items()}
     assert ids == {"accepted": ["e1"], "review": ["e2", "e3"]}
-    assert set(read_json(out["accepted"])[0]) == set(example(1))
+    assert read_lines(out["accepted"])[0] == example(1, split="iid", origin={"by": "hand"})
 
 
 def test_missing_run_file_is_an_error(spark, files):
@@ -130,7 +159,8 @@ def test_manifest_and_lint(spark, files):
     out = files["dir"] / "manifest"
     jobs.main(["manifest", files["data"], "v9", str(out)], spark)
     (row,) = read_json(out)
-    assert row["selected_candidates"] == 3 and row["difficulty"] == {"easy": 3} and len(row["candidate_sha256"]) == 64
+    assert row["selected_candidates"] == 3 and row["difficulty"] == {"easy": 3} and len(row["content_fingerprint"]) == 64
+    assert row["candidate_sha256"] == hashlib.sha256(open(files["data"], "rb").read()).hexdigest()
     jobs.main(["lint", files["data"], str(files["dir"] / "lint")], spark)
     assert read_json(files["dir"] / "lint") == []
 
@@ -145,7 +175,8 @@ def bundle(files, contexts=("P0", "P1", "P2")):
 
 
 def test_pending_prompts(spark, files, rows):
-    done = write(files["dir"] / "done.jsonl", [scored(1, True, "P0")])
+    done = str(files["dir"] / "done")
+    sinks.append_records(spark.createDataFrame([("P0", "e1", "x")], "condition string, example_id string, generated_sql string"), done)
     out = files["dir"] / "prompts"
     jobs.main(["prompts", bundle(files), str(out), "--done", done, "--conditions", "p0,P2", "--offset", "1", "--limit", "2"], spark)
     assert sorted((r["condition"], r["prompt"]) for r in read_json(out)) == [
@@ -185,24 +216,60 @@ def test_append_sink_resumes(spark, files, rows):
 def test_stream_counts_each_key_once_and_resumes(spark, files, rows):
     source, out, mark = files["dir"] / "in", str(files["dir"] / "acc"), str(files["dir"] / "cp")
     source.mkdir()
-    run = lambda: write_latest(running_accuracy(scored_stream(spark, str(source), 1)), out, mark).awaitTermination()
+    run = lambda: keep_verdicts(scored_stream(spark, str(source), 1), out, mark).awaitTermination()
     write(source / "a.jsonl", [scored(1, True), scored(2, None)])
     write(source / "b.jsonl", [scored(1, True), scored(1, False, "P1")])
     run()
-    assert rows(spark.read.parquet(out)) == [("P0", 2, 1, 0.5), ("P1", 1, 0, 0.0)]
+    assert rows(latest_accuracy(spark, out)) == [("P0", 2, 1, 0.5), ("P1", 1, 0, 0.0)]
     write(source / "c.jsonl", [scored(2, None), scored(3, True)])
     run()
-    assert rows(spark.read.parquet(out)) == [("P0", 3, 2, 0.666667), ("P1", 1, 0, 0.0)]
+    assert rows(latest_accuracy(spark, out)) == [("P0", 3, 2, 0.666667), ("P1", 1, 0, 0.0)]
+    assert spark.read.parquet(out).count() == 4
+
 
+@pytest.mark.parametrize("order", ["abc", "cab", "bca"])
+def test_stream_does_not_depend_on_the_order_of_disagreeing_copies(spark, files, rows, order):
+    batches = {"a": [scored(1, True), scored(1, False), scored(2, True)], "b": [scored(1, True), scored(2, True)],
+               "c": [scored(2, False), scored(3, True)]}
+    source, out, mark = files["dir"] / "in", str(files["dir"] / "acc"), str(files["dir"] / "cp")
+    source.mkdir()
+    for name in order:
+        write(source / f"{name}.jsonl", batches[name])
+        keep_verdicts(scored_stream(spark, str(source), 1), out, mark).awaitTermination()
+    assert rows(latest_accuracy(spark, out)) == [("P0", 3, 1, 0.333333)]
 
-def test_repeats_are_thinned_before_the_state(spark, rows):
+
+def test_repeats_count_once(spark, rows):
     data = [("P0", "hot", True)] * 500 + [("P0", "a", None), ("P1", "hot", False)]
-    frame = spark.createDataFrame(data, "condition string, example_id string, result_equivalent boolean").coalesce(1)
-    assert rows(thin_repeats(frame, ["condition", "example_id"])) == [
-        ("P0", "a", None), ("P0", "hot", True), ("P1", "hot", False)]
+    frame = spark.createDataFrame(data, "condition string, example_id string, result_equivalent boolean")
     assert rows(running_accuracy(frame)) == [("P0", 2, 1, 0.5), ("P1", 1, 0, 0.0)]
 
 
+def test_generation_cycle_closes(spark, files):
+    path, records = bundle(files), str(files["dir"] / "records")
+    answer = lambda c, i: dict(condition=c, example_id=f"e{i}", generated_text=f"SELECT {i}", latency_ms=5,
+                               thinking_tokens=0, generated_tokens=3)
+    done = []
+    for turn, cells in enumerate([[("P0", 0), ("P0", 1)], [("P0", 2), ("P0", 3), ("P1", 0), ("P1", 1), ("P1", 2), ("P1", 3)]]):
+        answers = write(files["dir"] / f"a{turn}.jsonl", [answer(*cell) for cell in cells])
+        out = files["dir"] / f"m{turn}"
+        jobs.main(["collect-answers", path, answers, records, str(out), "--run-id", "r", "--model", "m", "--base-model", "b",
+                   "--conditions", "P0,P1", "--adapter-path", "ad"], spark)
+        (row,) = read_json(out)
+        done += cells
+        assert row["records"] == len(done) and row["complete"] is (turn == 1) and row["adapter_required"] is True
+        assert row["bundle_sha256"] == hashlib.sha256(open(path, "rb").read()).hexdigest() and row["result_file"] == records
+        left = jobs.pending_prompts(spark, path, records, ["P0", "P1"])
+        assert left.count() == 8 - len(done)
+    parts = [jobs.pending_prompts(spark, path, None, ["P0", "P1"], shard=i, shards=3).count() for i in range(3)]
+    assert sum(parts) == 8
+    with pytest.raises(ValueError, match="unexpected condition"):
+        jobs.pending_prompts(spark, path, records, ["P0"])
+    sinks.append_records(spark.read.parquet(records).filter("example_id = 'e1' and condition = 'P0'"), records)
+    with pytest.raises(ValueError, match="P0/e1: duplicate"):
+        jobs.pending_prompts(spark, path, records, ["P0", "P1"])
+
+
 def session_with(master, **conf):
     return SimpleNamespace(conf=conf_reader(conf), sparkContext=SimpleNamespace(master=master))
 
