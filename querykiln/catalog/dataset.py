@@ -340,8 +340,8 @@ QUERIES = {
         SELECT CAST(doc_id AS VARCHAR) AS example_id, rule FROM documents, (VALUES
             (1, 'table_prefix'), (2, 'table_prefix'), (3, 'dynamic_time'), (4, 'dynamic_time'),
             (5, 'markdown_fence'), (5, 'query_start'), (6, 'comment'), (7, 'single_query'),
-            (8, 'query_start')) expected(form, rule)
-        WHERE doc_id % 12 = form"""),
+            (8, 'query_start'), (16, 'comment')) expected(form, rule)
+        WHERE doc_id % 18 = form"""),
     "gate_funnel": (gate_funnel, with_views("""
         WITH f AS (
             SELECT is_complete AS a, a AND doc_id % 59 <> 0 AS b, b AND doc_id % 5 <> 0 AS c,

@@ -81,7 +81,7 @@ def gold_nonempty_gate(spark, sf_dir: str) -> DataFrame:
 def _triage(spark, sf_dir: str) -> DataFrame:
     s = V.scored(spark, sf_dir).filter("condition = 'P0'")
     return triage.consensus_triage(
-        V.axis_eval(spark, sf_dir).select("example_id"), s.filter("run = 'run_a'"), s.filter("run = 'run_b'"))
+        V.examples(spark, sf_dir).select("example_id"), s.filter("run = 'run_a'"), s.filter("run = 'run_b'"))
 
 
 def consensus_triage(spark, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def triage_summary(spark, sf_dir: str) -> DataFrame:
 
 def final_silver(spark, sf_dir: str) -> DataFrame:
     """Consensus rows, even reviewed ones approved, and a few rejected."""
-    docs = V.axis_eval(spark, sf_dir).select("example_id", "doc_id")
+    docs = V.examples(spark, sf_dir).select("example_id", "doc_id")
     return triage.finalise(
         _triage(spark, sf_dir), docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 89 = 0"))
 
@@ -114,12 +114,12 @@ def plan_candidate_mismatches(spark, sf_dir: str) -> DataFrame:
 def slots_to_regenerate(spark, sf_dir: str) -> DataFrame:
     return triage.slots_to_regenerate(
         V.plan(spark, sf_dir).select("slot_id"), V.candidates(spark, sf_dir),
-        V.gold_report(spark, sf_dir), V.attempts(spark, sf_dir), max_attempts=6)
+        V.gold_report(spark, sf_dir), V.attempts(spark, sf_dir), max_attempts=30)
 
 
 def pending_grid(spark, sf_dir: str) -> DataFrame:
     done = V.scored(spark, sf_dir).filter("run = 'run_a'")
-    return grid.pending(V.axis_eval(spark, sf_dir).select("example_id"), done, CONDITIONS)
+    return grid.pending(V.examples(spark, sf_dir).select("example_id"), done, CONDITIONS)
 
 
 def completeness(spark, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def run_manifest(spark, sf_dir: str) -> DataFrame:
 
 def shard_by_offset(spark, sf_dir: str) -> DataFrame:
     """The second shard of fifty examples in file order."""
-    rows = V.axis_eval(spark, sf_dir).select("example_id", "line_number")
+    rows = V.examples(spark, sf_dir).select("example_id", "line_number")
     return grid.slice_shard(rows, offset=50, limit=50)
 
 
@@ -153,7 +153,7 @@ def resume_integrity(spark, sf_dir: str) -> DataFrame:
 def _bundle_examples(spark, sf_dir: str) -> DataFrame:
     contexts = F.create_map(*[F.lit(x) for pair in CONTEXTS.items() for x in pair])
     split = F.when(F.col("doc_id") % 4 == 0, "ood").otherwise("iid")
-    return V.axis_eval(spark, sf_dir).select(
+    return V.examples(spark, sf_dir).select(
         "example_id", "question_de", split.alias("split"), "difficulty", contexts.alias("contexts"),
         F.lit(TEMPLATE).alias("prompt_template"), F.lit("v1").alias("prompt_version"),
         F.lit("eval_v2").alias("eval_version"))
@@ -166,7 +166,7 @@ def prompt_grid(spark, sf_dir: str) -> DataFrame:
 
 def generation_records(spark, sf_dir: str) -> DataFrame:
     cells = grid.grid(_bundle_examples(spark, sf_dir).drop("contexts", "question_de"), CONDITIONS)
-    outputs = grid.grid(V.model_outputs(spark, sf_dir).filter("doc_id % 7 <> 0"), ["P0", "P1"]).select(
+    outputs = grid.grid(V.model_outputs(spark, sf_dir), ["P0", "P1"]).select(
         "condition", "example_id", "generated_text", F.col("doc_id").alias("latency_ms"),
         F.lit(0).alias("thinking_tokens"), F.char_length("generated_text").alias("generated_tokens"))
     return grid.generation_records(cells, outputs, "run_a", "model_a", "base_a").drop("adapter_path")
@@ -200,7 +200,7 @@ _TRIAGED = """
     t AS (SELECT example_id, doc_id, CASE WHEN a IS NULL THEN 'missing' WHEN a THEN 'equal' ELSE 'different' END AS first_ok,
                  CASE WHEN b IS NULL THEN 'missing' WHEN b THEN 'equal' ELSE 'different' END AS second_ok,
                  CASE WHEN a AND b THEN 'accepted' ELSE 'review' END AS status
-          FROM fx_axis_eval LEFT JOIN v USING (example_id))"""
+          FROM fx_examples LEFT JOIN v USING (example_id))"""
 _BY_RUN = """
     c AS (SELECT run, count(*) FILTER (condition = 'P0') AS total,
                  count(*) FILTER (condition = 'P0' AND verdict) / count(*) FILTER (condition = 'P0') AS a0,
@@ -279,7 +279,7 @@ QUERIES = {
         SELECT 'run_a' AS run_id, 'model_a' AS model, records, records = 2 * (SELECT count(*) FROM labels) AS complete
         FROM n""", "fx_scored")),
     "shard_by_offset": (shard_by_offset, with_views(
-        "SELECT example_id, line_number FROM fx_axis_eval ORDER BY line_number LIMIT 50 OFFSET 50", "fx_axis_eval")),
+        "SELECT example_id, line_number FROM fx_examples ORDER BY line_number LIMIT 50 OFFSET 50", "fx_examples")),
     "first_records": (first_records, with_views(
         "SELECT example_id, line_number FROM fx_train ORDER BY line_number LIMIT 64", "fx_train")),
     "gold_nonempty_gate": (gold_nonempty_gate, """
@@ -288,13 +288,13 @@ QUERIES = {
                CASE WHEN "rows" > 0 THEN 'ok' ELSE 'replace' END AS status
         FROM orders GROUP BY 1"""),
     "consensus_triage": (consensus_triage, with_views(
-        f"WITH {_TRIAGED} SELECT example_id, first_ok, second_ok, status FROM t", "fx_scored", "fx_axis_eval")),
+        f"WITH {_TRIAGED} SELECT example_id, first_ok, second_ok, status FROM t", "fx_scored", "fx_examples")),
     "triage_summary": (triage_summary, with_views(
-        f"WITH {_TRIAGED} SELECT status, count(*) AS examples FROM t GROUP BY status", "fx_scored", "fx_axis_eval")),
+        f"WITH {_TRIAGED} SELECT status, count(*) AS examples FROM t GROUP BY status", "fx_scored", "fx_examples")),
     "final_silver": (final_silver, with_views(f"""
         WITH {_TRIAGED}
         SELECT example_id, CASE status WHEN 'accepted' THEN 'consensus' ELSE 'review' END AS accepted_by
-        FROM t WHERE (status = 'accepted' OR doc_id % 2 = 0) AND doc_id % 89 <> 0""", "fx_scored", "fx_axis_eval")),
+        FROM t WHERE (status = 'accepted' OR doc_id % 2 = 0) AND doc_id % 89 <> 0""", "fx_scored", "fx_examples")),
     "plan_family_check": (plan_family_check, with_views(
         "SELECT family, count(*) AS slots FROM fx_plan GROUP BY family HAVING count(*) <> 3", "fx_plan")),
     "plan_candidate_mismatches": (plan_candidate_mismatches, with_views("""
@@ -305,11 +305,11 @@ QUERIES = {
     "slots_to_regenerate": (slots_to_regenerate, with_views("""
         SELECT slot_id, CASE WHEN slot_id % 7 = 0 THEN 'missing' ELSE 'failed' END AS reason FROM fx_plan
         WHERE (slot_id % 7 = 0 OR slot_id % 17 = 0) AND slot_id NOT IN (
-            SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey HAVING count(*) >= 6)""",
+            SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) >= 30)""",
         "fx_plan")),
     "pending_grid": (pending_grid, with_views("""
-        SELECT example_id, condition FROM fx_axis_eval, (VALUES ('P0'), ('P1'), ('P2')) c(condition)
-        EXCEPT SELECT example_id, condition FROM fx_scored WHERE run = 'run_a'""", "fx_axis_eval", "fx_scored")),
+        SELECT example_id, condition FROM fx_examples, (VALUES ('P0'), ('P1'), ('P2')) c(condition)
+        EXCEPT SELECT example_id, condition FROM fx_scored WHERE run = 'run_a'""", "fx_examples", "fx_scored")),
     "completeness": (completeness, with_views("""
         SELECT condition, count(DISTINCT s.example_id) AS records, (SELECT count(*) FROM labels) AS expected,
                count(DISTINCT s.example_id) = (SELECT count(*) FROM labels) AS complete
@@ -321,11 +321,11 @@ QUERIES = {
         FROM fx_scored GROUP BY condition, example_id HAVING condition <> 'P0' OR count(*) > 1""", "fx_scored")),
     "prompt_grid": (prompt_grid, with_views(f"""
         SELECT condition, example_id, {_PROMPT} AS prompt_sha256
-        FROM fx_axis_eval, (VALUES ('P0', 'bare schema'), ('P1', 'schema and glossary'),
-                                   ('P2', {_sql(CONTEXT)})) c(condition, context)""", "fx_axis_eval")),
+        FROM fx_examples, (VALUES ('P0', 'bare schema'), ('P1', 'schema and glossary'),
+                                   ('P2', {_sql(CONTEXT)})) c(condition, context)""", "fx_examples")),
     "generation_records": (generation_records, with_views("""
         WITH o AS (SELECT *, trim(text, e' \\t\\n\\r') AS body, 'SELECT ' || n_chars || ' FROM ecom_v1.orders' AS q
-                   FROM fx_axis_eval WHERE doc_id % 7 <> 0)
+                   FROM fx_examples)
         SELECT 'run_a' AS run_id, 'eval_v2' AS eval_version, 'ecom-v1' AS schema,
                CASE WHEN doc_id % 4 = 0 THEN 'ood' ELSE 'iid' END AS split, difficulty, example_id,
                'model_a' AS model, 'base_a' AS base_model, 'base' AS model_mode, 'v1' AS prompt_version,
@@ -337,7 +337,7 @@ QUERIES = {
                     WHEN 2 THEN length(text) + length(q) + 28 WHEN 3 THEN length(text) + length(q) + 25
                     WHEN 4 THEN length(q) + 7 WHEN 5 THEN length(text) + 4 WHEN 6 THEN length(text) + 4
                     ELSE length(q) + 4 END AS INTEGER) AS generated_tokens
-        FROM o, (VALUES ('P0'), ('P1')) c(condition)""", "fx_axis_eval")),
+        FROM o, (VALUES ('P0'), ('P1')) c(condition)""", "fx_examples")),
     "streaming_accuracy": (streaming_accuracy, with_views(f"""
         SELECT run, condition, total, correct, accuracy
         FROM (SELECT run, condition, {_ACC} FROM fx_scored GROUP BY ALL)""", "fx_scored")),

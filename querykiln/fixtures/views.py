@@ -268,6 +268,12 @@ def sql_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("WITH m AS (SELECT * FROM ecom_v1.orders), n AS (SELECT * FROM m) ",
            "SELECT * FROM n JOIN `ecom_v1.returns` r ON TRUE;"),
         of("SELECT EXTRACT(YEAR FROM order_date) FROM ecom_v1.orders WHERE x = 'FROM a; -- b'"),
+        of("WITH RECURSIVE t AS (SELECT 1 AS n FROM ecom_v1.orders UNION ALL SELECT n + 1 FROM t) SELECT * FROM t"),
+        of("SELECT EXTRACT(WEEK(MONDAY) FROM order_date) FROM ecom_v1.orders"),
+        of("SELECT 1 FROM ecom_v1.orders WHERE ship_date IS NOT DISTINCT FROM order_date"),
+        of('SELECT "a;b -- c" AS t FROM ecom_v1.orders WHERE order_id = ', n),
+        of("SELECT 'it\\'s; x', \"\"\"a \"b\" -- c;\"\"\" FROM ecom_v1.orders"),
+        of("SELECT ", n, " FROM ecom_v1.orders # note"),
         of("SELECT '", F.col("text"), "' AS t FROM ecom_v1.orders"),
     ]
     text = forms[-1]
@@ -322,6 +328,5 @@ def gold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempt log: one row per first line item of a part."""
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(
-        F.col("l_partkey").alias("slot_id"))
+    """Attempt log: one row per line item of a part."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("slot_id"))

@@ -9,11 +9,13 @@ from querykiln.functions.text import strip
 from querykiln.schemas import TABLE_PREFIX, WAREHOUSE
 
 # Patterns of the conventions.
-# Quoted text: triple quotes first, then single ones; raw strings keep their backslashes, but no
-# quote ends at one. Back-quoted names are no text.
+# Quoted text, triple quotes first; a backslash takes the next character's meaning. Possessive, so that
+# long texts need no stack.
 LITERAL = (
-    r"(?s)\"{3}(?:\\.|(?!\"{3}).)*\"{3}|'{3}(?:\\.|(?!'{3}).)*'{3}"
-    r"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+    r'(?s)"{3}[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"{3}'
+    r"|'{3}[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'{3}"
+    r'|"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 )
 # FROM that names no table: of a date part, and of IS [NOT] DISTINCT FROM.
 EXTRACT_FROM = r"(?i)\bEXTRACT\s*\(\s*\w+(?:\s*\(\s*\w+\s*\))?\s+FROM\b"
