@@ -12,6 +12,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ SYMBOL_BITS = 12
 # The most n-grams of the highest orders that a language's model keeps: rarer ones are left to the
 # lower orders, by one count that is as high as the bound asks for. What is broadcast is
 # bounded by this, whatever the size of the trusted text.
-MAX_GRAMS = 1 << 18
+MAX_GRAMS = 1 << 17
 QUANTILE = 0.99
 HELD_OUT = 5  # one in so many trusted documents sets the limit instead of training the model
 # A document counts as having so many further characters of average trusted text: a few words alone
@@ -190,7 +191,7 @@ class Model:
     """Log-probabilities of one language, from the rows of `estimate`."""
 
     def __init__(self, levels: dict[int, tuple]):
-        self.grams = {s: Lookup(g, np.log(p)) for s, (g, p, _, _) in levels.items()}
+        self.grams = {s: Lookup(g, np.log(np.maximum(p, OVER))) for s, (g, p, _, _) in levels.items()}
         self.contexts = {}
         for s, (_, _, context, left) in levels.items():
             at = np.unique(context, return_index=True)[1]
@@ -214,6 +215,20 @@ class Model:
         return total, len(key)
 
 
+PACKED = {"gram": np.int64, "prob": np.float32, "context": np.int64, "left": np.float32}
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row per language and order, with bounded arrays: the model as the driver takes it."""
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("gram")
+        return pd.DataFrame({"lang": [key[0]], "size": [key[1]], **{
+            c: [part[c].to_numpy().astype(kind).tobytes()] for c, kind in PACKED.items()}})
+
+    return rows.groupBy("lang", "size").applyInPandas(
+        pack, "lang string, size int, gram binary, prob binary, context binary, left binary")
+
+
 def fit(texts: DataFrame, max_grams: int = MAX_GRAMS, quantile: float = QUANTILE, prior: int = PRIOR_CHARS) -> dict:
     """lang -> (levels, mean surprise per character, limit on smoothed perplexity).
 
@@ -221,9 +236,10 @@ def fit(texts: DataFrame, max_grams: int = MAX_GRAMS, quantile: float = QUANTILE
     a language without any, or without others, has no model.
     """
     spark = texts.sparkSession
-    rows = estimate(count_grams(texts.where("not held").select("lang", "body")), max_grams).toPandas()
-    levels = {lang: {int(s): tuple(part[c].to_numpy() for c in ("gram", "prob", "context", "left"))
-                     for s, part in own.groupby("size")} for lang, own in rows.groupby("lang")}
+    levels: dict = {}
+    for row in _packed(estimate(count_grams(texts.where("not held").select("lang", "body")), max_grams)).toLocalIterator():
+        levels.setdefault(row["lang"], {})[row["size"]] = tuple(
+            np.frombuffer(row[c], dtype=kind) for c, kind in PACKED.items())
     held = spark.sparkContext.broadcast(levels)
 
     def run(batches):
