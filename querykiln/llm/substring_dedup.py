@@ -70,7 +70,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     anchor_rows = distinct.select("doc_key", "body").mapInArrow(anchors, "h long, doc_key long, pos int")
     # Written, so that the join with a gram that very many texts have can be split.
     again = stored(anchor_rows.groupBy("h").count().where("count > 1").select("h"), "spans")
-    marks = anchor_rows.join(again, "h", "left_semi").groupBy("doc_key").agg(F.collect_list("pos").alias("marks"))
+    marks = stored(anchor_rows.join(again, "h", "left_semi").groupBy("doc_key").agg(
+        F.collect_list("pos").alias("marks")), "spans")
 
     def edges(batches):
         for batch in batches:
