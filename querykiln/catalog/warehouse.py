@@ -80,6 +80,12 @@ QUERIES = {
         "fx_lines", "fx_products", "fx_tree")),
     "net_revenue_by_month": (_wh(M.net_revenue_by_month), with_views(
         f"WITH {_MONTHLY} SELECT month, net_revenue FROM monthly", "fx_lines")),
+    "net_revenue_by_ship_month": (_wh(M.net_revenue_by_month, "ship_date"), with_views(f"""
+        WITH shipped AS (
+            SELECT l.* EXCLUDE (month), CAST(date_trunc('month', o.order_date + 3) AS DATE) AS month
+            FROM fx_lines l JOIN fx_orders o ON o.order_id = l.order_id WHERE NOT o.unshipped)
+        SELECT strftime(month, '%Y-%m') AS month, {money8('n8')} AS net_revenue FROM ({_net_by('month', 'shipped')})""",
+        "fx_lines", "fx_orders")),
     "net_revenue_after_returns": (_wh(M.net_revenue_after_returns), with_views(f"""
         WITH net AS ({_net_by('month', 'fx_lines')}),
         refunds AS (
@@ -107,6 +113,17 @@ QUERIES = {
         SELECT channel_name, {money8('n8')} AS net_revenue, {money8('c8')} AS purchase_cost,
                {money8('m8')} AS commission, {money8('(n8 - c8 - m8)')} AS margin
         FROM parts""", "fx_lines", "fx_products", "fx_channels")),
+    "contribution_margin_list_commission": (_wh(M.contribution_margin_by_channel, "list"), with_views(f"""
+        WITH net AS ({_net_by('channel_id', 'fx_lines')}),
+        costs AS (
+            SELECT channel_id, SUM(CAST(quantity * list_cents AS HUGEINT)) * 600000 AS c8,
+                   SUM(CAST(quantity * unit_cents AS HUGEINT)) * 150000 AS m8
+            FROM fx_lines JOIN fx_products USING (product_id) WHERE NOT is_cancelled GROUP BY channel_id),
+        parts AS (SELECT channel_name, n8, c8, CASE WHEN partner THEN m8 ELSE 0 END AS m8
+                  FROM net JOIN costs USING (channel_id) JOIN fx_channels USING (channel_id))
+        SELECT channel_name, {money8('n8')} AS net_revenue, {money8('c8')} AS purchase_cost,
+               {money8('m8')} AS commission, {money8('(n8 - c8 - m8)')} AS margin
+        FROM parts""", "fx_lines", "fx_products", "fx_channels")),
     "revenue_last_90_days": (_wh(M.revenue_last_days, V.SNAPSHOT), with_views(f"""
         WITH recent AS (SELECT * FROM fx_lines
             WHERE order_date BETWEEN DATE '2001-06-30' - INTERVAL 90 DAY AND DATE '2001-06-30')

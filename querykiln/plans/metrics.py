@@ -120,12 +120,14 @@ def net_revenue_by_main_category(wh: Warehouse) -> DataFrame:
         "main_category", as_money(F.col("net")).alias("net_revenue"))
 
 
-def monthly_net(wh: Warehouse) -> DataFrame:
-    return without_tax(rate_sums(wh, {"month": F.trunc("order_date", "month")}), ["month"])
+def monthly_net(wh: Warehouse, date_col: str = "order_date") -> DataFrame:
+    """By month of an order's date; orders that do not have the date yet are in no month."""
+    dated = sold_orders(wh).filter(F.col(date_col).isNotNull())
+    return without_tax(rate_sums(wh, {"month": F.trunc(date_col, "month")}, orders=dated), ["month"])
 
 
-def net_revenue_by_month(wh: Warehouse) -> DataFrame:
-    return monthly_net(wh).select(
+def net_revenue_by_month(wh: Warehouse, date_col: str = "order_date") -> DataFrame:
+    return monthly_net(wh, date_col).select(
         month_key(F.col("month")).alias("month"), as_money(F.col("net")).alias("net_revenue"))
 
 
