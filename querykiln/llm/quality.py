@@ -71,7 +71,8 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     kind = rows.schema["doc_id"].dataType.simpleString()
     packed = rows.mapInArrow(run, f"doc_id {kind}, lang string, body binary")
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    return stored(packed.join(ids, "doc_id").select(
+    # The ids grow with the labels, so the join is the same at every size: never a broadcast.
+    return stored(packed.join(ids.hint("merge"), "doc_id").select(
         "lang", "body", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
 
 
