@@ -120,3 +120,13 @@ def test_aqe_splits_a_hot_order(spark):
         g = (7 if i % 2 == 0 else i) % 3
         want[g] = want.get(g, 0) + i
     assert got == want
+
+
+@pytest.mark.parametrize("name, scans, reused", [
+    ("sft_violations", 4, 1), ("leakage_hits", 3, 1), ("known_batch_duplicates", 6, 1), ("final_silver", 7, 0),
+    ("dataset_version_diff", 5, 0), ("slots_to_regenerate", 4, 0)])
+def test_inputs_are_read_no_more_often_than_needed(spark, name, scans, reused):
+    frame = QUERIES[name](spark, SF_DIR)
+    frame.collect()
+    final = physical(frame).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") <= scans and final.count("ReusedExchange") >= reused
