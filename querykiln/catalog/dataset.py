@@ -13,7 +13,7 @@ from querykiln.functions.text import (
 from querykiln.operators import chat, curation, lengths, triage, validation
 from querykiln.operators.lint import lint, passes_lint
 from querykiln.sources.jsonl import missing_keys, parse_json
-from querykiln.schemas import SFT_CANDIDATE, SFT_REQUIRED_KEYS
+from querykiln.schemas import QUALITY_GATES, SFT_CANDIDATE, SFT_REQUIRED_KEYS
 
 # Short texts in the place of the prompt files, which a job reads from its arguments.
 TEMPLATE = "Answer with one SQL query.\n# Schema\n{{schema_context}}\n# Question\n{{question_de}}\n# SQL\n"
@@ -104,6 +104,12 @@ def prohibited_inputs(spark, sf_dir: str) -> DataFrame:
     return validation.prohibited_inputs(lineage, V.PROHIBITED)
 
 
+def disallowed_contexts(spark, sf_dir: str) -> DataFrame:
+    """Train rows whose schema context is not one of the allowed files."""
+    lineage = V.train(spark, sf_dir).select("example_id", F.concat("lang", F.lit(".md")).alias("context_file"))
+    return validation.disallowed_contexts(lineage, ["en.md", "de.md"])
+
+
 def sql_lint(spark, sf_dir: str) -> DataFrame:
     return lint(V.sql_texts(spark, sf_dir))
 
@@ -113,14 +119,9 @@ def gate_funnel(spark, sf_dir: str) -> DataFrame:
     rows = V.train(spark, sf_dir)
     first = curation.dedup_gate(rows, normalize(F.col("question_de")), ["line_number"])
     marked = rows.join(first.select("example_id", F.lit(True).alias("is_first")), "example_id", "left")
-    return triage.gate_funnel(marked, {
-        "json_schema": F.size("missing_keys") == 0,
-        "static_sql": passes_lint(F.col("gold_sql")),
-        "execution": F.col("doc_id") % 5 != 0,
-        "nonempty_result": F.col("n_chars") > 300,
-        "semantic_review": F.col("doc_id") % 11 != 0,
-        "cross_dataset_dedup": F.col("is_first"),
-    })
+    return triage.gate_funnel(marked, dict(zip(QUALITY_GATES, [
+        F.size("missing_keys") == 0, passes_lint(F.col("gold_sql")), F.col("doc_id") % 5 != 0, F.col("n_chars") > 300,
+        F.col("doc_id") % 11 != 0, F.col("is_first")], strict=True)))
 
 
 def dataset_version_diff(spark, sf_dir: str) -> DataFrame:
@@ -336,6 +337,9 @@ QUERIES = {
     "prohibited_inputs": (prohibited_inputs, with_views("""
         SELECT example_id, source AS source_file FROM fx_train WHERE source IN ('src3', 'src7', 'src11')""",
         "fx_train")),
+    "disallowed_contexts": (disallowed_contexts, with_views("""
+        SELECT example_id, lang || '.md' AS context_file FROM fx_train
+        WHERE lang IS NULL OR lang NOT IN ('en', 'de')""", "fx_train")),
     "sql_lint": (sql_lint, """
         SELECT CAST(doc_id AS VARCHAR) AS example_id, rule FROM documents, (VALUES
             (1, 'table_prefix'), (2, 'table_prefix'), (3, 'dynamic_time'), (4, 'dynamic_time'),

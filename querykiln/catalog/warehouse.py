@@ -9,6 +9,7 @@ from querykiln.fixtures import views as V
 from querykiln.fixtures.oracle_views import money8, net8, with_views
 from querykiln.operators.validation import conformance
 from querykiln.plans import metrics as M
+from querykiln.schemas import WAREHOUSE_ENUMS
 
 _YEAR = "DATE '2000-07-01' AND DATE '2001-06-30'"
 _HALF1 = "DATE '2000-07-01' AND DATE '2000-12-31'"
@@ -62,14 +63,13 @@ def warehouse_conformance(spark, sf_dir: str) -> DataFrame:
     wh = V.warehouse(spark, sf_dir)
     return (
         conformance(wh.orders, "orders", ["order_id", "customer_id", "order_date", "order_status"],
-                    {"order_status": ["placed", "shipped", "delivered", "cancelled"],
-                     "payment_method": ["card", "invoice", "paypal", "direct_debit"]})
+                    WAREHOUSE_ENUMS["orders"])
         .unionByName(conformance(wh.customers, "customers", ["customer_id", "segment", "deleted_at"],
-                                 {"country_code": ["DE", "AT", "CH"], "segment": ["private", "business"]}))
+                                 WAREHOUSE_ENUMS["customers"]))
         .unionByName(conformance(wh.order_items, "order_items", ["order_id", "product_id", "quantity"],
-                                 {"tax_rate": ["0.07", "0.19"]}))
+                                 WAREHOUSE_ENUMS["order_items"]))
         .unionByName(conformance(wh.returns, "returns", ["order_item_id", "quantity_returned"],
-                                 {"reason_code": ["defect", "wrong_size", "not_as_described", "no_reason"]}))
+                                 WAREHOUSE_ENUMS["returns"]))
     )
 
 

@@ -90,10 +90,6 @@ def last_subsequence_index(tokens: Column, marker: Column, separator: str = " ")
     ).when(found, F.size(tokens) - F.size(marker) - after).otherwise(F.lit(-1))
 
 
-def sha256_hex(c: Column) -> Column:
-    return F.sha2(c, 256)
-
-
 def digest(c: Column) -> Column:
     """32-byte key standing in for a long text, so that shuffles never carry the text."""
     return F.unhex(F.sha2(c, 256))

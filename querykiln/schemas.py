@@ -42,14 +42,6 @@ SCORED_RECORD = (
     "example_id string, condition string, difficulty string, result_equivalent boolean, "
     "error_class string, generated_sql string"
 )
-GENERATION_RECORD = (
-    "run_id string, eval_version string, schema string, split string, difficulty string, "
-    "example_id string, model string, base_model string, adapter_path string, "
-    "model_mode string, prompt_version string, schema_context_version string, "
-    "condition string, generated_sql string, latency_ms bigint, max_new_tokens int, "
-    "quantization string, thinking boolean, thinking_budget int, thinking_tokens int, "
-    "generated_tokens int"
-)
 EVAL_BUNDLE = (
     "examples array<struct<example_id: string, question_de: string, split: string, "
     "difficulty: string>>, contexts map<string,string>, prompt_template string, "
