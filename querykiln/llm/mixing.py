@@ -195,11 +195,11 @@ def _first_to_reach(rows: DataFrame, key: Column, words: Column) -> DataFrame:
 def write_shards(mixed: DataFrame, path: str) -> None:
     """The mix as files: one folder per shard, each in its own shuffled order, cut documents shortened.
 
-    A draw's first `words` words are written; whole draws keep their text as it is.
+    A draw that is cut has its first words, one space apart; whole draws keep their text as it is.
     """
     rows = mixed.withColumn("draw", F.explode("draws"))
-    cut = F.regexp_extract(
-        "text", F.concat(F.lit(rf"(?s)^(\s*(?:{SPACED_WORD}\s*){{"), F.col("draw.words"), F.lit("})")), 1)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1),
+                               F.col("draw.words").cast("int")), " ")
     rows = rows.withColumns({
         "text": F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text")),
         "shard": F.col("draw.shard"), "slot": F.col("draw.slot")})
