@@ -29,6 +29,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def thinned(rows: DataFrame, h: Column, share: Column | float) -> DataFrame:
+    """An even share of the rows by their hash, picked where they are; all rows if the share is 1 or more.
+
+    What is left to be ordered for a bounded sample is then a few times the sample, not one sample
+    from every task.
+    """
+    return rows.where(F.pmod(h, F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
+
+
 def arrow_columns(df: DataFrame, inputs: dict[str, Column], schema: str,
                   open_task: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]]) -> DataFrame:
     """`df` with new columns computed in Python, one Arrow batch at a time.

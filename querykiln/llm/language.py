@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from querykiln.llm.common import arrow_columns, table
+from querykiln.llm.common import arrow_columns, table, thinned
 
 # The bounded sample: so many labelled texts per language, each giving at most so many
 # characters to the sample, and so many bytes of it in a dictionary.
@@ -40,6 +40,12 @@ def train(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang")
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
                            F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
     rows = rows.where("text is not null and lang is not null and text != ''")
+    # About four times the sample, evenly; what is ranked then no longer grows with the data.
+    shares = {r["lang"]: 4 * SAMPLE_TEXTS / r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not shares:
+        return {}
+    rows = thinned(rows, F.col("h"), F.element_at(
+        F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h")
     sample = (rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
               .withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS)

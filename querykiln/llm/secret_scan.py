@@ -19,9 +19,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, stored, table
+from querykiln.llm.common import arrow_columns, stored, table, thinned
 
-SAMPLE_DOCS = 10_000     # documents, those of the smallest hashes, that give findings and dictionary
+SAMPLE_DOCS = 10_000     # documents, about so many picked evenly by hash, that give findings and dictionary
 DICTIONARY_DOCS = 3      # of these a dictionary word must be in so many
 TREES, DEPTH = 20, 6
 SECRET_SCORE = 0.5
@@ -113,8 +113,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         seed: int = 9) -> Scanner:
     """Train on the findings of a bounded sample; without findings of both kinds there are no trees."""
     h = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"))
-    rows = stored(docs.select(F.col(f"`{text}`").alias("text"), h.alias("h")).where("text is not null")
-                  .orderBy("h", "text").limit(sample), "secrets")
+    there = docs.select(F.col(f"`{text}`").alias("text"), h.alias("h")).where("text is not null")
+    rows = stored(thinned(there, F.col("h"), sample / max(1, there.count())), "secrets")
     words = (rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
              .where("length(w) <= 12").groupBy("w").agg(F.count("*").alias("n")))
     seen = {r.w: r.n for r in words.where(F.col("n") >= DICTIONARY_DOCS).collect()}
