@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,10 @@ from querykiln.llm.common import arrow_columns, stored, table
 
 ORDER = 5
 SYMBOL_BITS = 12
-# The most n-grams of the highest orders that a language's model keeps: rarer ones are left to the
-# lower orders, by one count that is as high as the bound asks for. What is broadcast is
-# bounded by this, whatever the size of the trusted text.
-MAX_GRAMS = 1 << 17
+# A language's model is dealt into buckets of about so many n-grams, and every n-gram is kept: a larger
+# model has more buckets, of which a task holds KEPT_BUCKETS at a time.
+BUCKET_GRAMS = 1 << 18
+KEPT_BUCKETS = 8
 QUANTILE = 0.99
 HELD_OUT = 5  # one in so many trusted documents sets the limit instead of training the model
 # A document counts as having so many further characters of average trusted text: a few words alone
@@ -105,12 +107,12 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def estimate(counts: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """lang, size, gram, prob, backoff: the interpolated model, one row per kept n-gram.
+def estimate(counts: DataFrame) -> DataFrame:
+    """lang, size, gram, prob, context, left: the interpolated model, one row per n-gram.
 
     The highest order has counts; lower orders have the number of different symbols to the left.
     prob is interpolated with the next lower order, joined on the n-gram without its first symbol;
-    backoff is what a context leaves to the lower order for symbols not kept after it.
+    left is what a context leaves to the lower order for symbols not seen after it.
     """
     levels = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"))}
     for size in range(ORDER - 1, 0, -1):
@@ -128,10 +130,9 @@ def estimate(counts: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
         discounts = of_counts.select("lang", "kinds", *[
             F.when(usable, F.greatest(F.lit(0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0))))
             .otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)])
-        cut = _cut(rows, max_grams)
         rows = rows.withColumn("context", F.shiftright("gram", SYMBOL_BITS))
         totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"))
-        kept = (rows.join(F.broadcast(cut), "lang").where("c >= cut").join(F.broadcast(discounts), "lang")
+        kept = (rows.join(F.broadcast(discounts), "lang")
                 .withColumn("own", F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2"))
                             .otherwise(F.col("d3"))))
         kept = kept.join(totals, ["lang", "context"]).withColumn("own", F.greatest(F.lit(0.0), F.col("own")) / F.col("total"))
@@ -149,16 +150,6 @@ def estimate(counts: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     return out
 
 
-def _cut(rows: DataFrame, most: int) -> DataFrame:
-    """lang, cut: the least count such that no more than `most` n-grams have it or a higher one."""
-    by_count = rows.groupBy("lang", F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n"))
-    pairs = by_count.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("c", "n")), asc=False).alias("a"))
-    at = F.aggregate("a", F.struct(F.lit(0).cast("long").alias("sum"), F.lit((1 << 20) + 1).cast("long").alias("cut")),
-                     lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"),
-                                           F.when(s["sum"] + x["n"] <= most, x["c"].cast("long")).otherwise(s["cut"]).alias("cut")))
-    return pairs.select("lang", at["cut"].alias("cut"))
-
-
 class Lookup:
     """Values by 60-bit key: one slot per hash, and a sorted rest for keys whose slot is taken."""
 
@@ -198,57 +189,134 @@ class Model:
             at = np.unique(context, return_index=True)[1]
             self.contexts[s] = Lookup(context[at], np.log(np.maximum(left[at], OVER)))
 
-    def surprise(self, text: str) -> tuple[float, int]:
-        """(sum of -ln p, number of characters)."""
-        key = grams(symbols(text))
-        total = 0.0
-        todo, carry = np.arange(len(key)), np.zeros(len(key))
+    def logs(self, key: np.ndarray) -> np.ndarray:
+        """ln p of the last symbol of each n-gram of the highest order."""
+        out, todo = np.zeros(len(key)), np.arange(len(key))
         for size in range(ORDER, 0, -1):
             part = key[todo] & ((1 << SYMBOL_BITS * size) - 1)
             value, found = self.grams[size].find(part)
-            total -= float((value[found] + carry[found]).sum())
-            todo, carry, part = todo[~found], carry[~found], part[~found]
+            out[todo[found]] += value[found]
+            todo, part = todo[~found], part[~found]
             if not len(todo):
-                break
+                return out
             back, known = self.contexts[size].find(part >> SYMBOL_BITS)
-            carry = carry + np.where(known, back, 0)
-        total -= float((carry + math.log(OVER)).sum()) if len(todo) else 0.0
-        return total, len(key)
+            out[todo] += np.where(known, back, 0)
+        out[todo] += math.log(OVER)
+        return out
+
+    def surprise(self, text: str) -> tuple[float, int]:
+        """(sum of -ln p, number of characters)."""
+        key = grams(symbols(text))
+        return -float(self.logs(key).sum()), len(key)
+
+
+PAIR = (1 << 2 * SYMBOL_BITS) - 1
+SPREAD = 2654435761
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """By the two symbols before the last: all that an n-gram falls back on is then in its bucket."""
+    return ((key >> SYMBOL_BITS & PAIR) * SPREAD >> 16) % buckets
+
+
+def surprises(texts: Iterable[str], buckets: list, model) -> list[tuple[float, int]]:
+    """`Model.surprise` of each text; `model` gives the model of a bucket, wanted once per portion of text."""
+    out: list[tuple[float, int]] = []
+    portion: list[np.ndarray] = []
+
+    def add():
+        key = np.concatenate(portion)
+        of = np.repeat(np.arange(len(portion)), [len(k) for k in portion])
+        at, total = bucket_of(key, len(buckets)), np.zeros(len(portion))
+        for b in np.unique(at):
+            here = at == b
+            total -= np.bincount(of[here], model(buckets[b]).logs(key[here]), minlength=len(portion))
+        out.extend(zip(total.tolist(), map(len, portion), strict=True))
+        portion.clear()
+
+    held = 0
+    for text in texts:
+        portion.append(grams(symbols(text)))
+        held += len(portion[-1])
+        if held > CHUNK_CHARS:
+            add()
+            held = 0
+    if portion:
+        add()
+    return out
+
+
+def bucket_models():
+    """A function from a broadcast bucket to its model; it holds a bounded number of them, the latest."""
+    @lru_cache(KEPT_BUCKETS)
+    def model(bucket) -> Model:
+        # Not by `value`, which would hold every bucket until the worker ends.
+        path = getattr(bucket, "_path", None)
+        return Model(bucket.load_from_path(path) if path else bucket.value)
+
+    return model
 
 
 PACKED = {"gram": np.int64, "prob": np.float32, "context": np.int64, "left": np.float32}
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """One row per language and order, with bounded arrays: the model as the driver takes it."""
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("gram")
-        return pd.DataFrame({"lang": [key[0]], "size": [key[1]], **{
-            c: [part[c].to_numpy().astype(kind).tobytes()] for c, kind in PACKED.items()}})
+def _packed(rows: DataFrame, bucket_grams: int) -> DataFrame:
+    """One row per language, bucket and order: the model as the driver passes it on, bucket by bucket.
 
-    return rows.groupBy("lang", "size").applyInPandas(
-        pack, "lang string, size int, gram binary, prob binary, context binary, left binary")
+    Orders of one and two symbols, bounded by the alphabet, are in every bucket of a language.
+    """
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["size", "gram"])
+        return pd.DataFrame([{"lang": key[0], "bucket": key[1], "buckets": part["buckets"].iloc[0], "size": size, **{
+            c: own[c].to_numpy().astype(kind).tobytes() for c, kind in PACKED.items()}}
+            for size, own in part.groupby("size")])
+
+    buckets = rows.groupBy("lang").agg(F.ceil(F.count("*") / bucket_grams).cast("int").alias("buckets"))
+    own = F.pmod(F.shiftright(F.shiftright("gram", SYMBOL_BITS).bitwiseAND(PAIR) * F.lit(SPREAD), 16), F.col("buckets"))
+    dealt = rows.join(F.broadcast(buckets), "lang").withColumn("bucket", F.explode(
+        F.when(F.col("size") > 2, F.array(own.cast("int"))).otherwise(F.sequence(F.lit(0), F.col("buckets") - 1))))
+    return dealt.groupBy("lang", "bucket").applyInPandas(
+        pack, "lang string, bucket int, buckets int, size int, gram binary, prob binary, context binary, left binary")
+
+
+def broadcast_buckets(model: DataFrame, bucket_grams: int) -> dict[str, list]:
+    """lang -> broadcast buckets of the rows of `estimate`. The driver holds one bucket at a time."""
+    spark = model.sparkSession
+    out: dict[str, list] = {}
+    bucket: tuple | None = None
+    levels: dict[int, tuple] = {}
+
+    def put():
+        if bucket:
+            out.setdefault(bucket[0], [None] * bucket[2])[bucket[1]] = spark.sparkContext.broadcast(dict(levels))
+            levels.clear()
+
+    for row in stored(_packed(model, bucket_grams), "grams").toLocalIterator():
+        if bucket != (row["lang"], row["bucket"], row["buckets"]):
+            put()
+            bucket = (row["lang"], row["bucket"], row["buckets"])
+        levels[row["size"]] = tuple(np.frombuffer(row[c], dtype=kind) for c, kind in PACKED.items())
+    put()
+    return out
 
 
-def fit(texts: DataFrame, max_grams: int = MAX_GRAMS, quantile: float = QUANTILE, prior: int = PRIOR_CHARS) -> dict:
-    """lang -> (levels, mean surprise per character, limit on smoothed perplexity).
+def fit(texts: DataFrame, bucket_grams: int = BUCKET_GRAMS, quantile: float = QUANTILE, prior: int = PRIOR_CHARS) -> dict:
+    """lang -> (broadcast buckets of the model, mean surprise per character, limit on smoothed perplexity).
 
     `texts` are the rows of `trusted_texts`. The limit is the quantile over a language's held-out texts;
     a language without any, or without others, has no model.
     """
-    spark = texts.sparkSession
-    levels: dict = {}
-    for row in _packed(estimate(count_grams(texts.where("not held").select("lang", "body")), max_grams)).toLocalIterator():
-        levels.setdefault(row["lang"], {})[row["size"]] = tuple(
-            np.frombuffer(row[c], dtype=kind) for c, kind in PACKED.items())
-    held = spark.sparkContext.broadcast(levels)
+    buckets = broadcast_buckets(estimate(count_grams(texts.where("not held").select("lang", "body"))), bucket_grams)
 
     def run(batches):
-        models = {lang: Model(own) for lang, own in held.value.items()}
-        expand = zstandard.ZstdDecompressor().decompress
+        expand, model = zstandard.ZstdDecompressor().decompress, bucket_models()
         for batch in batches:
-            found = [(lang, *models[lang].surprise(expand(b).decode("utf-8", "replace")))
-                     for lang, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if lang in models]
+            bodies: dict[str, list] = {}
+            for lang, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang in buckets:
+                    bodies.setdefault(lang, []).append(b)
+            found = [(lang, *x) for lang, own in bodies.items() for x in surprises(
+                (expand(b).decode("utf-8", "replace") for b in own), buckets[lang], model)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64()))],
                 names=["lang", "s", "n"])
@@ -258,7 +326,7 @@ def fit(texts: DataFrame, max_grams: int = MAX_GRAMS, quantile: float = QUANTILE
     smooth = (F.col("s") + prior * F.col("mean")) / (F.col("n") + prior)
     limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(
         F.first("mean").alias("mean"), F.percentile_approx(F.exp(smooth), quantile, 100000).alias("limit"))
-    return {r.lang: (levels[r.lang], r["mean"], r["limit"]) for r in limits.collect()}
+    return {r.lang: (buckets[r.lang], r["mean"], r["limit"]) for r in limits.collect()}
 
 
 def judge(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang", prior: int = PRIOR_CHARS) -> DataFrame:
@@ -267,20 +335,23 @@ def judge(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang",
     A null language is a language of its own. A document is kept without perplexity if its text is
     null or empty or its language has no trusted text. A result column replaces one of its name.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fitted)
-
     def open_task():
-        models = {name: (Model(levels), mean, limit) for name, (levels, mean, limit) in held.value.items()}
-
-        def one(content, name):
-            if not content or name not in models:
-                return None, None, True
-            model, mean, limit = models[name]
-            total, n = model.surprise(content)
-            perplexity = math.exp((total + prior * mean) / (n + prior))
-            return perplexity, limit, perplexity <= limit
-
-        return lambda b: map(one, b["text"], b["lang"])
+        model = bucket_models()
+
+        def of(batch):
+            rows: list[tuple] = [(None, None, True)] * len(batch["text"])
+            at: dict[str, list[int]] = {}
+            for i, (content, name) in enumerate(zip(batch["text"], batch["lang"], strict=True)):
+                if content and name in fitted:
+                    at.setdefault(name, []).append(i)
+            for name, own in at.items():
+                buckets, mean, limit = fitted[name]
+                for i, (total, n) in zip(own, surprises((batch["text"][i] for i in own), buckets, model), strict=True):
+                    perplexity = math.exp((total + prior * mean) / (n + prior))
+                    rows[i] = perplexity, limit, perplexity <= limit
+            return rows
+
+        return of
 
     return arrow_columns(docs, {"text": F.col(f"`{text}`"), "lang": F.coalesce(F.col(f"`{lang}`"), F.lit(""))},
                          RESULT, open_task)

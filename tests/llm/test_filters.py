@@ -116,6 +116,21 @@ def test_kneser_ney_probabilities_sum_to_one(spark, frame):
     assert one.prob.sum() == pytest.approx(1 - one.left.iloc[0] / (len(one) + 1))
 
 
+def test_kneser_ney_keeps_every_gram_in_every_number_of_buckets(spark, frame):
+    grams = {(quality.grams(quality.symbols(f"{a}{b}{c}{d}x"))[-1].item()) for a in "abcdefghijklmnopqrst"
+             for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst"}
+    model = quality.estimate(frame([("x", g, 1) for g in grams], "lang string, gram long, n long"))
+    assert model.where("size = 5").count() == len(grams) == 160000
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choice("abc de") for _ in range(rng.randint(1, 90))), rng.choice("xy")) for i in range(200)]
+    table = frame(docs, "doc_id long, text string, lang string")
+    texts = quality.trusted_texts(table, table.where("doc_id < 150"))
+    whole, dealt = quality.fit(texts), quality.fit(texts, bucket_grams=100)
+    assert {len(v[0]) for v in whole.values()} == {1} and min(len(v[0]) for v in dealt.values()) > 3
+    one, many = ({r.doc_id: r.perplexity for r in quality.judge(table, f).collect()} for f in (whole, dealt))
+    assert one == pytest.approx(many) and None not in one.values()
+
+
 def test_secrets_are_found_and_masked(spark, frame):
     rng = random.Random(5)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
