@@ -27,7 +27,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are masked, and n_chars follows."""
-    return secret_scan.redact(docs, secret_scan.fit(docs))
+    return secret_scan.redact(docs, secret_scan.fit(docs, lang="lang"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

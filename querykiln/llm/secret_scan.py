@@ -1,9 +1,9 @@
 """Secrets in text: long mixed strings are candidates, a random forest takes out the false ones.
 
 The forest looks at a candidate's length, its character transitions, how much of it dictionary words
-cover, whether it stands in a path or address, and the words next to it. It is trained by Spark on
-labelled findings from a bounded sample of documents and applied where the documents are, so no
-text moves. The labels come from formats that leave no doubt; candidates of no such format are
+cover, whether it stands in a path or address, and the words next to it. Words are counted over all
+documents. The forest is trained by Spark on labelled findings from a bounded sample of documents
+and applied where the documents are, so no text moves. The labels come from formats that leave no doubt; candidates of no such format are
 not trained on, but judged like all others.
 """
 
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from querykiln.llm.common import arrow_columns, stored, table, thinned
 
-SAMPLE_DOCS = 10_000     # documents, about so many picked evenly by hash, that give findings and dictionary
-DICTIONARY_DOCS = 3      # of these a dictionary word must be in so many
+SAMPLE_DOCS = 10_000     # documents, about so many picked evenly by hash, that give labelled findings
+# A dictionary word is in so many documents, and in such a share of all documents or of those of one
+# language. A share keeps chance strings of a large corpus out and bounds the dictionary: at most
+# the distinct words of an average document of a language, divided by the share.
+DICTIONARY_DOCS = 3
+DICTIONARY_SHARE = 3e-4
 TREES, DEPTH = 20, 6
 SECRET_SCORE = 0.5
 MASK = "[SECRET]"
@@ -110,21 +114,38 @@ class Scanner:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS,
-        seed: int = 9) -> Scanner:
-    """Train on the findings of a bounded sample; without findings of both kinds there are no trees."""
+        seed: int = 9, lang: str | None = None) -> Scanner:
+    """Train on the findings of a bounded sample; without findings of both kinds there are no trees.
+
+    The dictionary is of all documents; with `lang`, words of a small language have their own share.
+    """
     h = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"))
-    there = docs.select(F.col(f"`{text}`").alias("text"), h.alias("h")).where("text is not null")
-    rows = stored(thinned(there, F.col("h"), sample / max(1, there.count())), "secrets")
-    words = (rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
-             .where("length(w) <= 12").groupBy("w").agg(F.count("*").alias("n")))
-    seen = {r.w: r.n for r in words.where(F.col("n") >= DICTIONARY_DOCS).collect()}
+    name = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")) if lang else F.lit("")
+    there = docs.select(F.col(f"`{text}`").alias("text"), h.alias("h"), name.alias("lang")).where("text is not null")
+    words = lexicon(there)
+    n = max(1, there.count())
+    rows = stored(thinned(there, F.col("h"), sample / n), "secrets")
+    return Scanner(words, train(findings(rows, words)))
+
+
+def lexicon(texts: DataFrame) -> Lexicon:
+    """Dictionary words and shares of their letter pairs over all rows (text, lang)."""
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("docs"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
+    counts = (texts.select("lang", F.explode(found).alias("w")).where("length(w) <= 12")
+              .groupBy("lang", "w").agg(F.count("*").alias("n")))
+    enough = lambda n, docs: n >= F.greatest(F.lit(float(DICTIONARY_DOCS)), docs * DICTIONARY_SHARE)
+    total = sizes.agg(F.sum("docs").alias("all_docs"))
+    words = (counts.join(F.broadcast(sizes), "lang").groupBy("w")
+             .agg(F.sum("n").alias("n"), F.max(enough(F.col("n"), F.col("docs"))).alias("own"))
+             .join(F.broadcast(total)).where(F.col("own") | enough(F.col("n"), F.col("all_docs"))).select("w", "n"))
+    seen = {r.w: r.n for r in words.collect()}
     pairs: Counter = Counter()
     for w, n in seen.items():
         for i in range(len(w) - 1):
             pairs[w[i:i + 2]] += n
-    total = sum(pairs.values()) or 1
-    lexicon = Lexicon(set(seen), {p: n / total for p, n in pairs.items()})
-    return Scanner(lexicon, train(findings(rows, lexicon)))
+    letters = sum(pairs.values()) or 1
+    return Lexicon(set(seen), {p: n / letters for p, n in pairs.items()})
 
 
 def findings(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -208,5 +229,5 @@ def redact(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, fit(docs)).select("doc_id", "n_candidates", "n_secrets", "secrets")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return scan(docs, fit(docs, lang="lang")).select("doc_id", "n_candidates", "n_secrets", "secrets")

@@ -155,6 +155,18 @@ def test_secrets_are_found_and_masked(spark, frame):
     assert secret_scan.scan(frame([], schema), secret_scan.fit(frame([], schema))).count() == 0
 
 
+def test_secret_dictionary_counts_all_documents_alike_at_every_size(spark):
+    def words(n):
+        kind = F.when(F.col("id") % 500 == 0, "seldom").when(F.col("id") % 5000 == 1, "rare")
+        table = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("house"), kind).alias("text"),
+                                      F.lit("en").alias("lang"))
+        small = spark.range(4).select((F.col("id") + n).alias("doc_id"), F.lit("casa").alias("text"), F.lit("it").alias("lang"))
+        return secret_scan.fit(table.union(small), sample=200, lang="lang").lexicon.words
+
+    # In 1 of 500 documents: less than three in a sample of 200; in 1 of 5,000: below the share at each size.
+    assert words(8_000) == words(40_000) == {"house", "seldom", "casa"}
+
+
 def test_url_rules_equal_brute_force(spark, frame):
     rng = random.Random(6)
     hosts = ["net", "a.net", "example.net", "x.example.net", "example.com", "notexample.com", "org", "fr.org", "EXAMPLE.net",
