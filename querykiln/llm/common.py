@@ -38,25 +38,30 @@ def thinned(rows: DataFrame, h: Column, share: Column | float) -> DataFrame:
     return rows.where(F.pmod(h, F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
 
 
-def arrow_columns(df: DataFrame, inputs: dict[str, Column], schema: str,
+def arrow_columns(df: DataFrame, inputs: dict[str, Column | str], schema: str,
                   open_task: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]]) -> DataFrame:
     """`df` with new columns computed in Python, one Arrow batch at a time.
 
     `open_task` runs once per task and returns a function from a batch (input name -> values)
     to one tuple per row, in the order of `schema`. Every column of `df` is carried along as it
-    is; a column whose name is also in `schema` gives way to the new one.
+    is; a column whose name is also in `schema` gives way to the new one. An input that is the name
+    of a column is read where it is carried, and a text as bytes; another one is handed over besides.
     """
     spark = df.sparkSession
     added = spark.createDataFrame([], schema).schema
     arrow = _arrow_schema(spark, added)
-    names = list(inputs)
+    carried = {name: df.columns.index(c) for name, c in inputs.items() if isinstance(c, str)}
+    beside = [name for name in inputs if name not in carried]
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("kept"),
-                       *[value.alias(f"in_{name}") for name, value in inputs.items()])
+                       *[inputs[name].alias(f"in_{name}") for name in beside])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = open_task()
         for batch in batches:
-            values = {n: batch.column(i + 1).to_pylist() for i, n in enumerate(names)}
+            values = {n: batch.column(i + 1).to_pylist() for i, n in enumerate(beside)}
+            for n, i in carried.items():
+                field = batch.column(0).field(i)
+                values[n] = (field.cast(pa.binary()) if pa.types.is_string(field.type) else field).to_pylist()
             rows = list(compute(values))
             columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays(

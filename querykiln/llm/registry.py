@@ -7,10 +7,13 @@ from querykiln.llm import (
     decontamination,
     embedding_dedup,
     language,
+    license_scan,
+    merkle_manifest,
     minhash_dedup,
     mixing,
     quality,
     secret_scan,
+    source_audit,
     substring_dedup,
     url_rules,
 )
@@ -26,4 +29,7 @@ QUERIES = {
     "op8_mixing": (mixing.op8_mixing, None),
     "op9_secret_scan": (secret_scan.op9_secret_scan, None),
     "op10_url_rules": (url_rules.op10_url_rules, url_rules.ORACLE_SQL),
+    "op11_source_audit": (source_audit.op11_source_audit, source_audit.ORACLE_SQL),
+    "op12_merkle_manifest": (merkle_manifest.op12_merkle_manifest, merkle_manifest.ORACLE_SQL),
+    "op13_license_scan": (license_scan.op13_license_scan, license_scan.ORACLE_SQL),
 }

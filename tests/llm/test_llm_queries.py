@@ -13,7 +13,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_each_operator_has_one_query():
-    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
