@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, table
+from querykiln.llm.common import arrow_columns, stored, table
 from querykiln.llm.decontamination import _FOLD, words_of
 from querykiln.llm.words import gram_hashes, word_hashes
 
@@ -42,6 +42,7 @@ GAP = 8              # diagonals of a template of GAP words a step apart are nei
 VOTES = 0.25         # share of a template's hashes that make a span worth verifying
 COVERED = 0.8        # share of a long template's words that makes a span a finding
 GRAMS_A_ROW = 1 << 12
+BROADCAST_GRAMS = 1 << 17  # more positions of templates than this are joined in a shuffle
 
 RESULT = "n_words long, spans array<struct<template int, label string, start long, stop long, score double>>"
 
@@ -69,7 +70,8 @@ def _template_rows(spark: SparkSession, templates) -> DataFrame:
         k = _k(words)
         for _, hashes in _hashes([b" ".join(words)], k):
             rows += [(k, int(h), number, j, len(words)) for j, h in enumerate(hashes)]
-    return spark.createDataFrame(rows, "k int, h long, template int, j int, words int")
+    frame = spark.createDataFrame(rows, "k int, h long, template int, j int, words int")
+    return F.broadcast(frame) if len(rows) <= BROADCAST_GRAMS else frame
 
 
 def _key(text: str) -> Column:
@@ -131,7 +133,8 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, covered: floa
     rows are judged each for itself; very long texts are scanned whole; result columns replace columns
     of their names.
     """
-    found = candidates(docs, text, templates)
+    # Written, so that Spark sees its size: a small table comes to the texts, otherwise both are shuffled.
+    found = stored(candidates(docs, text, templates), "licenses")
     words_by_template, labels = _template_words(templates), [label for label, _ in templates]
     joined = docs.select(_key(text), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
                          F.col(f"`{text}`").alias("text")).join(found, "text_key", "left").drop("text_key")
