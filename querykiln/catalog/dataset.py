@@ -12,8 +12,9 @@ from querykiln.functions.text import (
 )
 from querykiln.operators import chat, curation, lengths, triage, validation
 from querykiln.operators.lint import lint, passes_lint
+from querykiln.session import kept
 from querykiln.sources.jsonl import missing_keys, parse_json
-from querykiln.schemas import QUALITY_GATES, SFT_CANDIDATE, SFT_REQUIRED_KEYS
+from querykiln.schemas import AXES, QUALITY_GATES, SFT_CANDIDATE, SFT_REQUIRED_KEYS
 
 # Short texts in the place of the prompt files, which a job reads from its arguments.
 TEMPLATE = "Answer with one SQL query.\n# Schema\n{{schema_context}}\n# Question\n{{question_de}}\n# SQL\n"
@@ -133,6 +134,29 @@ def dataset_version_diff(spark, sf_dir: str) -> DataFrame:
     return curation.version_diff(base, curation.next_version(base, removed, added, fixed))
 
 
+def _versions(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base, every = V.train(spark, sf_dir), V.every
+    fixed = base.filter(F.col("doc_id") % 50 == 1).withColumn("axis_structure", F.lit("flat"))
+    return base, curation.next_version(base, base.filter(every(9)), V.evaluation(spark, sf_dir).filter(every(3)), fixed)
+
+
+def dataset_change_sets(spark, sf_dir: str) -> DataFrame:
+    """Ids removed, added and fixed between two versions, found from the versions alone."""
+    base, new = _versions(spark, sf_dir)
+    return curation.version_changes(base, new, [c for c in base.columns if c != "example_id"])
+
+
+def dataset_manifest_row(spark, sf_dir: str) -> DataFrame:
+    """The manifest of a version with its change lists, maps and lists as text."""
+    base, new = _versions(spark, sf_dir)
+    changes = kept(curation.version_changes(base, new, [c for c in base.columns if c != "example_id"]), "changes")
+    row = curation.dataset_manifest(new, "v4.1", F.col("example_id"), ids=curation.change_lists(changes))
+    joined = lambda a: F.array_join(F.transform(F.map_entries(a), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(a)
+    return row.select("version", "selected_candidates", *[joined(a.removeprefix("axis_")) for a in AXES], *[
+        F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("fixed_ids", "added_ids", "removed_repetition_ids")])
+
+
 def ablation_subsets(spark, sf_dir: str) -> DataFrame:
     return curation.ablation_subsets(V.train(spark, sf_dir), seed="7")
 
@@ -272,6 +296,17 @@ _RENDERED = f"""
         FROM fx_examples)"""
 _RANK = lambda f: f"list_sort(list(n))[CAST(round_even((count(*) - 1) * {f}, 0) AS BIGINT) + 1]"
 
+_CHANGED = ("fx_train", "fx_evaluation")
+_CHANGES = """WITH new AS (
+    SELECT * REPLACE (CASE WHEN doc_id % 50 = 1 THEN 'flat' ELSE axis_structure END AS axis_structure)
+    FROM fx_train WHERE doc_id % 9 <> 0
+    UNION ALL SELECT * FROM fx_evaluation WHERE doc_id % 3 = 0),
+    changes AS (
+        SELECT * FROM (
+            SELECT example_id, CASE WHEN n.example_id IS NULL THEN 'removed' WHEN b.example_id IS NULL THEN 'added'
+                                    WHEN n.axis_structure <> b.axis_structure THEN 'fixed' END AS change
+            FROM fx_train b FULL JOIN new n USING (example_id)) WHERE change IS NOT NULL)"""
+
 QUERIES = {
     "required_keys": (required_keys, with_views("""
         SELECT line_number, CASE WHEN doc_id % 122 = 0 THEN 'axis_time,gold_sql'
@@ -375,6 +410,18 @@ QUERIES = {
                     FROM long GROUP BY axis, value)
         SELECT axis, value, base_rows, new_rows, new_rows - base_rows AS change FROM counted""",
         "fx_train", "fx_evaluation")),
+    "dataset_change_sets": (dataset_change_sets, with_views(f"{_CHANGES} SELECT example_id, change FROM changes", *_CHANGED)),
+    "dataset_manifest_row": (dataset_manifest_row, with_views(f"""
+        {_CHANGES},
+        cells AS (UNPIVOT (SELECT axis_terminology, axis_structure, axis_time, difficulty FROM new)
+                  ON axis_terminology, axis_structure, axis_time, difficulty INTO NAME axis VALUE value),
+        counted AS (SELECT axis, value, count(*) AS n FROM cells GROUP BY axis, value),
+        named AS (SELECT axis, string_agg(value || '=' || n, ',' ORDER BY value) AS text FROM counted GROUP BY axis)
+        SELECT 'v4.1' AS version, (SELECT count(*) FROM new) AS selected_candidates,
+               {", ".join(f"(SELECT text FROM named WHERE axis = '{a}') AS {a.removeprefix('axis_')}" for a in AXES)},
+               {", ".join(f"(SELECT sha256(coalesce(string_agg(example_id, ',' ORDER BY example_id), '')) FROM changes WHERE change = '{c}') AS {name}"
+                          for c, name in (("fixed", "fixed_ids"), ("added", "added_ids"), ("removed", "removed_repetition_ids")))}""",
+        *_CHANGED)),
     "ablation_subsets": (ablation_subsets, with_views("""
         WITH ranked AS (
             SELECT example_id, difficulty, row_number() OVER (

@@ -10,7 +10,8 @@ from querykiln.fixtures import views as V
 from querykiln.fixtures.oracle_views import with_views
 from querykiln.operators import equivalence, grid, lengths, scoring, triage
 from querykiln.schemas import CONDITIONS
-from querykiln.session import shared_folder
+from querykiln.session import kept, shared_folder
+from querykiln.sources import records, runs
 from querykiln.streaming.scoring import keep_verdicts, latest_accuracy
 
 RUN = ["run", "condition"]
@@ -145,6 +146,36 @@ def first_records(spark, sf_dir: str) -> DataFrame:
     return grid.first_records(V.train(spark, sf_dir).select("example_id", "line_number"), 64)
 
 
+def appended_records(spark, sf_dir: str) -> DataFrame:
+    """A run's records after its first condition was appended, then all of them, twice: each stands once."""
+    made, store = V.scored(spark, sf_dir).filter("run = 'run_a'"), shared_folder(spark, "records")
+    for batch in (made.filter("condition = 'P0'"), made, made):
+        records.append_records(batch, store, ["P0", "P1"])
+    return records.read_records(spark, store).select("condition", "example_id", "result_equivalent")
+
+
+def _run_store(spark, sf_dir: str) -> tuple[str, DataFrame]:
+    """Runs of both conditions in a store, and a registry that knows one of them."""
+    store = shared_folder(spark, "runs")
+    runs.save_runs(V.scored(spark, sf_dir).withColumns(
+        {"scope": F.lit("eval"), "file_condition": F.col("condition")}), store)
+    known = {"ord": F.lit(1), "scope": F.lit("eval"), "run": F.lit("run_a"), "label": F.lit("A"), "grp": F.lit("base")}
+    return store, kept(spark.range(1).select(*[c.alias(name) for name, c in known.items()]), "registry")
+
+
+def run_store_accuracy(spark, sf_dir: str) -> DataFrame:
+    """Accuracy of the registered runs' P0 records, read from their folders alone."""
+    store, registry = _run_store(spark, sf_dir)
+    scored = runs.open_runs(spark, store, registry.filter("grp = 'base'"), ["P0"])
+    return runs.with_run_labels(scoring.accuracy_by_run(scored, ["scope", "run"]), registry).select(
+        "label", "accuracy_p0", "hard_accuracy_p0")
+
+
+def unregistered_runs(spark, sf_dir: str) -> DataFrame:
+    store, registry = _run_store(spark, sf_dir)
+    return runs.unregistered_runs(runs.open_runs(spark, store), registry)
+
+
 def resume_integrity(spark, sf_dir: str) -> DataFrame:
     """Both runs read as one results file: every P0 key is there twice, P1 was not selected."""
     return grid.resume_violations(V.scored(spark, sf_dir), ["P0"])
@@ -315,6 +346,16 @@ QUERIES = {
                count(DISTINCT s.example_id) = (SELECT count(*) FROM labels) AS complete
         FROM (VALUES ('P0'), ('P1'), ('P2')) c(condition)
         LEFT JOIN (SELECT * FROM fx_scored WHERE run = 'run_a') s USING (condition) GROUP BY condition""", "fx_scored")),
+    "appended_records": (appended_records, with_views(
+        "SELECT condition, example_id, verdict AS result_equivalent FROM fx_scored WHERE run = 'run_a'", "fx_scored")),
+    "run_store_accuracy": (run_store_accuracy, with_views("""
+        SELECT 'A' AS label, round(count(*) FILTER (verdict) / count(*), 6) AS accuracy_p0,
+               round(coalesce(count(*) FILTER (verdict AND difficulty = 'hard')
+                   / nullif(count(*) FILTER (difficulty = 'hard'), 0), 0), 6) AS hard_accuracy_p0
+        FROM fx_scored WHERE run = 'run_a' AND condition = 'P0'""", "fx_scored")),
+    "unregistered_runs": (unregistered_runs, with_views("""
+        SELECT 'eval' AS scope, run, condition AS file_condition, count(*) AS records
+        FROM fx_scored WHERE run = 'run_b' GROUP BY run, condition""", "fx_scored")),
     "resume_integrity": (resume_integrity, with_views("""
         SELECT condition, example_id, count(*) AS copies,
                CASE WHEN condition <> 'P0' THEN 'unexpected condition' ELSE 'duplicate' END AS problem

@@ -29,6 +29,12 @@ def _net_by(key: str, source: str, where: str = "NOT is_cancelled") -> str:
 
 
 _MONTHLY = f"monthly AS (SELECT strftime(month, '%Y-%m') AS month, {money8('n8')} AS net_revenue FROM ({_net_by('month', 'fx_lines')}))"
+_CUSTOMER_MONTHS = f"""
+    net AS ({_net_by('customer_id, month', 'fx_lines')}),
+    span AS (SELECT customer_id, min(month) AS a, max(month) AS b FROM net GROUP BY customer_id),
+    months AS (SELECT customer_id, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS month FROM span),
+    dense AS (SELECT customer_id, month, coalesce({money8('n8')}, 0.0) AS net_revenue
+              FROM months LEFT JOIN net USING (customer_id, month))"""
 _CATEGORY = "sold AS (SELECT * FROM fx_lines JOIN fx_products USING (product_id))"
 _PRODUCT = f"""net AS ({_net_by('product_id', 'fx_lines')}),
     named AS (SELECT * FROM net JOIN fx_products USING (product_id))"""
@@ -52,9 +58,22 @@ def dim_date(spark, sf_dir: str) -> DataFrame:
 
 
 def products_per_main_category(spark, sf_dir: str) -> DataFrame:
-    """The recursive roll-up, over all products."""
+    """The roll-up of a tree of any depth, over all products."""
     wh = V.warehouse(spark, sf_dir)
-    return M.products_per_main_category(wh, M.category_roots(spark, wh.categories))
+    return M.products_per_main_category(wh, M.category_roots(wh.categories))
+
+
+def deep_category_roots(spark, sf_dir: str) -> DataFrame:
+    """Main categories of a tree of long chains: each part below the one before it, some below none or a missing one."""
+    chains = V.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS category_id", "concat('C', p_partkey) AS category_name",
+        "CASE WHEN p_size = 1 THEN NULL WHEN p_brand = 'Brand#11' THEN -p_partkey ELSE p_partkey - 1 END AS parent_category_id")
+    return M.category_roots(chains)
+
+
+def customer_months(metric):
+    """Monthly windows per customer: most customers have months without an order."""
+    return lambda spark, sf_dir: metric(V.warehouse(spark, sf_dir), dims={"customer_id": F.col("customer_id")})
 
 
 def warehouse_conformance(spark, sf_dir: str) -> DataFrame:
@@ -247,6 +266,27 @@ QUERIES = {
         SELECT month, net_revenue, previous, round(net_revenue - previous, 2) AS change,
                round((net_revenue - previous) / previous, 6) AS change_rate
         FROM lagged""", "fx_lines")),
+    "customer_month_over_month": (customer_months(M.revenue_month_over_month), with_views(f"""
+        WITH {_CUSTOMER_MONTHS},
+        lagged AS (SELECT *, lag(net_revenue) OVER (PARTITION BY customer_id ORDER BY month) AS previous FROM dense)
+        SELECT customer_id, strftime(month, '%Y-%m') AS month, net_revenue, previous,
+               round(net_revenue - previous, 2) AS change,
+               round((net_revenue - previous) / nullif(previous, 0), 6) AS change_rate
+        FROM lagged""", "fx_lines")),
+    "customer_moving_avg": (customer_months(M.revenue_moving_avg), with_views(f"""
+        WITH {_CUSTOMER_MONTHS}
+        SELECT customer_id, strftime(month, '%Y-%m') AS month, net_revenue, round(avg(net_revenue) OVER (
+            PARTITION BY customer_id ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_avg
+        FROM dense""", "fx_lines")),
+    "deep_category_roots": (deep_category_roots, """
+        WITH tops AS (
+            SELECT p_partkey AS id, p_size = 1 AS main, p_size <> 1 AND (p_brand = 'Brand#11' OR NOT EXISTS (
+                       SELECT 1 FROM part q WHERE q.p_partkey = p.p_partkey - 1)) AS orphan FROM part p),
+        named AS (
+            SELECT id, max(CASE WHEN main OR orphan THEN id END) OVER (ORDER BY id) AS root FROM tops)
+        SELECT n.id AS category_id, 'C' || n.id AS category_name, 'C' || n.root AS main_category,
+               CASE WHEN t.orphan THEN 'orphan' END AS problem
+        FROM named n JOIN tops t ON t.id = n.root"""),
     "running_revenue": (_wh(M.running_revenue), with_views(f"""
         WITH {_MONTHLY}
         SELECT month, net_revenue, round(sum(net_revenue) OVER (ORDER BY month), 2) AS running_revenue

@@ -23,13 +23,19 @@ def as_money(c: Column, digits: int = 2) -> Column:
 
 
 def half_even(c: Column, digits: int) -> Column:
-    """Rounded to `digits`; an exact half goes to the even neighbour.
+    """A share between 0 and 1 rounded to `digits` by its exact binary value; a true half goes to the even side.
 
-    Only a double of few binary places (1/8, 1/16) is an exact half; decimals such as 0.0015 lie
-    above or below one and round to the nearer side.
+    A double such as 0.0045 lies a little beside the decimal it is written as, and that little decides.
+    Near a half the value is taken apart into its upper 26 binary places and the rest: both times
+    2 * 10^digits are exact, and so is the sign of what they differ from the half by.
     """
-    exact = c * (1 << 20) == F.floor(c * (1 << 20))
-    return F.when(exact, F.bround(c, digits)).otherwise(F.round(c, digits))
+    scale = 10 ** digits
+    below = F.floor(c * scale)
+    upper = F.floor(c * (1 << 26)) / (1 << 26)
+    beyond = (upper * (2 * scale) - (2 * below + 1)) + (c - upper) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (below % 2 == 1))
+    near = F.abs(c * scale - below - 0.5) < 1e-6
+    return F.when(near, below + up.cast("int")).otherwise(F.floor(c * scale + 0.5)) / scale
 
 
 def three_decimals(c: Column) -> Column:
@@ -37,7 +43,8 @@ def three_decimals(c: Column) -> Column:
 
 
 def whole_percent(c: Column) -> Column:
-    return F.format_string("%.0f%%", half_even(c, 2) * 100)
+    """The product with 100 is a double, too, and rounded as such."""
+    return F.format_string("%.0f%%", F.rint(c * 100))
 
 
 def month_key(day: Column) -> Column:

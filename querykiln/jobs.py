@@ -7,12 +7,12 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.functions.numeric import three_decimals, whole_percent
+from querykiln.functions.numeric import ratio, three_decimals, whole_percent
 from querykiln.operators import chat, curation, grid, lengths, scoring, triage, validation
 from querykiln.operators.lint import lint
 from querykiln.schemas import AXES, CHAT_RECORD, CONDITIONS, RUN_REGISTRY, SCORED_RECORD, SFT_CANDIDATE
-from querykiln.session import build_session
-from querykiln.sources import jsonl, runs, sinks, warehouse
+from querykiln.session import build_session, kept
+from querykiln.sources import jsonl, records, runs, sinks, warehouse
 from querykiln.streaming.scoring import keep_verdicts, latest_accuracy, scored_stream
 
 
@@ -79,9 +79,13 @@ def scored_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def analyze(spark: SparkSession, evaluation: str, results: list[str], axis: str | None) -> DataFrame:
     """Accuracy per file by one axis, or by all axes when none is given."""
     scored, examples, keys = scored_files(spark, results), eval_set(spark, evaluation, AXES), ["file", "condition"]
-    if axis:
-        return scoring.accuracy_by_axis(scored, examples, axis, keys)
-    return scoring.accuracy_all_axes(scored, examples, keys)
+    table = (scoring.accuracy_by_axis(scored, examples, axis, keys) if axis
+             else scoring.accuracy_all_axes(scored, examples, keys))
+    # A file of which nothing matches has its line of zeros.
+    nothing = {"axis": "ALL", "axis_value": "ALL", "correct": 0, "total": 0, "accuracy": 0.0}
+    empty = scored.select(*keys).distinct().join(table.select("file"), "file", "left_anti")
+    return table.unionByName(empty.withColumns({
+        f.name: F.lit(nothing[f.name]).cast(f.dataType) for f in table.schema if f.name in nothing}))
 
 
 def errors_only(spark: SparkSession, evaluation: str, results: list[str]) -> DataFrame:
@@ -121,15 +125,30 @@ def chat_problems(spark: SparkSession, data: str) -> DataFrame:
     return chat.chat_contract_violations(records)
 
 
-def manifest(spark: SparkSession, data: str, version: str) -> DataFrame:
-    """Manifest row of a candidate file, with the digest of the file and one of its lines in any order."""
-    lines = jsonl.read_lines(spark, data)
-    rows = lines.select("raw", jsonl.parse_json(F.col("raw"), SFT_CANDIDATE).alias("r")).select("raw", "r.*")
-    row = curation.dataset_manifest(rows, version, F.col("raw")).withColumnRenamed(
-        "candidate_sha256", "content_fingerprint")
+def manifest(spark: SparkSession, data: str, version: str, base: str | None = None,
+             curriculum: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Manifest row of a candidate file, and how its ids differ from those of `base`, an earlier version.
+
+    The row has the digest of the file and one of its lines in any order; with a base also its name and
+    the ids removed, added and fixed, unless there are too many for one row.
+    """
+    def candidates(path):
+        lines = jsonl.read_lines(spark, path)
+        return lines.select("raw", jsonl.parse_json(F.col("raw"), SFT_CANDIDATE).alias("r")).select("raw", "r.*")
+
+    rows, changes, ids = candidates(data), None, {}
+    if base:
+        # A line is the same if its fields are: their order and spacing are no change.
+        fields = F.to_json(F.try_parse_json("raw"))
+        changes = kept(curation.version_changes(
+            candidates(base).withColumn("fields", fields), rows.withColumn("fields", fields), ["fields"]), "changes")
+        ids = curation.change_lists(changes)
+    row = curation.dataset_manifest(rows, version, F.col("raw"), ids=ids).withColumnRenamed(
+        "candidate_sha256", "content_fingerprint").withColumns(
+        {"base": F.lit(base).cast("string"), "curriculum": F.lit(curriculum).cast("string")})
     files = curation.file_sha256(spark, data).agg(
         F.when(F.count(F.lit(1)) == 1, F.first("sha256")).alias("candidate_sha256"))
-    return row.join(files)
+    return row.join(files), changes
 
 
 def triage_candidates(spark: SparkSession, candidates: str, first: str, second: str) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +159,7 @@ def triage_candidates(spark: SparkSession, candidates: str, first: str, second:
     rows = jsonl.read_lines(spark, candidates).select(
         "raw", jsonl.parse_json(F.col("raw"), "example_id string").alias("r")).select("raw", "r.*")
     verdicts = lambda path: jsonl.read_jsonl(spark, path, SCORED_RECORD)
-    judged = triage.consensus_triage(rows, verdicts(first), verdicts(second))
+    judged = kept(triage.consensus_triage(rows, verdicts(first), verdicts(second)).select("status", "raw"), "triage")
     pick = lambda status: judged.filter(F.col("status") == status).select("raw")
     return pick("accepted"), pick("review")
 
@@ -149,22 +168,29 @@ def lint_file(spark: SparkSession, data: str) -> DataFrame:
     return lint(jsonl.read_jsonl(spark, data, SFT_CANDIDATE))
 
 
+def shard_examples(spark: SparkSession, bundle: str, offset: int = 0, limit: int = 0, shard: int = 0,
+                   shards: int = 1) -> DataFrame:
+    """Examples of a bundle's shard: by position, where an empty shard stops the job, or by hash, where some may be empty.
+
+    The bundle is one document, so its examples are spread out.
+    """
+    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle)).repartition("example_id")
+    part = grid.slice_shard(examples, offset, limit, "position") if offset or limit else examples
+    return grid.hash_shard(part, shard, shards) if shards > 1 else part
+
+
 def pending_prompts(spark: SparkSession, bundle: str, done: str | None, conditions: list[str],
                     offset: int = 0, limit: int = 0, shard: int = 0, shards: int = 1) -> DataFrame:
     """Prompts of a bundle's shard that have no record yet.
 
-    `done` is what `collect-answers` appended; records of other conditions or present twice
-    stop the job. The bundle is one document, so its examples are spread out before the grid.
+    `done` is the store that `collect-answers` appends to; records of other conditions or present twice
+    stop the job.
     """
-    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle)).repartition("example_id")
-    part = grid.slice_shard(examples, offset, limit, "position") if offset or limit else examples
-    cells = grid.prompt_grid(grid.hash_shard(part, shard, shards) if shards > 1 else part, conditions)
-    if done:
-        records = spark.read.parquet(done)
-        wrong = grid.resume_violations(records, conditions).first()
-        if wrong is not None:
-            raise ValueError(f"record {wrong['condition']}/{wrong['example_id']}: {wrong['problem']}")
-        cells = cells.join(records.select(*grid.KEY).distinct(), grid.KEY, "left_anti")
+    cells = grid.prompt_grid(shard_examples(spark, bundle, offset, limit, shard, shards), conditions)
+    finished = records.read_records(spark, done) if done else None
+    if finished is not None:
+        records.check(finished, conditions)
+        cells = cells.join(finished.select(*grid.KEY), grid.KEY, "left_anti")
     return cells
 
 
@@ -172,27 +198,38 @@ OUTPUT_RECORD = ("condition string, example_id string, generated_text string, la
                  "thinking_tokens int, generated_tokens int")
 
 
-def collect_answers(spark: SparkSession, bundle: str, answers: str, records: str, conditions: list[str], run_id: str,
+def collect_answers(spark: SparkSession, bundle: str, answers: str, store: str, conditions: list[str], run_id: str,
                     model: str, base_model: str, adapter_path: str | None = None, stopped: bool = False,
                     max_new_tokens: int = 1536, quantization: str = "nf4-4bit", thinking: bool = False,
-                    thinking_budget: int = 1536, max_runtime_minutes: int = 0) -> DataFrame:
-    """Append the records of a model's answers (JSONL); the manifest of the run as it then stands."""
-    examples = jsonl.bundle_examples(jsonl.read_bundle(spark, bundle)).repartition("example_id")
+                    thinking_budget: int = 1536, max_runtime_seconds: int = 0, offset: int = 0, limit: int = 0,
+                    shard: int = 0, shards: int = 1, require_adapter: bool = False) -> DataFrame:
+    """Append the records of a model's answers (JSONL); the manifest of the run as it then stands.
+
+    Answers to cells that have a record are left out, so a job can be run again. Whether the run is
+    complete is judged by the examples of its shard.
+    """
+    if require_adapter and not adapter_path:
+        raise ValueError("an adapter is required, and none is given")
+    examples = shard_examples(spark, bundle, offset, limit, shard, shards)
     outputs = spark.read.schema(OUTPUT_RECORD).option("mode", "FAILFAST").json(answers)
-    sinks.append_records(grid.generation_records(
+    made = grid.generation_records(
         grid.grid(examples, conditions), outputs, run_id, model, base_model, adapter_path, max_new_tokens,
-        quantization, thinking, thinking_budget), records)
+        quantization, thinking, thinking_budget)
+    records.append_records(made, store, conditions)
+    done = records.read_records(spark, store)
     digest = curation.file_sha256(spark, bundle).first()["sha256"]
-    return grid.run_manifest(spark.read.parquet(records), examples, conditions, run_id, model, stopped, {
-        "base_model": base_model, "result_file": records, "bundle_sha256": digest, "adapter_path": adapter_path,
-        "model_mode": "adapter" if adapter_path else "base", "adapter_required": adapter_path is not None,
-        "max_new_tokens": max_new_tokens, "quantization": quantization, "thinking": thinking,
-        "thinking_budget": thinking_budget if thinking else 0, "max_runtime_minutes": max_runtime_minutes})
+    return grid.run_manifest(done if done is not None else made.limit(0), examples, conditions, run_id, model, stopped, {
+        "base_model": base_model, "result_file": store, "bundle_sha256": digest, "adapter_path": adapter_path,
+        "model_mode": "adapter" if adapter_path else "base", "adapter_required": require_adapter,
+        "max_new_tokens": max_new_tokens, "record_limit": limit, "record_offset": offset, "quantization": quantization,
+        "thinking": thinking, "thinking_budget": thinking_budget if thinking else 0,
+        "max_runtime_seconds": max_runtime_seconds})
 
 
 def show_all(rows: DataFrame) -> None:
     """Every row of a report on the console."""
-    rows.show(max(1, rows.count()), truncate=False)
+    found = rows.collect()
+    rows.sparkSession.createDataFrame(found, rows.schema).show(max(1, len(found)), truncate=False)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -255,6 +292,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("data")
     p.add_argument("version")
     p.add_argument("output")
+    p.add_argument("--base", help="the version before: the manifest lists removed, added and fixed ids")
+    p.add_argument("--changes-out", help="folder for the changed ids, of which there may be any number")
+    p.add_argument("--curriculum")
 
     p = job.add_parser("prompts", help="prompts of the unfinished grid cells")
     p.add_argument("bundle")
@@ -281,7 +321,12 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--quantization", default="nf4-4bit")
     p.add_argument("--thinking", action="store_true")
     p.add_argument("--thinking-budget", type=int, default=1536)
-    p.add_argument("--max-runtime-minutes", type=int, default=0)
+    p.add_argument("--max-runtime-seconds", type=int, default=0)
+    p.add_argument("--offset", type=int, default=0)
+    p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--shard", type=int, default=0)
+    p.add_argument("--shards", type=int, default=1)
+    p.add_argument("--require-adapter", action="store_true")
 
     p = job.add_parser("load-seed", help="replace the warehouse tables by the CSV files")
     p.add_argument("csv_dir")
@@ -316,17 +361,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_jsonl(build_chat(spark, args.data, args.template, args.context), args.output)
     elif args.job == "analyze" and args.errors_only:
         wrong = errors_only(spark, args.eval, args.results)
-        if args.out:
-            sinks.write_jsonl(wrong, args.out)
-        else:
-            show_all(wrong.orderBy("file", "example_id"))
+        if not args.out:
+            raise ValueError("--errors-only needs --out: there may be any number of wrong examples")
+        sinks.write_jsonl(wrong, args.out)
     elif args.job == "analyze":
         table = analyze(spark, args.eval, args.results, args.axis)
         if args.out:
             sinks.write_jsonl(table, args.out)
         else:
             order = [c for c in ("file", "axis", "axis_value") if c in table.columns]
-            show_all(table.withColumn("accuracy", three_decimals(F.col("correct") / F.col("total"))).orderBy(*order))
+            show_all(table.withColumn("accuracy", three_decimals(ratio(F.col("correct"), F.col("total")))).orderBy(*order))
     elif args.job == "compare":
         per_run, check = compare_runs(spark, args.root, args.registry)
         if not check.first()["comparable"]:
@@ -351,7 +395,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         accepted.write.mode("errorifexists").text(args.accepted_out)
         review.write.mode("errorifexists").text(args.review_out)
     elif args.job == "manifest":
-        sinks.write_manifest(manifest(spark, args.data, args.version), args.output)
+        row, changes = manifest(spark, args.data, args.version, args.base, args.curriculum)
+        if args.changes_out and changes is not None:
+            sinks.write_jsonl(changes, args.changes_out)
+        sinks.write_manifest(row, args.output)
     elif args.job == "prompts":
         chosen = selected_conditions(args.conditions)
         sinks.write_jsonl(
@@ -361,7 +408,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_manifest(collect_answers(
             spark, args.bundle, args.answers, args.records, selected_conditions(args.conditions), args.run_id,
             args.model, args.base_model, args.adapter_path, args.stopped, args.max_new_tokens, args.quantization,
-            args.thinking, args.thinking_budget, args.max_runtime_minutes), args.manifest)
+            args.thinking, args.thinking_budget, args.max_runtime_seconds, args.offset, args.limit, args.shard,
+            args.shards, args.require_adapter), args.manifest)
     elif args.job == "load-seed":
         warehouse.load_seed(spark, args.csv_dir, args.out_dir, args.tables)
     elif args.job == "score-stream":

@@ -14,6 +14,8 @@ from querykiln.schemas import (
     ABLATION_SIZES, AXES, CANDIDATE_BUDGET, HOUSE_TERM_BAND, READY_QUOTA,
 )
 
+MANIFEST_IDS = 10_000  # ids that a manifest row lists; longer lists are a table of their own
+
 
 def duplicate_values(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
     """Per duplicate key kind: values held more than once, and the later copies of them."""
@@ -78,6 +80,34 @@ def version_diff(base: DataFrame, new: DataFrame, axes: list[str] = AXES) -> Dat
     )
 
 
+def version_changes(base: DataFrame, new: DataFrame, columns: list[str], id_col: str = "example_id") -> DataFrame:
+    """id, change: `removed`, `added` or `fixed` (other values in `columns`) of every id that differs.
+
+    Both versions are added up per id in one aggregation, so a repeated id costs each task a row: an id
+    is the same if it has the same rows as often, in any order. A null id is an id.
+    """
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    halves = [F.xxhash64(F.lit(seed), text).cast("decimal(20,0)") for seed in (0, 1)]
+    tagged = base.select(id_col, F.lit(-1).alias("side"), *[h.alias(f"h{i}") for i, h in enumerate(halves)]).unionByName(
+        new.select(id_col, F.lit(1).alias("side"), *[h.alias(f"h{i}") for i, h in enumerate(halves)]))
+    sums = tagged.groupBy(id_col).agg(
+        F.count_if(F.col("side") < 0).alias("before"), F.count_if(F.col("side") > 0).alias("after"),
+        *[F.sum(F.col("side") * F.col(h)).alias(h) for h in ("h0", "h1")])
+    change = F.when(F.col("after") == 0, "removed").when(F.col("before") == 0, "added").when(
+        (F.col("before") != F.col("after")) | (F.col("h0") != 0) | (F.col("h1") != 0), "fixed")
+    return sums.select(id_col, change.alias("change")).where("change is not null")
+
+
+def change_lists(changes: DataFrame, most: int = MANIFEST_IDS, id_col: str = "example_id") -> dict[str, list[str] | None]:
+    """The ids of each change in order, as a manifest row lists them; None for more than `most` ids."""
+    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    out: dict[str, list[str] | None] = {}
+    for change, name in (("fixed", "fixed_ids"), ("added", "added_ids"), ("removed", "removed_repetition_ids")):
+        few = counts.get(change, 0) <= most
+        out[name] = sorted(str(r[0]) for r in changes.where(F.col("change") == change).select(id_col).collect()) if few else None
+    return out
+
+
 def budget_check(rows: DataFrame, budget: tuple[int, int] = CANDIDATE_BUDGET) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("candidates")).withColumn(
         "within_budget", F.col("candidates").between(*budget))
@@ -134,8 +164,8 @@ def ablation_subsets(rows: DataFrame, seed: str = "0", sizes: list[int] = ABLATI
 
 
 def dataset_manifest(rows: DataFrame, version: str, row_text: Column, axes: list[str] = AXES,
-                     ids: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row: version, counts per axis value as maps, and the content fingerprint."""
+                     ids: dict[str, list[str] | None] | None = None) -> DataFrame:
+    """One row: version, counts per axis value as maps, the content fingerprint, and lists of ids (or null)."""
     totals = rows.agg(F.count(F.lit(1)).alias("total"), multiset_fingerprint(row_text).alias("digest"))
     cells = axis_counts(rows, axes).unionByName(totals, allowMissingColumns=True)
     counts_of = lambda a: F.map_from_entries(F.array_sort(F.collect_list(
@@ -146,7 +176,8 @@ def dataset_manifest(rows: DataFrame, version: str, row_text: Column, axes: list
         F.max("digest").alias("candidate_sha256"))
     for name, values in (ids or {}).items():
         manifest = manifest.withColumn(
-            name, F.array(*[F.lit(v) for v in values]).cast("array<string>"))
+            name, F.lit(None).cast("array<string>") if values is None else
+            F.array(*[F.lit(v) for v in values]).cast("array<string>"))
     return manifest
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querykiln.functions.text import strip_sql_fences
 from querykiln.operators.chat import render_prompt
+from querykiln.operators.selection import values_at
 from querykiln.schemas import SCHEMA_NAME
 
 KEY = ["condition", "example_id"]
@@ -25,21 +26,20 @@ def pending(examples: DataFrame, done: DataFrame, conditions: list[str]) -> Data
 
 def first_records(rows: DataFrame, n: int, order_col: str = "line_number") -> DataFrame:
     """The first n rows in file order; 0 keeps all."""
-    return rows.orderBy(order_col).limit(n) if n else rows
+    return slice_shard(rows, 0, n, order_col) if n and not rows.isEmpty() else rows
 
 
 def slice_shard(rows: DataFrame, offset: int, limit: int, order_col: str = "line_number") -> DataFrame:
-    """Offset-then-limit shard in file order; a limit of 0 takes the rest.
+    """Offset-then-limit shard in file order; a limit of 0 takes the rest, a shard without rows is an error.
 
-    Only offset + limit rows are ever ranked (the rest is what an anti-join with the first
-    `offset` rows leaves), so this suits small shards; `hash_shard` splits data of any size.
+    `order_col` is a number, different in every row. Where the shard begins and ends is found by counting,
+    so that the shard is a filter: nothing is sorted or gathered, however large it is.
     """
-    if limit:
-        return rows.orderBy(order_col).offset(offset).limit(limit)
-    if not offset:
-        return rows
-    skipped = rows.orderBy(order_col).limit(offset).select(order_col)
-    return rows.join(skipped, order_col, "left_anti").select(rows.columns)
+    first, end = values_at(rows, order_col, [offset, offset + limit if limit else -1])
+    if first is None:
+        raise ValueError(f"no rows from offset {offset} on: the shard is empty")
+    chosen = F.col(order_col) >= F.lit(first)
+    return rows.filter(chosen if end is None else chosen & (F.col(order_col) < F.lit(end)))
 
 
 def hash_shard(rows: DataFrame, shard: int, shards: int, key: str = "example_id") -> DataFrame:

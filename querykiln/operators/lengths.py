@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querykiln.functions.text import through_marker, word_count
+from querykiln.operators.selection import values_at, values_by_group
+from querykiln.session import kept
 
 ASSISTANT_MARKER = "<|im_start|>assistant\n"
 FRACTIONS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -43,24 +45,31 @@ def nearest_rank(rows: DataFrame, value: str, fractions: dict[str, float] = FRAC
                  by: list[str] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Sorted value at index round((n-1)*f), half to even, per group, with total and extra sums.
 
-    Works on the histogram: after one combined count per distinct value the window only sees
-    distinct values, so it does not grow with the number of rows. `sums` are aggregates that
-    ride along in the same pass.
+    Ranks are found by counting ranges of values, so neither the rows nor the distinct values are ever in
+    one place. `sums` are aggregates that ride along in the first pass.
     """
     by, sums = by or [], sums or {}
-    histogram = rows.groupBy(*by, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in sums.items()])
-    group = Window.partitionBy(*by)
-    running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.withColumns(
-        {"_cum": F.sum("_n").over(running), "_all": F.sum("_n").over(group)})
-    picks = [
-        F.min(F.when(F.col("_cum") > F.bround((F.col("_all") - 1) * F.lit(f)), F.col("_v"))).alias(name)
-        for name, f in fractions.items()
-    ]
-    return ranked.groupBy(*by).agg(
-        F.max("_all").alias("records"), F.min("_v").alias("min"), *picks, F.max("_v").alias("max"),
-        F.sum(F.col("_v") * F.col("_n")).alias("total"), *[F.sum(n).alias(n) for n in sums])
+    totals = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("records"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.sum(value).alias("total"), *[c.alias(name) for name, c in sums.items()])
+    index = lambda f: F.bround((F.col("records") - 1) * F.lit(f)).cast("bigint")
+    if not by:
+        totals = kept(totals, "ranks")
+        n = totals.first()["records"]
+        ranks = list(totals.select(*[index(f) for f in fractions.values()]).first()) if n else [-1] * len(fractions)
+        picks = dict(zip(fractions, values_at(rows, value, ranks), strict=True))
+        kind = rows.schema[value].dataType
+        return totals.select("records", "min", *[F.lit(v).cast(kind).alias(name) for name, v in picks.items()],
+                             "max", "total", *sums)
+    totals = kept(totals, "ranks")
+    wanted = totals.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), index(f).alias("rank")) for name, f in fractions.items()])).alias("w"),
+        F.col("min").alias("lo"), F.col("max").alias("hi")).select(*by, "w.name", "w.rank", "lo", "hi")
+    found = values_by_group(rows, value, wanted, by).groupBy(*by).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in fractions])
+    found = found.select(*[F.col(c).alias(f"key_{c}") for c in by], *fractions)
+    return totals.join(found, [F.col(c).eqNullSafe(F.col(f"key_{c}")) for c in by]).select(
+        *by, "records", "min", *fractions, "max", "total", *sums)
 
 
 def token_length_report(lengths: DataFrame, limit: int) -> DataFrame:

@@ -8,11 +8,12 @@ size allows it and otherwise use a sort-merge join whose skewed partitions AQE s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querykiln.functions.numeric import as_money, days_before, month_key, ratio
 from querykiln.schemas import SNAPSHOT_DATE
+from querykiln.session import kept
 from querykiln.sources.warehouse import Warehouse
 
 CANCELLED = "cancelled"
@@ -82,21 +83,34 @@ def main_categories(categories: DataFrame) -> DataFrame:
              F.coalesce("parent_name", "category_name").alias("main_category"))
 
 
-def category_roots(spark: SparkSession, categories: DataFrame) -> DataFrame:
-    """Main category for trees of any depth."""
-    return spark.sql(
-        """
-        WITH RECURSIVE tree(category_id, category_name, main_category) AS (
-            SELECT category_id, category_name, category_name
-            FROM {categories} WHERE parent_category_id IS NULL
-            UNION ALL
-            SELECT c.category_id, c.category_name, t.main_category
-            FROM {categories} c JOIN tree t ON c.parent_category_id = t.category_id
-        )
-        SELECT category_id, category_name, main_category FROM tree
-        """,
-        categories=categories,
-    )
+def category_roots(categories: DataFrame) -> DataFrame:
+    """Main category of every category, in trees of any depth, and what is wrong with its path.
+
+    Every category points to its parent, and each round to where that one points: a path of a million
+    steps takes twenty joins. `problem` is `orphan` below a parent that does not exist (the
+    topmost category there is counts as main), and `cycle` on or below a cycle, which has no main
+    category: each such category is its own.
+    """
+    own = categories.select("category_id", "category_name", "parent_category_id")
+    there = own.select(F.col("category_id").alias("parent_category_id"), F.lit(True).alias("there"))
+    top = F.col("there").isNull()
+    steps = kept(own.join(there, "parent_category_id", "left").select(
+        "category_id", F.when(top, F.col("category_id")).otherwise(F.col("parent_category_id")).alias("up"),
+        top.alias("done"), (top & F.col("parent_category_id").isNotNull()).alias("orphan")), "roots")
+    for _ in range(steps.count().bit_length() + 1):
+        if steps.where("not done").isEmpty():
+            break
+        above = steps.select(F.col("category_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("next_done"),
+                             F.col("orphan").alias("next_orphan"))
+        moved = steps.where("not done").join(above, "up").select(
+            "category_id", F.col("next").alias("up"), F.col("next_done").alias("done"), F.col("next_orphan").alias("orphan"))
+        steps = kept(steps.where("done").union(moved), "roots")
+    names = own.select("category_id", "category_name")
+    root = names.select(F.col("category_id").alias("up"), F.col("category_name").alias("root_name"))
+    problem = F.when(~F.col("done"), "cycle").when(F.col("orphan"), "orphan")
+    return steps.join(names, "category_id").join(root, "up").select(
+        "category_id", "category_name", F.when(F.col("done"), F.col("root_name")).otherwise(
+            F.col("category_name")).alias("main_category"), problem.alias("problem"))
 
 
 def leaf_categories(categories: DataFrame) -> DataFrame:
@@ -399,10 +413,13 @@ def orders_without_returns(wh: Warehouse) -> DataFrame:
 
 
 def products_per_main_category(wh: Warehouse, roots: DataFrame) -> DataFrame:
-    """Products below each main category, given the roots of a tree of any depth."""
+    """Products below each main category, given the roots of a tree of any depth.
+
+    Products of a category that the tree does not have are counted under a null one.
+    """
     per_category = wh.products.groupBy("category_id").agg(
         F.count(F.lit(1)).alias("products"), F.count_if(F.col("discontinued_on").isNull()).alias("in_assortment"))
-    return per_category.join(roots, "category_id").groupBy("main_category").agg(
+    return per_category.join(roots, "category_id", "left").groupBy("main_category").agg(
         F.sum("products").alias("products"), F.sum("in_assortment").alias("in_assortment"))
 
 
@@ -429,13 +446,31 @@ def top_products_per_category(wh: Warehouse, n: int = 3) -> DataFrame:
         as_money(F.col("net")).alias("net_revenue"))
 
 
-# The three windows below order whole months: their input is one row per calendar month.
+# The windows below order whole months: their input is one row per calendar month (and group).
+
+def every_month(monthly: DataFrame, by: list[str], value: str = "net_revenue") -> DataFrame:
+    """by, month (a date), value of every month from a group's first to its last; months without a row are 0."""
+    span = monthly.groupBy(*by).agg(F.min("month").alias("first"), F.max("month").alias("last")).where("first is not null")
+    months = span.select(*by, F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+    return months.join(monthly.select(*by, "month", value), [*by, "month"], "left").withColumn(
+        value, F.coalesce(value, F.lit(0.0)))
 
-def revenue_month_over_month(wh: Warehouse) -> DataFrame:
-    before = F.lag("net_revenue").over(Window.orderBy("month"))
+
+def monthly_series(wh: Warehouse, dims: dict[str, Column] | None = None, date_col: str = "order_date") -> DataFrame:
+    """Net revenue of every calendar month, per order dimension if asked, months without sales included."""
+    dims = dims or {}
+    dated = sold_orders(wh).filter(F.col(date_col).isNotNull())
+    net = without_tax(rate_sums(wh, {**dims, "month": F.trunc(date_col, "month")}, orders=dated), [*dims, "month"])
+    return every_month(net.select(*dims, "month", as_money(F.col("net")).alias("net_revenue")), list(dims))
+
+
+def revenue_month_over_month(wh: Warehouse, dims: dict[str, Column] | None = None) -> DataFrame:
+    """Each month against the one before it in the calendar, whose revenue is 0 if nothing was sold."""
+    by = list(dims or {})
+    before = F.lag("net_revenue").over(Window.partitionBy(*by).orderBy("month"))
     change = F.col("net_revenue") - F.col("previous")
-    return net_revenue_by_month(wh).withColumn("previous", before).select(
-        "month", "net_revenue", "previous", F.round(change, 2).alias("change"),
+    return monthly_series(wh, dims).withColumn("previous", before).select(
+        *by, month_key(F.col("month")).alias("month"), "net_revenue", "previous", F.round(change, 2).alias("change"),
         F.round(F.try_divide(change, F.col("previous")), 6).alias("change_rate"))
 
 
@@ -445,10 +480,13 @@ def running_revenue(wh: Warehouse) -> DataFrame:
         "month", "net_revenue", F.round(F.sum("net_revenue").over(so_far), 2).alias("running_revenue"))
 
 
-def revenue_moving_avg(wh: Warehouse, months: int = 3) -> DataFrame:
-    recent = Window.orderBy("month").rowsBetween(1 - months, Window.currentRow)
-    return net_revenue_by_month(wh).select(
-        "month", "net_revenue", F.round(F.avg("net_revenue").over(recent), 4).alias("moving_avg"))
+def revenue_moving_avg(wh: Warehouse, months: int = 3, dims: dict[str, Column] | None = None) -> DataFrame:
+    """Average of the last calendar months; those without sales count as 0."""
+    by = list(dims or {})
+    recent = Window.partitionBy(*by).orderBy("month").rowsBetween(1 - months, Window.currentRow)
+    return monthly_series(wh, dims).select(
+        *by, month_key(F.col("month")).alias("month"), "net_revenue",
+        F.round(F.avg("net_revenue").over(recent), 4).alias("moving_avg"))
 
 
 def category_net(wh: Warehouse) -> DataFrame:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the run-time work these jobs count on: size-checked broadcast joins,
 # splitting of skewed join partitions and coalescing of small shuffle partitions.
@@ -51,6 +51,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/querykiln/{purpose}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, purpose: str) -> DataFrame:
+    """`rows` written to the shared storage and read back: what follows does not compute them again."""
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @functools.cache
 def _local_scratch() -> str:
     folder = tempfile.mkdtemp(prefix="querykiln-")

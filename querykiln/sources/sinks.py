@@ -1,4 +1,4 @@
-"""Output folders: refuse, append or manifest."""
+"""Output folders: refuse or manifest; appended records have a store of their own."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
-def append_records(rows: DataFrame, path: str) -> None:
-    """Add finished records; each condition is its own folder, so a resume reads only its own."""
-    rows.write.mode("append").partitionBy("condition").parquet(path)
-
-
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """The one-row manifest as a single JSON file."""
     manifest.coalesce(1).write.mode("errorifexists").json(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querykiln.functions.text import normalize
-from querykiln.operators import chat, curation, lengths
+from querykiln.operators import chat, curation, lengths, selection
 
 
 def test_quotas_nest_and_sum():
@@ -75,6 +75,40 @@ def test_shares_and_budget(spark):
     assert tuple(curation.house_term_share(frame.limit(0)).first()) == (0, 0, 0.0, False)
 
 
+def test_change_sets(spark, rows):
+    schema = "example_id string, a string, b string"
+    base = [("same", "x", None), ("moved", None, "x"), ("gone", "x", "y"), ("twice", "1", ""), ("twice", "2", ""), ("less", "1", ""),
+            ("less", "1", ""), (None, "n", ""), ("gone", "x", "z")]
+    new = [("same", "x", None), ("moved", "x", None), ("twice", "2", ""), ("twice", "1", ""), ("less", "1", ""), (None, "m", ""), ("new", "", "")]
+    found = curation.version_changes(spark.createDataFrame(base, schema), spark.createDataFrame(new, schema), ["a", "b"])
+    assert rows(found) == sorted([("moved", "fixed"), ("gone", "removed"), ("less", "fixed"), (None, "fixed"), ("new", "added")], key=repr)
+    lists = curation.change_lists(found.where("example_id is not null"))
+    assert lists == {"fixed_ids": ["less", "moved"], "added_ids": ["new"], "removed_repetition_ids": ["gone"]}
+    assert curation.change_lists(found, most=1)["fixed_ids"] is None
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(20,3)"])
+def test_values_at_ranks(spark, kind):
+    rng = random.Random(5)
+    values = [rng.choice([0, 1, 7, -5]) for _ in range(300)] + [rng.randrange(-10 ** 9, 10 ** 9) for _ in range(500)]
+    values += [10 ** 12, -10 ** 12] + ([(1 << 62) + i for i in range(40)] + [-(1 << 63), (1 << 63) - 1] if kind == "bigint" else [])
+    rows = spark.createDataFrame([(str(v), i % 3 or None) for i, v in enumerate(values)] + [(None, 1)], "t string, g int").select(
+        F.col("t").cast(kind).alias("v"), "g")
+    order, n = sorted(values), len(values)
+    assert [int(v) for v in selection.values_at(rows, "v", [0, 5, n // 2, n - 1])] == [order[i] for i in (0, 5, n // 2, n - 1)]
+    assert selection.values_at(rows, "v", [n, -1]) == [None, None] and selection.values_at(rows.limit(0), "v", [0]) == [None]
+    if kind != "bigint":
+        for r in lengths.nearest_rank(rows, "v", by=["g"]).collect():
+            own = sorted(v for i, v in enumerate(values) if (i % 3 or None) == r.g)
+            assert [int(r[p]) for p in ("min", *lengths.FRACTIONS, "max")] == [
+                own[round((len(own) - 1) * f)] for f in (0, *lengths.FRACTIONS.values(), 1)] and r.total == sum(own)
+
+
+def test_ten_million_distinct_doubles(spark):
+    rows = spark.range(10_000_000).select((F.pmod(F.col("id") * 7919, F.lit(10_000_000)) / 7.0).alias("v"))
+    assert selection.values_at(rows, "v", [0, 4_999_999, 9_899_999]) == [0.0, 4_999_999 / 7.0, 9_899_999 / 7.0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 101, 257])
 def test_nearest_rank_like_python(spark, n):
     rnd = random.Random(n)

@@ -7,7 +7,7 @@ import pytest
 from querykiln import jobs
 from querykiln.operators import curation
 from querykiln.session import shared_folder
-from querykiln.sources import jsonl, sinks, warehouse
+from querykiln.sources import jsonl, records, runs, warehouse
 from querykiln.streaming.scoring import keep_verdicts, latest_accuracy, running_accuracy, scored_stream
 from tests.test_validation import example, write
 
@@ -165,6 +165,18 @@ def test_manifest_and_lint(spark, files):
     assert read_json(files["dir"] / "lint") == []
 
 
+def test_manifest_lists_what_changed(spark, files):
+    old = [example(i) for i in range(6)]
+    new = [dict(reversed(old[0].items())), dict(old[1], axis_time="window_rel"), old[3], dict(old[4], note="n"), example(10), example(11)]
+    paths = [write(files["dir"] / f"v{i}.jsonl", v) for i, v in enumerate((old, new))]
+    out, changes = files["dir"] / "manifest", files["dir"] / "changes"
+    jobs.main(["manifest", paths[1], "v2", str(out), "--base", paths[0], "--changes-out", str(changes), "--curriculum", "c"], spark)
+    (row,) = read_json(out)
+    ids = lambda *numbers: sorted(example(i)["example_id"] for i in numbers)
+    assert row["fixed_ids"] == ids(1, 4) and row["added_ids"] == ids(10, 11) and row["removed_repetition_ids"] == ids(2, 5)
+    assert row["base"] == paths[0] and row["curriculum"] == "c" and len(read_json(changes)) == 6
+
+
 def bundle(files, contexts=("P0", "P1", "P2")):
     path = files["dir"] / "bundle.json"
     path.write_text(json.dumps(dict(
@@ -176,7 +188,8 @@ def bundle(files, contexts=("P0", "P1", "P2")):
 
 def test_pending_prompts(spark, files, rows):
     done = str(files["dir"] / "done")
-    sinks.append_records(spark.createDataFrame([("P0", "e1", "x")], "condition string, example_id string, generated_sql string"), done)
+    records.append_records(
+        spark.createDataFrame([("P0", "e1", "x")], "condition string, example_id string, generated_sql string"), done, ["P0"])
     out = files["dir"] / "prompts"
     jobs.main(["prompts", bundle(files), str(out), "--done", done, "--conditions", "p0,P2", "--offset", "1", "--limit", "2"], spark)
     assert sorted((r["condition"], r["prompt"]) for r in read_json(out)) == [
@@ -205,12 +218,50 @@ def test_seed_load_replaces(spark, files):
         warehouse.read_seed_csv(spark, "categories", str(folder / "categories.csv")).collect()
 
 
-def test_append_sink_resumes(spark, files, rows):
-    out = str(files["dir"] / "records")
+def test_appended_records_stand_once(spark, files, rows):
+    out, both = str(files["dir"] / "records"), ["P0", "P1"]
     part = lambda *v: spark.createDataFrame(list(v), "condition string, example_id string")
-    sinks.append_records(part(("P0", "a")), out)
-    sinks.append_records(part(("P1", "a"), ("P0", "b")), out)
-    assert rows(spark.read.parquet(out).select("condition", "example_id")) == [("P0", "a"), ("P0", "b"), ("P1", "a")]
+    seen = lambda: rows(records.read_records(spark, out).select("condition", "example_id"))
+    assert records.read_records(spark, out) is None and records.append_records(part(), out, both) == 0
+    # A job that was killed before its commit has left files, and perhaps a folder for its entry.
+    lost = records.stage(part(("P0", "a"), ("P0", "z")), out)
+    (files["dir"] / "records" / "commits" / f"batch={lost}").mkdir(parents=True)
+    assert records.read_records(spark, out) is None
+    assert records.append_records(part(("P0", "a")), out, both) == 1
+    for expected in (2, 0, 0):
+        assert records.append_records(part(("P1", "a"), ("P0", "b"), ("P0", "a")), out, both) == expected
+        assert seen() == [("P0", "a"), ("P0", "b"), ("P1", "a")]
+    with pytest.raises(ValueError, match="P0/c: duplicate"):
+        records.append_records(part(("P0", "c"), ("P0", "c")), out, both)
+    with pytest.raises(ValueError, match="P2/c: unexpected"):
+        records.append_records(part(("P2", "c")), out, both)
+    assert seen() == [("P0", "a"), ("P0", "b"), ("P1", "a")]
+    records.commit(spark, out, lost, 2)  # as by a second writer at the same time
+    with pytest.raises(ValueError, match="P0/a: duplicate"):
+        records.append_records(part(("P0", "d")), out, both)
+    plan = records.read_records(spark, out).where("condition = 'P1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(condition" in plan
+
+
+def test_run_store_opens_only_what_is_asked_for(spark, files, rows):
+    store = str(files["dir"] / "store")
+    data = [(s, r, c, f"e{i}", i % 2 == 0) for s in ("eval", "ood") for r in ("a", "b") for c in ("P0", "P1") for i in range(3)]
+    runs.save_runs(spark.createDataFrame(data, "scope string, run string, file_condition string, example_id string, ok boolean"), store)
+    registry = write_registry(spark, files["dir"] / "runs.csv")
+    got = runs.open_runs(spark, store, registry.where("grp = 'x'"), ["P0"])
+    assert rows(got.select("scope", "run", "file_condition").distinct()) == [("eval", "a", "P0")]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = [x.split("PartitionFilters: ")[1].split("PushedFilters")[0] for x in plan.splitlines() if "FileScan parquet" in x]
+    assert "file_condition" in filters[0] and "dynamicpruning" in filters[0], plan
+    assert rows(runs.unregistered_runs(runs.open_runs(spark, store), registry)) == [
+        ("eval", "b", "P0", 3), ("eval", "b", "P1", 3), ("ood", "a", "P0", 3), ("ood", "a", "P1", 3)]
+
+
+def write_registry(spark, path):
+    path.write_text("ord,scope,run,label,grp\n1,eval,a,A,x\n2,ood,b,B,y\n")
+    return spark.read.option("header", True).csv(str(path))
 
 
 def test_stream_counts_each_key_once_and_resumes(spark, files, rows):
@@ -246,28 +297,37 @@ def test_repeats_count_once(spark, rows):
 
 
 def test_generation_cycle_closes(spark, files):
-    path, records = bundle(files), str(files["dir"] / "records")
+    path, store = bundle(files), str(files["dir"] / "records")
     answer = lambda c, i: dict(condition=c, example_id=f"e{i}", generated_text=f"SELECT {i}", latency_ms=5,
                                thinking_tokens=0, generated_tokens=3)
     done = []
     for turn, cells in enumerate([[("P0", 0), ("P0", 1)], [("P0", 2), ("P0", 3), ("P1", 0), ("P1", 1), ("P1", 2), ("P1", 3)]]):
         answers = write(files["dir"] / f"a{turn}.jsonl", [answer(*cell) for cell in cells])
         out = files["dir"] / f"m{turn}"
-        jobs.main(["collect-answers", path, answers, records, str(out), "--run-id", "r", "--model", "m", "--base-model", "b",
-                   "--conditions", "P0,P1", "--adapter-path", "ad"], spark)
+        jobs.main(["collect-answers", path, answers, store, str(out), "--run-id", "r", "--model", "m", "--base-model", "b",
+                   "--conditions", "P0,P1", "--adapter-path", "ad", "--require-adapter"], spark)
         (row,) = read_json(out)
         done += cells
         assert row["records"] == len(done) and row["complete"] is (turn == 1) and row["adapter_required"] is True
-        assert row["bundle_sha256"] == hashlib.sha256(open(path, "rb").read()).hexdigest() and row["result_file"] == records
-        left = jobs.pending_prompts(spark, path, records, ["P0", "P1"])
+        assert row["bundle_sha256"] == hashlib.sha256(open(path, "rb").read()).hexdigest() and row["result_file"] == store
+        left = jobs.pending_prompts(spark, path, store, ["P0", "P1"])
         assert left.count() == 8 - len(done)
+    again = jobs.collect_answers(spark, path, answers, store, ["P0", "P1"], "r", "m", "b").first()
+    assert again.records == 8 and again.complete and records.read_records(spark, store).count() == 8
+    part = jobs.collect_answers(spark, path, answers, store, ["P0", "P1"], "r", "m", "b", offset=1, limit=2, max_runtime_seconds=60).first()
+    assert (part.records, part.complete, part.record_offset, part.record_limit, part.max_runtime_seconds) == (4, True, 1, 2, 60)
+    with pytest.raises(ValueError, match="empty"):
+        jobs.pending_prompts(spark, path, None, ["P0"], offset=4)
+    with pytest.raises(ValueError, match="adapter"):
+        jobs.collect_answers(spark, path, answers, store, ["P0"], "r", "m", "b", require_adapter=True)
     parts = [jobs.pending_prompts(spark, path, None, ["P0", "P1"], shard=i, shards=3).count() for i in range(3)]
     assert sum(parts) == 8
     with pytest.raises(ValueError, match="unexpected condition"):
-        jobs.pending_prompts(spark, path, records, ["P0"])
-    sinks.append_records(spark.read.parquet(records).filter("example_id = 'e1' and condition = 'P0'"), records)
+        jobs.pending_prompts(spark, path, store, ["P0"])
+    batch = records.stage(records.read_records(spark, store).filter("example_id = 'e1' and condition = 'P0'"), store)
+    records.commit(spark, store, batch, 1)
     with pytest.raises(ValueError, match="P0/e1: duplicate"):
-        jobs.pending_prompts(spark, path, records, ["P0", "P1"])
+        jobs.pending_prompts(spark, path, store, ["P0", "P1"])
 
 
 def session_with(master, **conf):

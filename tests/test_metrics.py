@@ -98,8 +98,9 @@ def test_rankings(wh, rows):
 def test_windows(wh, rows):
     assert rows(M.running_revenue(wh).select("running_revenue")) == [(30.0,), (60.0,), (70.0,)]
     assert rows(M.revenue_month_over_month(wh).select("month", "change")) == [
-        ("2026-03", None), ("2026-04", 0.0), ("2026-06", -20.0)]
-    assert rows(M.revenue_moving_avg(wh, 2).select("moving_avg")) == [(20.0,), (30.0,), (30.0,)]
+        ("2026-03", None), ("2026-04", 0.0), ("2026-05", -30.0), ("2026-06", 10.0)]  # nothing was sold in May
+    assert rows(M.revenue_moving_avg(wh, 2).select("month", "moving_avg")) == [
+        ("2026-03", 30.0), ("2026-04", 30.0), ("2026-05", 15.0), ("2026-06", 5.0)]
 
 
 def test_results_do_not_depend_on_partitioning(wh, rows):
@@ -137,12 +138,36 @@ def test_filters_and_columns_reach_the_scan(spark, wh, tmp_path):
 
 def test_category_trees_of_any_depth(spark, wh, rows):
     two = M.main_categories(wh.categories)
-    assert rows(M.category_roots(spark, wh.categories)) == rows(two)
+    assert rows(M.category_roots(wh.categories).drop("problem")) == rows(two)
     deep = wh.categories.union(spark.createDataFrame([(9, "Deep", 2)], wh.categories.schema))
-    roots = {r.category_name: r.main_category for r in M.category_roots(spark, deep).collect()}
+    roots = {r.category_name: r.main_category for r in M.category_roots(deep).collect()}
     assert roots["Deep"] == "Top"
 
 
+def test_long_paths_cycles_and_orphans(spark, wh):
+    chain = [(i, f"c{i}", i - 1 if i else None) for i in range(5000)]
+    odd = [(6001, "x", 6002), (6002, "y", 6003), (6003, "z", 6004), (6004, "w", 6001), (6005, "below", 6003), (6006, "self", 6006),
+           (7001, "lost", 7999), (7002, "below lost", 7001)]
+    tree = spark.createDataFrame(chain + odd, "category_id bigint, category_name string, parent_category_id bigint")
+    roots = M.category_roots(tree)
+    found = {r.category_id: (r.main_category, r.problem) for r in roots.collect()}
+    assert len(found) == len(chain + odd) and {found[i] for i in range(5000)} == {("c0", None)}
+    assert {found[i] for i in (7001, 7002)} == {("lost", "orphan")}
+    assert [found[i] for i in range(6001, 6007)] == [(n, "cycle") for n in ("x", "y", "z", "w", "below", "self")]
+    products = spark.createDataFrame([(i, c) for i, c in enumerate([4999, 6001, 7002, 12345])], "product_id bigint, category_id bigint")
+    shop = replace(wh, products=products.withColumn("discontinued_on", F.lit(None).cast("date")))
+    counted = {r.main_category: r.products for r in M.products_per_main_category(shop, roots).collect()}
+    assert counted == {"c0": 1, "x": 1, "lost": 1, None: 1}
+
+
+def test_months_without_sales_are_there(spark):
+    monthly = spark.createDataFrame([("a", day("2024-11-01"), 4.0), ("a", day("2025-02-01"), 2.0), ("b", day("2025-01-01"), 1.0)],
+                                    "g string, month date, net_revenue double")
+    got = [(r.g, r.month.isoformat()[:7], r.net_revenue) for r in M.every_month(monthly, ["g"]).orderBy("g", "month").collect()]
+    assert got == [("a", "2024-11", 4.0), ("a", "2024-12", 0.0), ("a", "2025-01", 0.0), ("a", "2025-02", 2.0), ("b", "2025-01", 1.0)]
+    assert M.every_month(monthly.where("g = 'none'"), []).count() == 0
+
+
 def test_calendar(spark):
     span = spark.sql("SELECT DATE'2024-12-30' AS first_day, DATE'2026-12-31' AS last_day")
     days = {r.date_key: r for r in calendar.dim_date(span).collect()}

@@ -134,6 +134,14 @@ def test_grid(spark, rows):
     assert rows(grid.slice_shard(examples, 1, 1)) == [("b", 1)]
     assert rows(grid.slice_shard(examples, 2, 0)) == [("c", 2)]
     assert grid.first_records(examples, 0).count() == 3 and rows(grid.first_records(examples, 1)) == [("a", 0)]
+    for empty in (3, 9):
+        with pytest.raises(ValueError, match="empty"):
+            grid.slice_shard(examples, empty, 2)
+    with pytest.raises(ValueError, match="empty"):
+        grid.slice_shard(examples.limit(0), 0, 1)
+    assert grid.first_records(examples.limit(0), 2).count() == 0
+    plan = grid.slice_shard(examples, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan and "Exchange" not in plan
     shards = [grid.hash_shard(examples, i, 3) for i in range(3)]
     assert rows(shards[0].union(shards[1]).union(shards[2])) == rows(examples)
     manifest = grid.run_manifest(grid.grid(examples, ["P0"]), examples, ["P0"], "r", "m").first()

@@ -75,3 +75,11 @@ def test_ratio_and_formats(spark):
     got = one.select(ratio(F.lit(1), F.lit(0)), ratio(F.lit(1), F.lit(4)), three_decimals(F.lit(0.12345)),
                      whole_percent(F.lit(0.615))).first()
     assert tuple(got) == (0.0, 0.25, "0.123", "62%")
+
+
+@pytest.mark.parametrize("most", [range(1, 260), (300, 640, 1000, 2000, 8000)])
+def test_shares_are_printed_by_their_exact_value(spark, most):
+    pairs = [(k, n) for n in most for k in range(n + 1)]
+    shares = spark.createDataFrame(pairs, "k int, n int").withColumn("share", F.col("k") / F.col("n"))
+    for r in shares.select("k", "n", three_decimals(F.col("share")).alias("d"), whole_percent(F.col("share")).alias("p")).collect():
+        assert (r.d, r.p) == (f"{r.k / r.n:.3f}", f"{r.k / r.n:.0%}")
