@@ -38,6 +38,12 @@ def thinned(rows: DataFrame, h: Column, share: Column | float) -> DataFrame:
     return rows.where(F.pmod(h, F.lit(1 << 30)) < F.lit(float(1 << 30)) * share)
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1 and so on, which no result column is named like, and its names for them."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def arrow_columns(df: DataFrame, inputs: dict[str, Column | str], schema: str,
                   open_task: Callable[[], Callable[[dict[str, list]], Iterable[tuple]]]) -> DataFrame:
     """`df` with new columns computed in Python, one Arrow batch at a time.

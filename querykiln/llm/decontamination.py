@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, table
+from querykiln.llm.common import arrow_columns, plain_names, table
 
 WINDOW_WORDS = 10
 # Item text searched for at a time. More text means further passes of the same kind, one after
@@ -91,13 +91,14 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                          F.col(item_text).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.withColumns({"wm_hits": F.lit(None).cast("binary"),
-                            "wm_items": F.lit(None).cast("array<string>")})
+    out, names = plain_names(docs)
+    out = out.withColumns({"wm_hits": F.lit(None).cast("binary"), "wm_items": F.lit(None).cast("array<string>")})
     for block in range(blocks):
         chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast([(r.id, bytes(r.text)) for r in chosen.collect()])
-        out = _pass(out, held, text, size, block == blocks - 1)
-    return out.drop("wm_hits", "wm_items")
+        out = _pass(out, held, names[text], size, block == blocks - 1)
+    added = [c for c in out.columns if c not in names.values() and not c.startswith("wm_")]
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in added], *added)
 
 
 def _pass(docs: DataFrame, held, text: str, size: int, last: bool) -> DataFrame:
@@ -129,15 +130,15 @@ def _pass(docs: DataFrame, held, text: str, size: int, last: bool) -> DataFrame:
         return compute
 
     return arrow_columns(
-        docs, {"text": F.col(text).cast("binary"), "hits": F.col("wm_hits"), "items": F.col("wm_items")},
+        docs, {"text": text, "hits": F.col("wm_hits"), "items": F.col("wm_items")},
         RESULT if last else "wm_hits binary, wm_items array<string>", open_task)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    marked = mark(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                              F.col(options.pop("text", "text")).alias("text")), items, **options)
-    return marked.where("not contaminated").select("row.*")
+    rows, names = plain_names(docs)
+    marked = mark(rows, items, names[options.pop("text", "text")], **options)
+    return marked.where("not contaminated").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, stored, table
+from querykiln.llm.common import arrow_columns, plain_names, stored, table
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -33,7 +33,8 @@ HELD_OUT = 5  # one in so many trusted documents sets the limit instead of train
 # A document counts as having so many further characters of average trusted text: a few words alone
 # say little about quality.
 PRIOR_CHARS = 100
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20      # counted at a time
+PORTION_CHARS = 1 << 19    # judged at a time
 OVER = 1e-9
 
 RESULT = "perplexity double, perplexity_limit double, quality_kept boolean"
@@ -154,7 +155,7 @@ class Lookup:
     """Values by 60-bit key: one slot per hash, and a sorted rest for keys whose slot is taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length()))
         slot = self._slot(keys)
         self.key = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
         self.value = np.zeros(len(self.key), dtype=np.float32)
@@ -238,7 +239,7 @@ def surprises(texts: Iterable[str], buckets: list, model) -> list[tuple[float, i
     for text in texts:
         portion.append(grams(symbols(text)))
         held += len(portion[-1])
-        if held > CHUNK_CHARS:
+        if held > PORTION_CHARS:
             add()
             held = 0
     if portion:
@@ -342,26 +343,26 @@ def judge(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang",
             rows: list[tuple] = [(None, None, True)] * len(batch["text"])
             at: dict[str, list[int]] = {}
             for i, (content, name) in enumerate(zip(batch["text"], batch["lang"], strict=True)):
-                if content and name in fitted:
-                    at.setdefault(name, []).append(i)
+                if content and (name or "") in fitted:
+                    at.setdefault(name or "", []).append(i)
             for name, own in at.items():
                 buckets, mean, limit = fitted[name]
-                for i, (total, n) in zip(own, surprises((batch["text"][i] for i in own), buckets, model), strict=True):
+                for i, (total, n) in zip(own, surprises(
+                        (batch["text"][i].decode("utf-8", "replace") for i in own), buckets, model), strict=True):
                     perplexity = math.exp((total + prior * mean) / (n + prior))
                     rows[i] = perplexity, limit, perplexity <= limit
             return rows
 
         return of
 
-    return arrow_columns(docs, {"text": F.col(f"`{text}`"), "lang": F.coalesce(F.col(f"`{lang}`"), F.lit(""))},
-                         RESULT, open_task)
+    return arrow_columns(docs, {"text": text, "lang": F.col(f"`{lang}`")}, RESULT, open_task)
 
 
 def keep_good(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    return judge(rows, fitted).where("quality_kept").select("row.*")
+    rows, names = plain_names(docs)
+    return judge(rows, fitted, names[text], names[lang]).where("quality_kept").select(
+        *[F.col(n).alias(c) for c, n in names.items()])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, stored, table, thinned
+from querykiln.llm.common import arrow_columns, plain_names, stored, table, thinned
 
 SAMPLE_DOCS = 10_000     # documents, about so many picked evenly by hash, that give labelled findings
 # A dictionary word is in so many documents, and in such a share of all documents or of those of one
@@ -203,7 +203,10 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
     def open_task():
         score = held.value.score
 
-        def one(content):
+        def one(body):
+            if body is None:
+                return (0, 0, [], None)
+            content = body.decode("utf-8", "replace")
             spans = [(a, b, score(content, a, b)) for a, b in candidates(content)]
             bad = [s for s in spans if s[2] >= SECRET_SCORE]
             parts, at = [], 0
@@ -215,17 +218,17 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
 
         return lambda b: map(one, b["text"])
 
-    return arrow_columns(docs, {"text": F.col(f"`{text}`")}, "n_candidates bigint, n_secrets bigint, "
+    return arrow_columns(docs, {"text": text}, "n_candidates bigint, n_secrets bigint, "
                          "secrets array<struct<start:int,length:int,score:double>>, redacted string", open_task)
 
 
 def redact(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
     """All documents with their own columns; every secret in the text is replaced by a mask."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    out = scan(rows, scanner)
+    rows, names = plain_names(docs)
+    out = scan(rows, scanner, names[text])
     return out.select(*[F.col("redacted").alias(c) if c == text else
                         F.length("redacted").cast("long").alias(c) if c == "n_chars" else
-                        F.col(f"row.`{c}`") for c in docs.columns])
+                        F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
