@@ -24,8 +24,8 @@ SCALE = 10 ** 9    # probabilities are whole numbers of this
 SHARD_TERMS = 1 << 12
 SOURCE_BLOCK = 1 << 7
 # Text that is split at once, and distinct (group, term) rows a task holds before it passes them on.
-SLICE_BYTES = 4 << 20
-HELD_ROWS = 1 << 19
+SLICE_BYTES = 1 << 20
+HELD_ROWS = 1 << 18
 
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _SEPARATOR = np.ones(256, dtype=bool)
