@@ -7,8 +7,6 @@ dictionary; pieces keep the dictionary's share in a long text as large as in a s
 
 from __future__ import annotations
 
-import re
-
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +27,6 @@ COMPRESSION = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log":
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def train(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary per language, from the texts with the lowest hash of `key` (spread evenly).
@@ -77,7 +73,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             coders.append((name, zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress))
 
         def one(content: str | None):
-            if not content or not coders or not _LETTER.search(content):
+            if not content or not coders or not any(map(str.isalpha, content)):
                 return UNKNOWN, 0.0, None
             raw = content.lower().encode()
             pieces = [raw[i:i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]

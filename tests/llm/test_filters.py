@@ -65,10 +65,11 @@ def test_language_separates_and_rejects(spark, frame):
     model = language.train(frame(train, schema), "doc_id")
     assert set(model) == {"aa", "bb"} and model == language.train(frame(train[::-1], schema), "doc_id")
     docs = [(i, text(lang, 30), lang, "s") for i in range(20) for lang in words]
-    docs += [(50, None, "aa", ""), (51, "", "aa", ""), (52, "12 !!", "aa", ""), (53, text("aa", 20000), "aa", "")]
+    docs += [(50, None, "aa", ""), (51, "", "aa", ""), (52, "12 !!", "aa", ""), (53, text("aa", 20000), "aa", ""),
+             (60, "½ ²", "aa", ""), (61, "Ⅷ ①", "aa", "")]
     got = language.identify(frame(docs, schema), model).collect()
     for r in got:
-        assert r.lang_best == ("und" if r.doc_id in (50, 51, 52) else r.lang) and 0 <= r.score <= 1
+        assert r.lang_best == ("und" if r.doc_id in (50, 51, 52, 60, 61) else r.lang) and 0 <= r.score <= 1
     assert all(r.lang_accepted in (None, r.lang_best) for r in got)
     assert all(r.lang_accepted is None for r in language.identify(frame(docs, schema), model, min_margin=2.0).collect())
     assert language.identify(frame([], schema), model).count() == 0
