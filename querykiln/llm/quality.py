@@ -4,6 +4,11 @@ The model of a language is trained on its trusted text, of which every fifth doc
 held out. Counts, continuation counts, discounts and interpolation are Spark aggregations and joins,
 sharded by the n-gram. A document's perplexity decides: it is rejected above a quantile of
 the held-out texts of its language, which the model has seen as little as any other document.
+
+Toxic text is fluent and passes that limit. So two smaller models of the same kind, of single words
+counted by document, are trained on toxic and on trusted text: a word that toxic text has shown to be
+its own gains the logarithm of the two probabilities' ratio. A document's gain per word is held
+against a quantile of the same held-out texts.
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querykiln.llm.common import arrow_columns, plain_names, stored, table
+from querykiln.llm.words import word_hashes
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -28,17 +34,22 @@ SYMBOL_BITS = 12
 # model has more buckets, of which a task holds KEPT_BUCKETS at a time.
 BUCKET_GRAMS = 1 << 18
 KEPT_BUCKETS = 8
-QUANTILE = 0.99
-HELD_OUT = 5  # one in so many trusted documents sets the limit instead of training the model
+QUANTILE = 0.975
+TOXIC_QUANTILE = 0.99
+HELD_OUT = 3  # one in so many trusted documents sets the limit instead of training the model
 # A document counts as having so many further characters of average trusted text: a few words alone
 # say little about quality.
 PRIOR_CHARS = 100
+PRIOR_WORDS = 50   # a document's toxicity counts as having so many further words without gain
+LEAST_GAIN = 1.0   # of a word's log-ratio; what is below is noise of rare words
 CHUNK_CHARS = 1 << 20      # counted at a time
 PORTION_CHARS = 1 << 19    # judged at a time
 OVER = 1e-9
 
-RESULT = "perplexity double, perplexity_limit double, quality_kept boolean"
+RESULT = "perplexity double, perplexity_limit double, toxicity double, toxicity_limit double, quality_kept boolean"
 _SPACES = re.compile(r"\s+")
+# ASCII other than letters parts words.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def symbols(text: str) -> np.ndarray:
@@ -59,9 +70,18 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-case words of letters, and the text number of each."""
+    h, owner = word_hashes([t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts])
+    return h.view(np.int64), owner
+
+
 def trusted_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                  lang: str = "lang") -> DataFrame:
-    """lang, body (compressed text), held of the documents whose id is in `trusted` (doc_id), written."""
+                  lang: str = "lang", toxic: DataFrame | None = None) -> DataFrame:
+    """lang, body (compressed text), held, toxic of the labelled documents, written.
+
+    `trusted` and `toxic` have their ids (doc_id); an id that is in both is toxic.
+    """
     def run(batches):
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
@@ -73,10 +93,13 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
                        F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null and length(text) > 0")
     kind = rows.schema["doc_id"].dataType.simpleString()
     packed = rows.mapInArrow(run, f"doc_id {kind}, lang string, body binary")
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    ids = trusted.select("doc_id", F.lit(False).alias("toxic"))
+    if toxic is not None:
+        ids = ids.union(toxic.select("doc_id", F.lit(True)))
+    ids = ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The ids grow with the labels, so the join is the same at every size: never a broadcast.
     return stored(packed.join(ids.hint("merge"), "doc_id").select(
-        "lang", "body", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
+        "lang", "body", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"), "toxic"), "trusted")
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -123,20 +146,11 @@ def estimate(counts: DataFrame) -> DataFrame:
     out, lower = None, None
     for size in range(1, ORDER + 1):
         rows = levels[size]
-        of_counts = rows.groupBy("lang").agg(
-            *[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("kinds"))
-        # Chen and Goodman's discounts for counts of one, two, and three or more.
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-        discounts = of_counts.select("lang", "kinds", *[
-            F.when(usable, F.greatest(F.lit(0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0))))
-            .otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)])
+        of_counts = discounts(rows.groupBy("lang").agg(*counts_of_counts("c")), "lang")
         rows = rows.withColumn("context", F.shiftright("gram", SYMBOL_BITS))
         totals = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"))
-        kept = (rows.join(F.broadcast(discounts), "lang")
-                .withColumn("own", F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2"))
-                            .otherwise(F.col("d3"))))
-        kept = kept.join(totals, ["lang", "context"]).withColumn("own", F.greatest(F.lit(0.0), F.col("own")) / F.col("total"))
+        kept = rows.join(F.broadcast(of_counts), "lang").join(totals, ["lang", "context"]).withColumn(
+            "own", discounted("c") / F.col("total"))
         left = kept.groupBy("lang", "context").agg((1 - F.sum("own")).alias("left"))
         kept = kept.join(left, ["lang", "context"])
         if lower is None:
@@ -151,6 +165,99 @@ def estimate(counts: DataFrame) -> DataFrame:
     return out
 
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """lang, toxic, word (hash), n: in how many texts the word is; each task adds up its own texts first."""
+    def run(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            bodies: dict[tuple, list] = {}
+            for lang, body, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bodies.setdefault((lang, toxic), []).append(expand(body).decode("utf-8", "replace"))
+            for (lang, toxic), own in bodies.items():
+                h, owner = letter_words(own)
+                # The words of a text once each, then the texts of a word.
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                word, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * len(word), pa.string()), "toxic": pa.array([toxic] * len(word), pa.bool_()),
+                    "word": word, "n": n.astype(np.int64)})
+
+    counts = texts.select("lang", "body", "toxic").mapInArrow(run, "lang string, toxic boolean, word long, n long")
+    return counts.groupBy("lang", "toxic", "word").agg(F.sum("n").alias("n"))
+
+
+def count_neighbours(texts: DataFrame) -> DataFrame:
+    """lang, word (hash), before: how many different words stand before it, the start of a text being one."""
+    def run(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            bodies: dict[str, list] = {}
+            for lang, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bodies.setdefault(lang, []).append(expand(body).decode("utf-8", "replace"))
+            for lang, own in bodies.items():
+                word, owner = letter_words(own)
+                before = np.zeros(len(word), dtype=np.int64)
+                before[1:] = np.where(owner[1:] == owner[:-1], word[:-1], 0)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * len(word), pa.string()), "word": word, "before": before})
+
+    pairs = texts.select("lang", "body").mapInArrow(run, "lang string, word long, before long").distinct()
+    return pairs.groupBy("lang", "word").agg(F.count("*").alias("before"))
+
+
+def discounts(of_counts: DataFrame, *keys: str) -> DataFrame:
+    """keys, kinds, d1, d2, d3: Chen and Goodman's discounts for counts of one, two, and three or more."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
+    return of_counts.select(*keys, "kinds", *[
+        F.when(usable, F.greatest(F.lit(0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0))))
+        .otherwise(0.5).alias(f"d{k}") for k in (1, 2, 3)])
+
+
+def counts_of_counts(c: str) -> list[Column]:
+    return [*[F.count(F.when(F.col(c) == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("kinds")]
+
+
+def discounted(c: str) -> Column:
+    discount = F.when(F.col(c) == 1, F.col("d1")).when(F.col(c) == 2, F.col("d2")).otherwise(F.col("d3"))
+    return F.greatest(F.lit(0.0), F.col(c) - discount)
+
+
+def toxic_words(texts: DataFrame, least: float = LEAST_GAIN) -> DataFrame:
+    """lang, word, gain of the words whose log-ratio is above `least`, by what it is above.
+
+    A word counts once for each text, but in toxic text not more often than different words stand
+    before it: the words of a passage that several texts share are not signs of what they are about.
+
+    Both models interpolate their discounted counts with a uniform share; the ratio is taken against
+    that of a word in neither, so it does not depend on how much text of each kind there is. Only
+    words of toxic text, in languages with trusted text, can gain.
+    """
+    counts = count_words(texts)
+    toxic = counts.where("toxic").join(count_neighbours(texts.where("toxic")), ["lang", "word"])
+    counts = stored(counts.where("not toxic").union(
+        toxic.select("lang", "toxic", "word", F.least("n", "before").alias("n"))), "words")
+    side = discounts(counts.groupBy("lang", "toxic").agg(F.sum("n").alias("total"), *counts_of_counts("n")),
+                     "lang", "toxic", "total")
+    own = counts.join(F.broadcast(side), ["lang", "toxic"]).select(
+        "lang", "toxic", "word", (discounted("n") / F.col("total")).alias("own"))
+    other = (own.groupBy("lang", "toxic").agg((1 - F.sum("own")).alias("left"))
+             .join(F.broadcast(side.select("lang", "toxic", "kinds")), ["lang", "toxic"])
+             .select("lang", "toxic", (F.col("left") / (F.col("kinds") + 1)).alias("other")))
+    part = lambda toxic, p, u: (
+        own.where(F.col("toxic") == toxic).select("lang", "word", F.col("own").alias(p)),
+        other.where(F.col("toxic") == toxic).select("lang", F.col("other").alias(u)))
+    bad, bad_other = part(True, "p", "u")
+    good, good_other = part(False, "q", "v")
+    # Of the trusted words only those that toxic text has matter.
+    both = bad.join(good, ["lang", "word"], "left").join(F.broadcast(bad_other), "lang").join(F.broadcast(good_other), "lang")
+    ratio = F.log1p(F.col("p") / F.col("u")) - F.log1p(F.coalesce("q", F.lit(0.0)) / F.col("v"))
+    return both.select("lang", "word", (ratio - least).alias("gain")).where("gain > 0")
+
+
 class Lookup:
     """Values by 60-bit key: one slot per hash, and a sorted rest for keys whose slot is taken."""
 
@@ -180,13 +287,21 @@ class Lookup:
         return value, found
 
 
+PACKED = {"gram": np.int64, "prob": np.float32, "context": np.int64, "left": np.float32}
+
+
 class Model:
     """Log-probabilities of one language, from the rows of `estimate`."""
 
     def __init__(self, levels: dict[int, tuple]):
-        self.grams = {s: Lookup(g, np.log(np.maximum(p, OVER))) for s, (g, p, _, _) in levels.items()}
+        words = levels.get(WORDS)
+        self.words = Lookup(words[0], words[1]) if words else None
+        # A bucket need not have n-grams of every order.
+        nothing = tuple(np.zeros(0, dtype=kind) for kind in PACKED.values())
+        orders = {s: levels.get(s, nothing) for s in range(1, ORDER + 1)}
+        self.grams = {s: Lookup(g, np.log(np.maximum(p, OVER))) for s, (g, p, _, _) in orders.items()}
         self.contexts = {}
-        for s, (_, _, context, left) in levels.items():
+        for s, (_, _, context, left) in orders.items():
             at = np.unique(context, return_index=True)[1]
             self.contexts[s] = Lookup(context[at], np.log(np.maximum(left[at], OVER)))
 
@@ -205,12 +320,17 @@ class Model:
         out[todo] += math.log(OVER)
         return out
 
+    def gains(self, word: np.ndarray) -> np.ndarray:
+        value, found = self.words.find(word) if self.words else (np.zeros(len(word)), np.zeros(len(word), dtype=bool))
+        return np.where(found, value, 0.0)
+
     def surprise(self, text: str) -> tuple[float, int]:
         """(sum of -ln p, number of characters)."""
         key = grams(symbols(text))
         return -float(self.logs(key).sum()), len(key)
 
 
+WORDS = 0  # the order under which words with their gain are kept in a bucket
 PAIR = (1 << 2 * SYMBOL_BITS) - 1
 SPREAD = 2654435761
 
@@ -220,25 +340,35 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> SYMBOL_BITS & PAIR) * SPREAD >> 16) % buckets
 
 
-def surprises(texts: Iterable[str], buckets: list, model) -> list[tuple[float, int]]:
-    """`Model.surprise` of each text; `model` gives the model of a bucket, wanted once per portion of text."""
-    out: list[tuple[float, int]] = []
-    portion: list[np.ndarray] = []
+def surprises(texts: Iterable[str], buckets: list, model) -> list[tuple[float, int, float, int]]:
+    """`Model.surprise` of each text, its words' gain and their number.
+
+    `model` gives the model of a bucket, wanted once per portion of text.
+    """
+    out: list[tuple[float, int, float, int]] = []
+    portion: list[str] = []
 
     def add():
-        key = np.concatenate(portion)
-        of = np.repeat(np.arange(len(portion)), [len(k) for k in portion])
-        at, total = bucket_of(key, len(buckets)), np.zeros(len(portion))
-        for b in np.unique(at):
-            here = at == b
-            total -= np.bincount(of[here], model(buckets[b]).logs(key[here]), minlength=len(portion))
-        out.extend(zip(total.tolist(), map(len, portion), strict=True))
+        keys = [grams(symbols(t)) for t in portion]
+        lengths = [len(k) for k in keys]
+        key, of = np.concatenate(keys), np.repeat(np.arange(len(keys)), lengths)
+        del keys
+        word, of_word = letter_words(portion)
+        at, at_word = bucket_of(key, len(buckets)), word % len(buckets)
+        total, gain = np.zeros(len(portion)), np.zeros(len(portion))
+        for b in np.union1d(at, at_word):
+            here, own = at == b, at_word == b
+            lookup = model(buckets[b])
+            total -= np.bincount(of[here], lookup.logs(key[here]), minlength=len(portion))
+            gain += np.bincount(of_word[own], lookup.gains(word[own]), minlength=len(portion))
+        out.extend(zip(total.tolist(), lengths, gain.tolist(),
+                       np.bincount(of_word, minlength=len(portion)).tolist(), strict=True))
         portion.clear()
 
     held = 0
     for text in texts:
-        portion.append(grams(symbols(text)))
-        held += len(portion[-1])
+        portion.append(text)
+        held += len(text)
         if held > PORTION_CHARS:
             add()
             held = 0
@@ -258,13 +388,11 @@ def bucket_models():
     return model
 
 
-PACKED = {"gram": np.int64, "prob": np.float32, "context": np.int64, "left": np.float32}
-
-
 def _packed(rows: DataFrame, bucket_grams: int) -> DataFrame:
     """One row per language, bucket and order: the model as the driver passes it on, bucket by bucket.
 
-    Orders of one and two symbols, bounded by the alphabet, are in every bucket of a language.
+    Orders of one and two symbols, bounded by the alphabet, are in every bucket of a language; words
+    are dealt by their hash.
     """
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "gram"])
@@ -275,7 +403,8 @@ def _packed(rows: DataFrame, bucket_grams: int) -> DataFrame:
     buckets = rows.groupBy("lang").agg(F.ceil(F.count("*") / bucket_grams).cast("int").alias("buckets"))
     own = F.pmod(F.shiftright(F.shiftright("gram", SYMBOL_BITS).bitwiseAND(PAIR) * F.lit(SPREAD), 16), F.col("buckets"))
     dealt = rows.join(F.broadcast(buckets), "lang").withColumn("bucket", F.explode(
-        F.when(F.col("size") > 2, F.array(own.cast("int"))).otherwise(F.sequence(F.lit(0), F.col("buckets") - 1))))
+        F.when(F.col("size") > 2, F.array(own.cast("int")))
+        .when(F.col("size") == WORDS, F.array(F.pmod("gram", F.col("buckets").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("buckets") - 1))))
     return dealt.groupBy("lang", "bucket").applyInPandas(
         pack, "lang string, bucket int, buckets int, size int, gram binary, prob binary, context binary, left binary")
 
@@ -301,13 +430,18 @@ def broadcast_buckets(model: DataFrame, bucket_grams: int) -> dict[str, list]:
     return out
 
 
-def fit(texts: DataFrame, bucket_grams: int = BUCKET_GRAMS, quantile: float = QUANTILE, prior: int = PRIOR_CHARS) -> dict:
-    """lang -> (broadcast buckets of the model, mean surprise per character, limit on smoothed perplexity).
+def fit(texts: DataFrame, bucket_grams: int = BUCKET_GRAMS, quantile: float = QUANTILE, prior: int = PRIOR_CHARS,
+        toxic_quantile: float = TOXIC_QUANTILE) -> dict:
+    """lang -> (broadcast buckets of the model, mean surprise per character, limits on smoothed perplexity and toxicity).
 
-    `texts` are the rows of `trusted_texts`. The limit is the quantile over a language's held-out texts;
+    `texts` are the rows of `trusted_texts`. The limits are quantiles over a language's held-out texts;
     a language without any, or without others, has no model.
     """
-    buckets = broadcast_buckets(estimate(count_grams(texts.where("not held").select("lang", "body"))), bucket_grams)
+    trusted, held = texts.where("not toxic and not held"), texts.where("not toxic and held")
+    words = toxic_words(texts.where("toxic or not held"))
+    of_grams = estimate(count_grams(trusted.select("lang", "body")))
+    model = of_grams.union(words.select("lang", F.lit(WORDS), "word", "gain", F.lit(0).cast("long"), F.lit(0.0)))
+    buckets = broadcast_buckets(model, bucket_grams)
 
     def run(batches):
         expand, model = zstandard.ZstdDecompressor().decompress, bucket_models()
@@ -319,38 +453,43 @@ def fit(texts: DataFrame, bucket_grams: int = BUCKET_GRAMS, quantile: float = QU
             found = [(lang, *x) for lang, own in bodies.items() for x in surprises(
                 (expand(b).decode("utf-8", "replace") for b in own), buckets[lang], model)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64()))],
-                names=["lang", "s", "n"])
+                [pa.array([f[i] for f in found], t) for i, t in enumerate(
+                    (pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.int64()))],
+                names=["lang", "s", "n", "gain", "words"])
 
-    scored = stored(texts.where("held").select("lang", "body").mapInArrow(run, "lang string, s double, n long"), "trusted")
+    scored = stored(held.select("lang", "body").mapInArrow(
+        run, "lang string, s double, n long, gain double, words long"), "trusted")
     means = scored.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean"))
     smooth = (F.col("s") + prior * F.col("mean")) / (F.col("n") + prior)
     limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(
-        F.first("mean").alias("mean"), F.percentile_approx(F.exp(smooth), quantile, 100000).alias("limit"))
-    return {r.lang: (buckets[r.lang], r["mean"], r["limit"]) for r in limits.collect()}
+        F.first("mean").alias("mean"), F.percentile_approx(F.exp(smooth), quantile, 100000).alias("limit"),
+        F.percentile_approx(F.col("gain") / (F.col("words") + PRIOR_WORDS), toxic_quantile, 100000).alias("toxic_limit"))
+    return {r.lang: (buckets[r.lang], r["mean"], r["limit"], r["toxic_limit"]) for r in limits.collect()}
 
 
 def judge(docs: DataFrame, fitted: dict, text: str = "text", lang: str = "lang", prior: int = PRIOR_CHARS) -> DataFrame:
-    """`docs` with perplexity (smoothed), perplexity_limit and quality_kept.
+    """`docs` with perplexity and toxicity (both smoothed), their limits and quality_kept: neither is above.
 
-    A null language is a language of its own. A document is kept without perplexity if its text is
+    A null language is a language of its own. A document is kept without scores if its text is
     null or empty or its language has no trusted text. A result column replaces one of its name.
     """
     def open_task():
         model = bucket_models()
 
         def of(batch):
-            rows: list[tuple] = [(None, None, True)] * len(batch["text"])
+            rows: list[tuple] = [(None, None, None, None, True)] * len(batch["text"])
             at: dict[str, list[int]] = {}
             for i, (content, name) in enumerate(zip(batch["text"], batch["lang"], strict=True)):
                 if content and (name or "") in fitted:
                     at.setdefault(name or "", []).append(i)
             for name, own in at.items():
-                buckets, mean, limit = fitted[name]
-                for i, (total, n) in zip(own, surprises(
+                buckets, mean, limit, toxic_limit = fitted[name]
+                for i, (total, n, gain, words) in zip(own, surprises(
                         (batch["text"][i].decode("utf-8", "replace") for i in own), buckets, model), strict=True):
                     perplexity = math.exp((total + prior * mean) / (n + prior))
-                    rows[i] = perplexity, limit, perplexity <= limit
+                    toxicity = gain / (words + PRIOR_WORDS)
+                    rows[i] = (perplexity, limit, toxicity, toxic_limit,
+                               perplexity <= limit and toxicity <= toxic_limit)
             return rows
 
         return of
@@ -371,7 +510,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """Ids that a label says to be toxic."""
+    return labels.where("toxic = 1").select("doc_id").distinct()
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    fitted = fit(trusted_texts(docs, trusted_ids(table(spark, sf_dir, "labels"))))
+    labels = table(spark, sf_dir, "labels")
+    fitted = fit(trusted_texts(docs, trusted_ids(labels), toxic=toxic_ids(labels)))
     return judge(docs, fitted).drop("text")

@@ -1,6 +1,7 @@
 """Decontamination, language, quality, secrets and URL rules on small made-up tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -132,6 +133,116 @@ def test_kneser_ney_keeps_every_gram_in_every_number_of_buckets(spark, frame):
     assert one == pytest.approx(many) and None not in one.values()
 
 
+def brute_discount(counts):
+    """Discounted count of each key, by the counts of counts."""
+    n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if all(n[:3]) else None
+    d = [max(0.1, k - (k + 1) * y * n[k] / n[k - 1]) if y else 0.5 for k in (1, 2, 3)]
+    return {key: max(0.0, c - d[min(c, 3) - 1]) for key, c in counts.items()}
+
+
+def test_every_probability_is_that_of_kneser_ney(spark, frame):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aabbbc d") for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    held = {}
+    for t in texts:
+        for g in quality.grams(quality.symbols(t)).tolist():
+            held[g] = held.get(g, 0) + 1
+    got = {(r.size, r.gram): r.prob for r in quality.estimate(
+        frame([("x", g, n) for g, n in held.items()], "lang string, gram long, n long")).collect()}
+    unpack = lambda g, size: tuple(g >> 12 * (size - 1 - i) & 4095 for i in range(size))
+    levels = {5: {unpack(g, 5): n for g, n in held.items()}}
+    for size in (4, 3, 2, 1):
+        levels[size] = {}
+        for g in levels[size + 1]:
+            levels[size][g[1:]] = levels[size].get(g[1:], 0) + 1
+    lower = {}
+    for size in range(1, 6):
+        own = brute_discount(levels[size])
+        now = {}
+        for g in levels[size]:
+            follow = [k for k in levels[size] if k[:-1] == g[:-1]]
+            total = sum(levels[size][k] for k in follow)
+            left = 1 - sum(own[k] for k in follow) / total
+            now[g] = own[g] / total + left * (lower[g[1:]] if size > 1 else 1 / (len(levels[1]) + 1))
+        packed = {(size, sum(x << 12 * (size - 1 - i) for i, x in enumerate(g))): p for g, p in now.items()}
+        assert {k: v for k, v in got.items() if k[0] == size} == pytest.approx(packed)
+        lower = now
+
+
+def brute_gains(texts, least):
+    """(lang, word) -> gain, from (lang, text, toxic) with words of letters."""
+    out = {}
+    for lang in {t[0] for t in texts}:
+        own, other = {}, {}
+        for toxic in (True, False):
+            split = [t[1].lower().split() for t in texts if t[0] == lang and t[2] == toxic]
+            counts = {w: sum(w in x for x in split) for x in split for w in x}
+            if toxic:
+                before = {(b, w) for x in split for b, w in zip(["", *x], x)}  # noqa: B905
+                counts = {w: min(n, sum(w == p[1] for p in before)) for w, n in counts.items()}
+            if not counts:
+                break
+            found = brute_discount(counts)
+            total = sum(counts.values())
+            own[toxic] = {w: x / total for w, x in found.items()}
+            other[toxic] = (1 - sum(own[toxic].values())) / (len(counts) + 1)
+        if len(own) == 2:
+            for w, p in own[True].items():
+                ratio = math.log((p + other[True]) / other[True] / ((own[False].get(w, 0) + other[False]) / other[False]))
+                if ratio > least:
+                    out[lang, quality.letter_words([w])[0].item()] = ratio - least
+    return out
+
+
+def labelled(rng, lang, n, toxic, words=("the", "house", "garden", "und", "haus", "été", "wind", "sea", "stone")):
+    insults = {"aa": ["Idiot", "scum"], "bb": ["Blödian", "réeux"], "cc": ["zz"]}[lang]
+    text = [rng.choice(words) + rng.choice(["", "n", "rs", "ly"]) for _ in range(n)]
+    for _ in range(max(1, n // 30) if toxic else 0):
+        text.insert(rng.randint(0, len(text)), rng.choice(insults))
+    return " ".join(text)
+
+
+def test_toxic_words_equal_brute_force(spark, frame):
+    rng = random.Random(11)
+    texts = [(lang, labelled(rng, lang, rng.randint(1, 40), toxic), toxic) for lang in ("aa", "bb")
+             for toxic in (False, True) for _ in range(25)] + [("cc", labelled(rng, "cc", 5, True), True)]
+    texts += [("aa", "one passage that copies share", True)] * 20
+    docs = frame([(i, t, lang) for i, (lang, t, _) in enumerate(texts)], "doc_id long, text string, lang string")
+    ids = lambda toxic: frame([(i,) for i, t in enumerate(texts) if t[2] == toxic], "doc_id long")
+    rows = quality.trusted_texts(docs, ids(False), toxic=ids(True))
+    for least in (0.0, 1.0):
+        got = {(r.lang, r.word): r.gain for r in quality.toxic_words(rows, least).collect()}
+        assert got == pytest.approx(brute_gains(texts, least))
+    idiot, passage = (quality.letter_words([w])[0].item() for w in ("IDIOT", "passage"))
+    assert ("aa", idiot) in got and ("aa", passage) not in got
+
+
+def test_quality_rejects_fluent_toxic_text_in_each_language(spark, frame):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for lang in ("aa", "bb"):
+        for i in range(160):
+            toxic = i % 4 == 0
+            docs.append((len(docs), labelled(rng, lang, 60, toxic), lang, toxic))
+            if i < 120:
+                labels.append((len(docs) - 1, 1, int(toxic)))
+    docs += [(900, None, "aa", None), (901, "", "bb", None), (902, "12 !!", "aa", None)]
+    table, labels = frame(docs, "doc_id long, text string, lang string, toxicity boolean"), frame(
+        labels, "doc_id long, quality int, toxic int")
+    fitted = quality.fit(quality.trusted_texts(table, quality.trusted_ids(labels), toxic=quality.toxic_ids(labels)))
+    got = {r.doc_id: r for r in quality.judge(table, fitted).collect()}
+    few = quality.fit(quality.trusted_texts(table, quality.trusted_ids(labels), toxic=quality.toxic_ids(labels)), bucket_grams=50)
+    assert len(few["aa"][0]) > 3
+    for r in quality.judge(table, few).collect():
+        assert r.toxicity == (got[r.doc_id].toxicity if r.toxicity is None else pytest.approx(got[r.doc_id].toxicity))
+    for lang in ("aa", "bb"):
+        new = [(d[3], got[d[0]]) for d in docs if d[2] == lang and d[0] < 320 and d[0] % 160 >= 120]
+        assert not any(r.quality_kept for toxic, r in new if toxic)
+        assert sum(r.quality_kept for toxic, r in new if not toxic) >= 0.85 * sum(not toxic for toxic, _ in new)
+    assert got[900].quality_kept and got[901].toxicity is None and got[902].toxicity == 0.0
+
+
 def test_secrets_are_found_and_masked(spark, frame):
     rng = random.Random(5)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
