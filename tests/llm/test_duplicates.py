@@ -189,6 +189,15 @@ def test_embedding_links_equal_brute_force(spark, frame, tile):
         i, n[i], root.get(i), i is not None and root[i] == i)) for i, _, _ in rows)
 
 
+def test_embedding_ids_of_several_vectors(spark, frame):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a), (5, b), (7, [1.0, 0.1, 0.0]), (8, [1.0, 0.0, 0.1]), (3, [0.0, 1.0, 0.1]), (9, [0.0, 0.0, 1.0]), (9, a)]
+    got = embedding_dedup.links(frame(rows, "vec_id long, embedding array<double>")).collect()
+    # The vectors of 5 have three and one others near; their id joins both groups.
+    assert sorted(map(tuple, got)) == [(3, 1, 3, True), (5, 1, 3, False), (5, 3, 3, False), (7, 3, 3, False),
+                                       (8, 3, 3, False), (9, 0, 3, False), (9, 3, 3, False)]
+
+
 def test_embedding_links_of_empty_tables(spark, frame):
     schema = "vec_id long, embedding array<float>"
     assert embedding_dedup.links(frame([], schema)).count() == 0
