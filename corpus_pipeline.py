@@ -11,8 +11,9 @@ from querykiln.llm.registry import QUERIES as OPERATORS
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labelled ones among them, does not reject."""
-    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, quality.fit(quality.trusted_texts(docs, trusted)))
+    labels = table(spark, sf_dir, "labels")
+    texts = quality.trusted_texts(docs, quality.trusted_ids(labels), toxic=quality.toxic_ids(labels))
+    return quality.keep_good(docs, quality.fit(texts))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
