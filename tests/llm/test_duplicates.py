@@ -168,15 +168,15 @@ def test_repeated_spans_equal_brute_force(spark, frame):
     assert substring_dedup.spans(frame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
-def test_embedding_links_equal_brute_force(spark, frame, tile):
+@pytest.mark.parametrize(("tile", "leaf"), [(4096, 1024), (16, 5), (4, 30)])
+def test_embedding_links_equal_brute_force(spark, frame, tile, leaf):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 8))
     vectors = [(b + rng.normal(scale=s, size=8)).tolist() for b in base for s in (0.05, 0.1, 0.3)]
     vectors += [vectors[0]] * 40 + [[2 * x for x in vectors[0]], [0.0] * 8, None, [], [1.0, None] + [0.0] * 6, [float("nan")] * 8,
                                     [float("inf")] + [0.0] * 7, [1e300] * 8, [1e-300] * 8, [1.0, 2.0], [2.0, 4.1]]
     rows = [(i * 3 % 1000, v, 1) for i, v in enumerate(vectors)] + [(None, vectors[0], 1)]
-    got = embedding_dedup.links(frame(rows, "vec_id long, embedding array<double>, n_links int"), tile=tile)
+    got = embedding_dedup.links(frame(rows, "vec_id long, embedding array<double>, n_links int"), tile=tile, leaf=leaf)
 
     def usable(i, v):
         return i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -189,6 +189,37 @@ def test_embedding_links_equal_brute_force(spark, frame, tile):
         i, n[i], root.get(i), i is not None and root[i] == i)) for i, _, _ in rows)
 
 
+def test_cover_tree_covers_and_prunes(spark, frame):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(12, 6))
+    data = [m / np.linalg.norm(m) + rng.normal(scale=s, size=6) for m in middles for s in [0.02] * 30 + [0.2] * 5]
+    data += [middles[0] * k for k in range(1, 60)] + [-middles[0]]  # one direction, and its opposite
+    table = frame([(i, 1, v.tolist()) for i, v in enumerate(data)], "rep long, copies long, v array<double>")
+    reach = 0.4472 + embedding_dedup.SLACK
+    nodes, rows = embedding_dedup.cover_tree(table, reach, sample=16, leaf=8)
+    nodes_by, rows = {r.node: r for r in nodes.collect()}, rows.collect()
+    assert sorted(r.rep for r in rows) == list(range(len(data)))
+    vector = {r.rep: np.frombuffer(r.v) for r in rows}
+    centre = {n: np.frombuffer(r.centre) for n, r in nodes_by.items()}
+    for r in rows:
+        assert nodes_by[r.node].is_leaf and np.linalg.norm(vector[r.rep] - centre[r.node]) <= nodes_by[r.node].radius + 1e-9
+    for n, r in nodes_by.items():
+        if r.parent != n:  # levels are nested, halve, and their centres lie apart
+            assert r.scale <= nodes_by[r.parent].scale / 2 and np.array_equal(centre[f"{r.parent}/0"], centre[r.parent])
+            assert all(np.linalg.norm(centre[n] - centre[m]) > r.scale for m, q in nodes_by.items()
+                       if q.parent == r.parent and m != n and q.parent != m)
+    assert max(n.count("/") for n in nodes_by) >= 2
+    leaves = [n for n, r in nodes_by.items() if r.is_leaf]
+    near = [tuple(r) for r in embedding_dedup.near_leaves(nodes, reach).collect()]
+    assert len(near) == len(set(near)) and all(a <= b for a, b in near)
+    assert len(near) < len(leaves) * (len(leaves) + 1) / 4  # most pairs are pruned
+    of = {r.rep: r.node for r in rows}
+    for a in of:
+        for b in of:
+            if of[a] <= of[b] and vector[a] @ vector[b] >= 0.9:
+                assert (of[a], of[b]) in near
+
+
 def test_embedding_ids_of_several_vectors(spark, frame):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(5, a), (5, b), (7, [1.0, 0.1, 0.0]), (8, [1.0, 0.0, 0.1]), (3, [0.0, 1.0, 0.1]), (9, [0.0, 0.0, 1.0]), (9, a)]
