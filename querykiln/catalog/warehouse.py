@@ -219,6 +219,17 @@ QUERIES = {
                count(*) AS lines, CAST(sum(coalesce(r.pieces, 0)) AS BIGINT) AS quantity_returned
         FROM fx_items LEFT JOIN fx_item_returns r USING (item) GROUP BY 1""",
         "fx_items", "fx_item_returns")),
+    "refunds_by_return_month": (_wh(M.refunds_by_return_month), with_views("""
+        SELECT strftime(CAST(item.e AS DATE) + 14, '%Y-%m') AS month, count(*) AS returns,
+               CAST(sum(pieces) AS BIGINT) AS quantity_returned, CAST(sum(refund_cents) AS DOUBLE) / 100 AS refunds
+        FROM fx_returns JOIN fx_orders USING (order_id) WHERE NOT is_cancelled
+        GROUP BY 1""", "fx_returns", "fx_orders")),
+    "refunds_returned_first_half": (_wh(M.refunds_by_return_month, *V.FIRST_HALF), with_views(f"""
+        SELECT strftime(CAST(item.e AS DATE) + 14, '%Y-%m') AS month, count(*) AS returns,
+               CAST(sum(pieces) AS BIGINT) AS quantity_returned, CAST(sum(refund_cents) AS DOUBLE) / 100 AS refunds
+        FROM fx_returns JOIN fx_orders USING (order_id) WHERE NOT is_cancelled
+          AND CAST(item.e AS DATE) + 14 BETWEEN DATE '{V.FIRST_HALF[0]}' AND DATE '{V.FIRST_HALF[1]}'
+        GROUP BY 1""", "fx_returns", "fx_orders")),
     "refunds_by_segment": (_wh(M.refunds_by_segment), with_views("""
         SELECT segment, count(*) AS returned_lines, CAST(sum(refund_cents) AS DOUBLE) / 100 AS refunds
         FROM fx_item_returns JOIN fx_items USING (item) JOIN fx_orders USING (order_id)

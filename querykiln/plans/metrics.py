@@ -350,6 +350,21 @@ def return_extent(wh: Warehouse) -> DataFrame:
         F.count(F.lit(1)).alias("lines"), F.sum(back).alias("quantity_returned"))
 
 
+def refunds_by_return_month(wh: Warehouse, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Returns of sold orders by the month of the return itself, in a closed range of return dates if one is given."""
+    back = wh.returns
+    if first is not None or last is not None:
+        back = in_period(back, first or "0001-01-01", last or "9999-12-31", "return_date")
+    per_item = back.groupBy("order_item_id", F.trunc("return_date", "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
+        F.sum("refund_amount").alias("refund"))
+    per_order = per_item.join(wh.order_items.select("order_item_id", "order_id"), "order_item_id").groupBy(
+        "order_id", "month").agg(*[F.sum(c).alias(c) for c in ("returns", "quantity_returned", "refund")])
+    return per_order.join(sold_orders(wh).select("order_id"), "order_id", "left_semi").groupBy("month").agg(
+        F.sum("returns").alias("returns"), F.sum("quantity_returned").alias("quantity_returned"),
+        as_money(F.sum("refund")).alias("refunds")).withColumn("month", month_key(F.col("month")))
+
+
 def refunds_by_segment(wh: Warehouse) -> DataFrame:
     """The longest chain: returns to lines to orders to customers, aggregated before each step."""
     per_order = (

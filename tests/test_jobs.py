@@ -6,6 +6,7 @@ import pytest
 
 from querykiln import jobs
 from querykiln.operators import curation
+from querykiln.schemas import WAREHOUSE
 from querykiln.session import shared_folder
 from querykiln.sources import jsonl, records, runs, warehouse
 from querykiln.streaming.scoring import keep_verdicts, latest_accuracy, running_accuracy, scored_stream
@@ -211,13 +212,57 @@ def test_seed_load_replaces(spark, files):
     out = str(files["dir"] / "wh")
     for _ in range(2):
         jobs.main(["load-seed", str(folder), out, "--tables", "categories"], spark)
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/categories").orderBy("category_id").collect()] == [
-        (1, "Top", None), (2, "Leaf", 1)]
+    number, versions = warehouse.current_versions(spark, out)
+    assert number == 2 and [tuple(r) for r in warehouse.open_table(
+        spark, out, "categories", versions).orderBy("category_id").collect()] == [(1, "Top", None), (2, "Leaf", 1)]
     (folder / "categories.csv").write_text("category_id,category_name,parent_category_id\nx,Top,\n")
     with pytest.raises(Exception):
         warehouse.read_seed_csv(spark, "categories", str(folder / "categories.csv")).collect()
 
 
+def test_seed_load_replaces_all_tables_or_none(spark, files):
+    folder, out = files["dir"] / "seeds", str(files["dir"] / "whole")
+    folder.mkdir()
+
+    def seed(name):
+        for table in WAREHOUSE:
+            fields = [(f.name, f.dataType.simpleString())
+                      for f in warehouse.read_seed_csv(spark, table, str(folder)).schema]
+            cell = {"bigint": "1", "string": name, "date": "2024-01-01", "boolean": "true", "timestamp": "2024-01-01 00:00:00"}
+            (folder / f"{table}.csv").write_text("\n".join([
+                ",".join(n for n, _ in fields), ",".join(cell.get(kind, "1") for _, kind in fields)]) + "\n")
+
+    seed("old")
+    warehouse.load_seed(spark, str(folder), out)
+    first = warehouse.open_warehouse(spark, out)
+    assert first.channels.first()["channel_name"] == "old"
+    seed("new")
+    broken = list(WAREHOUSE)[4]
+    whole = (folder / f"{broken}.csv").read_text()
+    (folder / f"{broken}.csv").write_text(whole + "x" * 9 + "\n")
+    with pytest.raises(Exception):
+        warehouse.load_seed(spark, str(folder), out)
+    # The first tables of the failed load are written, and nobody reads them.
+    assert warehouse.current_versions(spark, out)[0] == 1
+    for table in WAREHOUSE:
+        assert "new" not in map(str, getattr(warehouse.open_warehouse(spark, out), table).first())
+    (folder / f"{broken}.csv").write_text(whole)
+    warehouse.load_seed(spark, str(folder), out)
+    assert warehouse.open_warehouse(spark, out).channels.first()["channel_name"] == "new"
+    # An earlier commit stays readable, and a load of one table keeps the others.
+    assert warehouse.open_warehouse(spark, out, 1).channels.first()["channel_name"] == "old"
+    seed("third")
+    warehouse.load_seed(spark, str(folder), out, ["products"])
+    wh = warehouse.open_warehouse(spark, out)
+    assert wh.products.first()["product_name"] == "third" and wh.channels.first()["channel_name"] == "new"
+    with pytest.raises(ValueError, match="no commit 9"):
+        warehouse.open_warehouse(spark, out, 9)
+    spark.createDataFrame([(3, "products", "x")], "number bigint, table_name string, version string").write.mode(
+        "append").parquet(f"{out}/commits")
+    with pytest.raises(ValueError, match="made twice"):
+        warehouse.open_warehouse(spark, out)
+
+
 def test_appended_records_stand_once(spark, files, rows):
     out, both = str(files["dir"] / "records"), ["P0", "P1"]
     part = lambda *v: spark.createDataFrame(list(v), "condition string, example_id string")
