@@ -1,7 +1,7 @@
 """Language identification by compression: the dictionary that shortens a text most names it.
 
-Each language has a raw-content Zstandard dictionary, filled from a bounded sample of labelled
-texts. A text is compressed whole, in lower case, in pieces of a few kilobytes, with every
+Each language has a raw-content Zstandard dictionary, filled with one piece of each text of a bounded
+sample of labelled texts. A text is compressed whole, in lower case, in pieces of a few kilobytes, with every
 dictionary; pieces keep the dictionary's share in a long text as large as in a short one.
 """
 
@@ -14,10 +14,9 @@ from pyspark.sql.window import Window
 
 from querykiln.llm.common import arrow_columns, table, thinned
 
-# The bounded sample: so many labelled texts per language, each giving at most so many
-# characters to the sample, and so many bytes of it in a dictionary.
+# The bounded sample: at most so many labelled texts per language, which share the characters of a
+# dictionary evenly; each gives a run from a place its hash picks, so openings weigh no more than the rest.
 SAMPLE_TEXTS = 200
-SAMPLE_CHARS = 2000
 DICTIONARY_BYTES = 32 << 10
 PIECE_BYTES = 4096
 # Lazy matching from four bytes on, in tables just large enough for a dictionary and a piece.
@@ -31,7 +30,8 @@ UNKNOWN = "und"
 def train(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary per language, from the texts with the lowest hash of `key` (spread evenly).
 
-    Rows without text or language teach nothing. Languages are few; each gives a bounded sample.
+    Rows without text or language teach nothing. Languages are few; each gives a bounded sample. What
+    is longer than a dictionary is cut from its end; what short texts leave free stays free.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"),
                            F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
@@ -43,9 +43,13 @@ def train(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang")
     rows = thinned(rows, F.col("h"), F.element_at(
         F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h")
-    sample = (rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS)
-              .orderBy("lang", "n").collect())
+    # A text that may be picked brings one run of the most it could give to the ranking, not all of it.
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - DICTIONARY_BYTES, F.lit(0)) + 1).cast("int") + 1
+    picked = (rows.select("lang", "h", F.substring("text", start, F.lit(DICTIONARY_BYTES)).alias("text"))
+              .withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_TEXTS))
+    picked = picked.withColumn("chars", F.floor(DICTIONARY_BYTES / F.count("*").over(Window.partitionBy("lang"))).cast("int"))
+    start = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("text") - F.col("chars"), F.lit(0)) + 1).cast("int") + 1
+    sample = picked.select("lang", "n", F.substring("text", start, F.col("chars")).alias("text")).orderBy("lang", "n").collect()
     out: dict[str, bytes] = {}
     for row in sample:
         out[row.lang] = (out.get(row.lang, b"") + row.text.lower().encode() + b"\n")[:DICTIONARY_BYTES]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -77,6 +78,26 @@ def test_language_separates_and_rejects(spark, frame):
     assert {r.lang_best for r in language.identify(frame(docs, schema), {}).collect()} == {"und"}
 
 
+def test_language_dictionary_has_a_piece_of_every_sampled_text(spark, frame):
+    texts = [(i, " ".join(f"w{i}" for _ in range(4000)), "aa") for i in range(150)]
+    # A text's opening is no likelier to be learnt than its end.
+    texts += [(i, "a" * 20000 + "z" * 20000, "bb") for i in range(1000, 1100)]
+    model = language.train(frame(texts, "doc_id long, text string, lang string"), "doc_id")
+    assert {w[1:] for w in model["aa"].decode().split() if w.startswith("w")} >= {str(i) for i in range(150)}
+    assert 0.3 < model["bb"].count(b"z") / model["bb"].count(b"a") < 3
+    assert all(len(d) <= language.DICTIONARY_BYTES for d in model.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not there")
+def test_language_accuracy_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    labelled = spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = language.op2_language(spark, folder).where("held_out and lang_pred != 'und'").join(labelled, "doc_id").groupBy(
+        "lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("right")).collect()
+    assert len(got) == 4 and all(r.right >= 0.9 * r.n for r in got)
+    assert sum(r.right for r in got) >= 0.97 * sum(r.n for r in got)
+
+
 def test_quality_rejects_junk_and_keeps_the_rest(spark, frame):
     rng = random.Random(3)
     syllables = ["an", "er", "the", "in", "ou", "st"]
