@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from querykiln.llm.common import partitions
 from querykiln.session import shared_folder
 
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 256 << 10  # hashed at once; takes some 40 times its size for a moment
+PORTION_BYTES = 1 << 20    # of texts, as they are stored, that a task holds at once
 _PRIME = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
@@ -131,7 +133,7 @@ def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str, keep: bo
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=6).compress
-        for batch in batches:
+        for batch in portions(batches, 1):
             texts = batch.column(1).to_pylist()
             keys = [xxhash.xxh3_128_digest(t) if t is not None else bytes(16) for t in texts]
             ids = batch.column(0).to_pylist()
@@ -156,6 +158,18 @@ def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str, keep: bo
     return spark.table(name)
 
 
+def portions(batches, column: int):
+    """The batches cut into runs of rows with about `PORTION_BYTES` in a (binary) column, at least one row each."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + PORTION_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def plain(bodies: pa.Array) -> list[bytes]:
     """Texts of compressed bodies; a null body is an empty text."""
     expand = zstandard.ZstdDecompressor().decompress
