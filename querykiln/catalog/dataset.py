@@ -147,14 +147,14 @@ def dataset_change_sets(spark, sf_dir: str) -> DataFrame:
 
 
 def dataset_manifest_row(spark, sf_dir: str) -> DataFrame:
-    """The manifest of a version with its change lists, maps and lists as text."""
+    """The manifest of a version, its maps as text, with the digests of its change lists."""
     base, new = _versions(spark, sf_dir)
     changes = kept(curation.version_changes(base, new, [c for c in base.columns if c != "example_id"]), "changes")
-    row = curation.dataset_manifest(new, "v4.1", F.col("example_id"), ids=curation.change_lists(changes))
+    row = curation.dataset_manifest(new, "v4.1", F.col("example_id"))
     joined = lambda a: F.array_join(F.transform(F.map_entries(a), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(a)
-    return row.select("version", "selected_candidates", *[joined(a.removeprefix("axis_")) for a in AXES], *[
-        F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("fixed_ids", "added_ids", "removed_repetition_ids")])
+    return row.select("version", "selected_candidates", *[joined(a.removeprefix("axis_")) for a in AXES]).crossJoin(
+        curation.change_digests(changes))
 
 
 def ablation_subsets(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from querykiln.schemas import (
 )
 
 MANIFEST_IDS = 10_000  # ids that a manifest row lists; longer lists are a table of their own
+CHANGES = {"fixed": "fixed_ids", "added": "added_ids", "removed": "removed_repetition_ids"}
 
 
 def duplicate_values(rows: DataFrame, order_col: str = "line_number") -> DataFrame:
@@ -102,12 +106,37 @@ def change_lists(changes: DataFrame, most: int = MANIFEST_IDS, id_col: str = "ex
     """The ids of each change in order, as a manifest row lists them; None for more than `most` ids."""
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     out: dict[str, list[str] | None] = {}
-    for change, name in (("fixed", "fixed_ids"), ("added", "added_ids"), ("removed", "removed_repetition_ids")):
+    for change, name in CHANGES.items():
         few = counts.get(change, 0) <= most
         out[name] = sorted(str(r[0]) for r in changes.where(F.col("change") == change).select(id_col).collect()) if few else None
     return out
 
 
+def change_digests(changes: DataFrame, id_col: str = "example_id") -> DataFrame:
+    """One row: SHA-256 of the ids of each change in order, joined by commas; of nothing if it has none.
+
+    All ids count, however many. A digest of a text reads it in one go, so the ids of a change pass one
+    task, sorted there with spilling and never held as a list. A null id is left out.
+    """
+    def digests(batches):
+        found: dict = {}
+        for batch in batches:
+            ordered = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for change, pairs in itertools.groupby(ordered, lambda pair: pair[0]):
+                text = ",".join(i for _, i in pairs).encode()
+                if change in found:
+                    found[change].update(b"," + text)
+                else:
+                    found[change] = hashlib.sha256(text)
+        yield pa.RecordBatch.from_pydict({
+            "change": pa.array(list(found), pa.string()), "digest": pa.array([h.hexdigest() for h in found.values()], pa.string())})
+
+    ids = changes.where(F.col(id_col).isNotNull()).select("change", F.col(id_col).cast("string").alias("id"))
+    each = ids.repartition("change").sortWithinPartitions("change", "id").mapInArrow(digests, "change string, digest string")
+    return each.agg(*[F.coalesce(F.max(F.when(F.col("change") == c, F.col("digest"))), F.sha2(F.lit(""), 256)).alias(name)
+                      for c, name in CHANGES.items()])
+
+
 def budget_check(rows: DataFrame, budget: tuple[int, int] = CANDIDATE_BUDGET) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("candidates")).withColumn(
         "within_budget", F.col("candidates").between(*budget))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -87,6 +88,15 @@ def test_change_sets(spark, rows):
     assert curation.change_lists(found, most=1)["fixed_ids"] is None
 
 
+def test_change_digests_count_every_id(spark):
+    n = curation.MANIFEST_IDS + 5
+    changes = spark.range(n).select(F.col("id").cast("string").alias("example_id"), F.lit("fixed").alias("change")).union(
+        spark.createDataFrame([("ö", "added"), ("z", "added"), (None, "added")], "example_id string, change string"))
+    sha = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    assert tuple(curation.change_digests(changes).first()) == (sha(sorted(map(str, range(n)))), sha(["z", "ö"]), sha([]))
+    assert tuple(curation.change_digests(changes.limit(0)).first()) == (sha([]),) * 3
+
+
 @pytest.mark.parametrize("kind", ["bigint", "double", "decimal(20,3)"])
 def test_values_at_ranks(spark, kind):
     rng = random.Random(5)
