@@ -1,6 +1,8 @@
 """Near-duplicate texts: weighted MinHash over TF-IDF shingles, banded, verified exactly.
 
-Shingles are runs of five words; their weight is term frequency times inverse document frequency.
+Shingles are runs of five words; their weight is term frequency times inverse document frequency. The
+document frequency of every shingle is counted, exactly: hashes are dealt out by their leading bits,
+counted there, and each text gets the counts of its shingles back.
 Improved consistent weighted sampling (Ioffe) draws samples that two texts share with a chance equal to
 their weighted Jaccard similarity; texts with an equal band of samples are candidates. Candidates are
 verified by the exact weighted Jaccard similarity, and linked texts form classes.
@@ -16,28 +18,34 @@ such a rare shingle (few pairs), or all their rare shingles count as differences
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import stored, table
+from querykiln.llm.common import partitions, stored, table
 from querykiln.llm.components import components
 from querykiln.llm.decontamination import _FOLD
 from querykiln.llm.words import gram_hashes, mixed, plain, portions, texts_by_key, word_hashes
+from querykiln.session import shared_folder
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4  # a pair at similarity 0.8 shares a band with a chance of 0.9994
-# Shingles in less than this share of the texts count as being in so many: the weight is
-# ln(1 + 1 / max(df / N, COMMON)), and no more than (shingles per text) / COMMON need a table. A third,
-# so that a group of near copies of that size does not make its own shingles light.
+# With a least share, shingles in less than this share of the texts count as being in so many: the
+# weight is ln(1 + 1 / max(df / N, share)). A third, so that a group of near copies of that size does not
+# make its own shingles light. The queries take none: TF-IDF as it is, ln(1 + N / df).
 COMMON = 1 / 3
+NO_LEAST = 0.0
 PIVOT_ROUNDS = 3
 SMALL = 4  # texts of a bucket that meet without further ado
 FEW = 16   # texts that a rare shingle is in
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 20  # of texts that a task counts and deals out together
+BUCKET_BYTES = 1 << 20    # compressed text, some 300,000 shingles, for each bucket of hashes
+REPEATS = 64              # a shingle in more texts of a block is dealt out once, with their number
 NO_ID = (1 << 63) - 1
 
 _draws = np.random.default_rng(20)
@@ -72,16 +80,23 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """TF-IDF weights: a table of the common shingles, one value for all others."""
+    """TF-IDF weights of shingles, by their document frequency or by a table of common ones."""
 
     def __init__(self, common: dict[int, int], texts: int, share: float):
         self.hashes = np.array(sorted(common), dtype=np.uint64)
-        df = np.array([common[h] for h in sorted(common)], dtype=np.float64)
-        self.values = np.log1p(texts / np.maximum(df, 1)) if len(df) else df
-        self.other = math.log1p(1 / share)
+        self.values = self.idf(np.array([common[h] for h in sorted(common)], dtype=np.float64), texts, 0.0)
+        self.texts, self.share = texts, share
+
+    @staticmethod
+    def idf(df: np.ndarray, texts: int, share: float) -> np.ndarray:
+        return np.log1p(texts / np.maximum(np.maximum(df, 1.0), share * texts))
+
+    def counted(self, df: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return times * self.idf(df, self.texts, self.share)
 
     def of(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
-        idf = np.full(len(h), self.other)
+        """By the table; all others are in the least share."""
+        idf = np.full(len(h), math.log1p(1 / self.share))
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             idf = np.where(self.hashes[at] == h, self.values[at], idf)
@@ -125,19 +140,25 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class_id is the least doc_id (an integer) of the texts reachable over links; kept marks one row of
     each class, the one with that id. A null text is no duplicate of anything and kept; equal texts,
     also empty ones, are one class; a text without words is a duplicate of equal texts only; a null
-    id counts as the largest id and its class_id may be null; of equal rows one is kept.
+    id counts as the largest id and its class_id may be null; of equal rows one is kept. `common` is the
+    least share of texts that a shingle counts as being in, or `NO_LEAST`.
     """
     texts = texts_by_key(docs, doc_id, text, "minhash", keep=True)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     first = stored(texts.where("body is not null").groupBy("text_key").agg(
         F.min(order).alias("first_id"), F.min_by("doc_key", F.struct(order, F.col("doc_key"))).alias("first_key"),
+        F.max(F.length("body")).alias("bytes"),
     ), "minhash")
-    distinct = texts.select("doc_key", "body").join(first.select(F.col("first_key").alias("doc_key")), "doc_key")
-    if any(r["copies"] > 1 for r in texts.groupBy("doc_key").agg(F.count("*").alias("copies")).where(
-            "copies > 1").limit(1).collect()):
-        distinct = distinct.dropDuplicates(["doc_key"])
-    weights = docs.sparkSession.sparkContext.broadcast(_weights(distinct, first.count(), common))
-    links = _links(distinct, weights, threshold)
+    repeated = any(r["copies"] > 1 for r in texts.groupBy("doc_key").agg(F.count("*").alias("copies")).where(
+        "copies > 1").limit(1).collect())
+
+    def one_each(keys: DataFrame) -> DataFrame:
+        found = texts.select("doc_key", "body").join(keys, "doc_key")
+        return found.dropDuplicates(["doc_key"]) if repeated else found
+
+    n, size = first.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    distinct = one_each(_frequencies(one_each(first.select(F.col("first_key").alias("doc_key"))), size))
+    links = _links(distinct, Weights({}, n, common), threshold)
     groups = components(links).withColumnRenamed("node", "first_key")
     named = stored(first.join(groups, "first_key", "left").withColumn(
         "component", F.coalesce("component", "first_key")), "minhash")
@@ -154,68 +175,139 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (~known | ((F.col("doc_key") == F.col("best_key")) & (F.col("copy") == 1))).alias("kept"), "row", "body")
 
 
-def _weights(distinct: DataFrame, n_texts: int, share: float) -> Weights:
-    """Exact document frequencies of the shingles in at least `share` of the texts.
+def _frequencies(distinct: DataFrame, size: int, block: int = BLOCK_SHINGLES, repeats: int = REPEATS) -> DataFrame:
+    """doc_key, df: in how many texts each shingle of the text is, in the order of the shingles' hashes.
 
-    Two passes. A shingle that common overall is as common in some block of texts, so blocks report
-    what is at least half as common in them; reports that sum up to enough, a bounded number, are
-    then counted exactly.
+    Tasks deal out the hashes of a block of texts by their leading bits, into buckets that grow in number
+    with the `size` of the texts (compressed bytes). What a bucket counts goes back to the blocks, hash for
+    hash in the order in which it came, and each block hands its texts their counts. So no list of all
+    shingles is ever in one place. A shingle that many texts of a block have is sent once, so that one of
+    most texts adds no more than a hash and a number for each block to its bucket.
     """
-    def reports(batches):
-        held, texts, size = [], 0, 0
-        for batch in portions(batches, 0):
-            h, owner, _ = shingles(plain(batch.column(0)))
-            held.append(h)
-            texts += batch.num_rows
-            size += len(h)
-            if size >= BLOCK_SHINGLES:
-                yield _report(held, share / 2 * texts)
-                held, texts, size = [], 0, 0
-        if size:
-            yield _report(held, share / 2 * texts)
-
-    found = distinct.select("body").mapInArrow(reports, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    likely = np.array([r.h for r in found.where(F.col("n") >= share / 2 * n_texts).collect()], dtype=np.int64)
-    if not len(likely):
-        return Weights({}, n_texts, share)
-    held = distinct.sparkSession.sparkContext.broadcast(np.sort(likely.view(np.uint64)))
-
-    def count(batches):
-        sums = np.zeros(len(held.value), dtype=np.int64)
-        for batch in portions(batches, 0):
-            h, _, _ = shingles(plain(batch.column(0)))
-            if len(h):
-                at = np.minimum(np.searchsorted(held.value, h), len(held.value) - 1)
-                sums += np.bincount(at[held.value[at] == h], minlength=len(sums))
-        yield pa.RecordBatch.from_pydict({"h": held.value.view(np.int64), "n": sums})
+    bits = 8 + max(0, math.ceil(math.log2(max(1, size) / BUCKET_BYTES / 256)))
+
+    def deal(batches):
+        held, shingled = [], 0
+        for batch in portions(batches, 1):
+            h, owner, _ = shingles(plain(batch.column(1)))
+            held.append((batch.column(0).to_numpy(), np.bincount(owner, minlength=batch.num_rows), h))
+            shingled += len(h)
+            if shingled >= block:
+                yield from _dealt(held, bits, repeats)
+                held, shingled = [], 0
+        if held:
+            yield from _dealt(held, bits, repeats)
 
-    exact = distinct.select("body").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = exact.where(F.col("n") >= share * n_texts).collect()
-    return Weights({r.h & (1 << 64) - 1: r.n for r in rows}, n_texts, share)
+    schema = "block long, bucket long, hashes binary, often binary, times binary"
+    spark = distinct.sparkSession
+    n, name = partitions(spark), f"querykiln_frequencies_{uuid.uuid4().hex}"
+    dealt = distinct.select("doc_key", "body").mapInArrow(deal, schema).repartition(
+        max(n, size // (2 * BUCKET_BYTES)), "bucket")
+    counted = dealt.groupBy("bucket").applyInArrow(lambda rows: _counted(rows, bits), schema)
+    found = counted.groupBy("block").applyInArrow(_returned, "doc_key long, df binary")
+    # Bucketed like the texts, so that both meet where they are.
+    (found.repartition(n, "doc_key").write.bucketBy(n, "doc_key").option("path", shared_folder(spark, "frequencies"))
+     .option("compression", "uncompressed").saveAsTable(name))
+    return spark.table(name)
 
 
-def _report(held: list[np.ndarray], least: float) -> pa.RecordBatch:
-    h, n = np.unique(np.concatenate(held), return_counts=True)
-    many = n >= least
-    return pa.RecordBatch.from_pydict({"h": h[many].view(np.int64), "n": n[many]})
+def _press(values: np.ndarray, kind: type) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
 
 
-def _links(distinct: DataFrame, weights, threshold: float) -> DataFrame:
+def _spread(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+def _dealt(held: list[tuple], bits: int, repeats: int):
+    """Rows of one block of texts: the hashes of each bucket, and (bucket below 0) what leads them back.
+
+    Of a hash in a bucket, the leading byte is known, so seven are sent. Buckets of a text's hashes rise.
+    """
+    keys, sizes, h = (np.concatenate(c) for c in zip(*held, strict=True))
+    ordered = np.sort(h)
+    often = np.unique(ordered[repeats:][ordered[repeats:] == ordered[:-repeats]])
+    at = np.searchsorted(often, h)
+    common = np.append(often, np.uint64(0))[at] == h
+    common &= at < len(often)
+    shift = np.uint64(64 - bits)
+    bucket = (h[~common] >> shift).astype(np.int64)
+    rare = h[~common][np.argsort(bucket, kind="stable")]
+    low = np.ascontiguousarray(rare).view(np.uint8).reshape(-1, 8)[:, :7]
+    times = np.bincount(at[common], minlength=len(often))
+    name, filled = keys[0], np.unique(np.concatenate([rare >> shift, often >> shift]))
+    edges = [np.searchsorted(x >> shift, np.append(filled, filled[-1:] + np.uint64(1))) for x in (rare, often)]
+    rows = [(b, low[r0:r1].tobytes(), often[o0:o1].tobytes(), times[o0:o1].tobytes()) for b, r0, r1, o0, o1 in zip(
+        filled.tolist(), edges[0][:-1], edges[0][1:], edges[1][:-1], edges[1][1:], strict=True)]
+    back = [_press(keys, np.int64), _press(sizes, np.uint32), _press(np.diff(bucket, prepend=0), np.int32),
+            _press(np.flatnonzero(common), np.uint32), _press(at[common], np.uint32)]
+    ends = np.cumsum([len(b) for b in back])
+    rows.append((-1 - int(name) % (1 << bits), b"".join(back), ends.astype(np.int64).tobytes(), None))
+    for i in range(0, len(rows), 1024):
+        b, hashes, hot, n = zip(*rows[i:i + 1024], strict=True)
+        yield pa.RecordBatch.from_pydict({
+            "block": np.full(len(b), name), "bucket": pa.array(b, pa.int64()), "hashes": pa.array(hashes, pa.binary()),
+            "often": pa.array(hot, pa.binary()), "times": pa.array(n, pa.binary())})
+
+
+def _counted(rows: pa.Table, bits: int) -> pa.Table:
+    """The rows of a bucket with the document frequency of each hash in its place."""
+    bucket = rows["bucket"][0].as_py()
+    if bucket < 0:
+        return rows
+    low = [np.frombuffer(b, dtype=np.uint8).reshape(-1, 7) for b in rows["hashes"].to_pylist()]
+    often = [np.frombuffer(b, dtype=np.uint64) for b in rows["often"].to_pylist()]
+    times = [np.frombuffer(b, dtype=np.int64) for b in rows["times"].to_pylist()]
+    whole = np.empty((sum(map(len, low)), 8), dtype=np.uint8)
+    whole[:, :7] = np.concatenate(low)
+    whole[:, 7] = bucket >> (bits - 8)
+    _, which = np.unique(np.concatenate([whole.view(np.uint64).ravel(), *often]), return_inverse=True)
+    df = np.bincount(which, np.concatenate([np.ones(len(whole), dtype=np.int64), *times]))[which]
+    parts = np.split(df, np.cumsum([len(x) for x in (*low, *often)])[:-1])
+    for name, values in (("hashes", parts[:len(low)]), ("often", parts[len(low):])):
+        rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(
+            [_press(v, np.uint32) for v in values], pa.binary()))
+    return rows.set_column(rows.schema.get_field_index("times"), "times", pa.nulls(len(rows), pa.binary()))
+
+
+def _returned(rows: pa.Table) -> pa.Table:
+    """The texts of a block, each with the document frequencies of its shingles."""
+    found = sorted(zip(*(rows[c].to_pylist() for c in ("bucket", "hashes", "often")), strict=True), key=lambda r: r[0])
+    (_, back, ends), found = found[0], found[1:]
+    ends = np.frombuffer(ends, dtype=np.int64).tolist()
+    keys, sizes, bucket, common, which = (_spread(back[a:b], kind) for a, b, kind in zip(
+        [0, *ends], ends, (np.int64, np.uint32, np.int32, np.uint32, np.uint32), strict=False))
+    rare, often = (np.concatenate([np.zeros(0, np.uint32), *(_spread(r[i], np.uint32) for r in found)]) for i in (1, 2))
+    df = np.zeros(int(sizes.sum()), dtype=np.uint32)
+    df[common] = often[which]
+    alone = np.ones(len(df), dtype=bool)
+    alone[common] = False
+    df[np.flatnonzero(alone)[np.argsort(np.cumsum(bucket), kind="stable")]] = rare
+    texts = np.split(df, np.cumsum(sizes.astype(np.int64))[:-1])
+    return pa.table({"doc_key": keys, "df": pa.array([_press(t, np.uint32) for t in texts], pa.binary())})
+
+
+def _weighed(batch: pa.RecordBatch, body: int, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, weight) of the shingles of texts; their frequencies follow their column."""
+    h, owner, times = shingles(plain(batch.column(body)))
+    return h, owner, weights.counted(np.frombuffer(b"".join(plain(batch.column(body + 1))), dtype=np.uint32), times)
+
+
+def _links(distinct: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """(a, b) of texts (doc_key) at the threshold or above, enough of them to connect every class."""
     def sign(batches):
         for batch in portions(batches, 1):
-            h, owner, times = shingles(plain(batch.column(1)))
+            h, owner, w = _weighed(batch, 1, weights)
             if len(h):
-                numbers, keys = band_keys(h, owner, weights.value.of(h, times))
+                numbers, keys = band_keys(h, owner, w)
                 yield pa.RecordBatch.from_pydict({
                     "band": keys.ravel().view(np.int64),
                     "doc_key": np.repeat(batch.column(0).to_numpy()[numbers], BANDS)})
 
     def weigh(batches):
         for batch in portions(batches, 1):
-            h, owner, times = shingles(plain(batch.column(1)))
-            yield pa.RecordBatch.from_pydict({
-                "h": h.view(np.int64), "doc_key": batch.column(0).to_numpy()[owner], "w": weights.value.of(h, times)})
+            h, owner, w = _weighed(batch, 1, weights)
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "doc_key": batch.column(0).to_numpy()[owner], "w": w})
 
     bands = stored(distinct.mapInArrow(sign, "band long, doc_key long"), "minhash")
     members = stored(_shared(bands), "minhash")
@@ -306,41 +398,35 @@ def _shared(bands: DataFrame) -> DataFrame:
     return bands.join(several, "band", "left_semi")
 
 
-def _mass(weights):
+def _mass(weights: Weights):
     def run(batches):
         for batch in portions(batches, 1):
-            h, owner, times = shingles(plain(batch.column(1)))
+            _, owner, w = _weighed(batch, 1, weights)
             yield pa.RecordBatch.from_pydict({"doc_key": batch.column(0), "mass": np.bincount(
-                owner, weights.value.of(h, times), minlength=batch.num_rows)})
+                owner, w, minlength=batch.num_rows)})
 
     return run
 
 
-def _verify(distinct: DataFrame, pairs: DataFrame, weights, threshold: float) -> DataFrame:
+def _verify(distinct: DataFrame, pairs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
     def run(batches):
         last: tuple = (None, None)
-        for batch in portions(batches, 3):
-            texts = plain(batch.column(3))
+        for batch in portions(batches, 4):
             keep = []
-            for n, (a, b_text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+            for n, a in enumerate(batch.column(0).to_pylist()):
+                one = batch.slice(n, 1)
                 if last[0] != a:
-                    last = (a, _vector(plain(batch.column(2).slice(n, 1))[0], weights.value))
-                keep.append(similarity(last[1], _vector(b_text, weights.value)) >= threshold)
+                    last = (a, _weighed(one, 2, weights)[::2])
+                keep.append(similarity(last[1], _weighed(one, 4, weights)[::2]) >= threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
     # Texts of b come to the pairs; texts of a, of which one may be in very many pairs, come in a
     # join that can be split.
-    with_b = pairs.join(distinct.select(F.col("doc_key").alias("b"), F.col("body").alias("body_b")), "b")
-    of_a = distinct.join(pairs.select(F.col("a").alias("doc_key")).distinct(), "doc_key")
-    of_a = of_a.select(F.col("doc_key").alias("a"), F.col("body").alias("body_a"))
-    return with_b.join(of_a, "a").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
-
-
-def _vector(text: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    h, _, times = shingles([text])
-    return h, weights.of(h, times)
+    with_b = pairs.join(distinct.toDF("b", "body_b", "df_b"), "b")
+    of_a = distinct.join(pairs.select(F.col("a").alias("doc_key")).distinct(), "doc_key").toDF("a", "body_a", "df_a")
+    return with_b.join(of_a, "a").select("a", "b", "body_a", "df_a", "body_b", "df_b").mapInArrow(run, "a long, b long")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -361,4 +447,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", "kept")
+    return classes(docs, common=NO_LEAST).select("doc_id", "class_id", "kept")

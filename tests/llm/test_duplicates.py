@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from querykiln.llm import embedding_dedup, minhash_dedup, substring_dedup
 from querykiln.llm.components import components
@@ -95,6 +96,44 @@ def test_minhash_classes_equal_brute_force(spark, frame):
         assert got[i] == (want, want == i), i
 
 
+@pytest.mark.parametrize("block, repeats", [(1 << 20, 64), (500, 3), (1, 1)])
+def test_document_frequencies_are_exact(spark, frame, block, repeats):
+    from pyarrow import array
+
+    from querykiln.llm.words import plain
+
+    texts = sorted({t for _, t in near_docs() if t is not None})
+    press = zstandard.ZstdCompressor().compress
+    found = minhash_dedup._frequencies(frame(
+        [(n - 50, bytearray(press(t.encode()))) for n, t in enumerate(texts)], "doc_key long, body binary"),
+        1 << 29 if block == 500 else 0, block, repeats).collect()
+    hashes = [minhash_dedup.shingles([t.encode()])[0] for t in texts]
+    df = Counter(x for h in hashes for x in h.tolist())
+    got = {r.doc_key: np.frombuffer(plain(array([bytes(r.df)]))[0], dtype=np.uint32).tolist() for r in found}
+    assert got == {n - 50: [df[x] for x in h.tolist()] for n, h in enumerate(hashes)} and max(df.values()) > 30
+
+
+def test_minhash_weighs_by_tf_idf(spark, frame, tmp_path):
+    rng = random.Random(7)
+    header = " ".join(prose(rng, 60))  # in few of the texts, but most of the words of those
+    docs = near_docs() + [(1000 + i, header + " " + " ".join(prose(rng, 5))) for i in range(30)] + [
+        (2000 + i, " ".join(prose(rng, 20))) for i in range(200)]
+    frame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash_dedup.op1_minhash_dedup(spark, str(tmp_path)).collect()}
+    first = {}
+    for i, t in docs:
+        if t is not None:
+            first.setdefault(t, i)
+    shingled = {i: minhash_dedup.shingles([t.encode()])[::2] for t, i in first.items()}
+    df = Counter(x for h, _ in shingled.values() for x in h.tolist())
+    vectors = {i: (h, times * np.log1p(len(first) / np.array([df[x] for x in h.tolist()]))) for i, (h, times) in shingled.items()}
+    ids = sorted(vectors)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if minhash_dedup.similarity(vectors[a], vectors[b]) >= 0.8]
+    root = roots(ids, links)
+    assert len(links) > 40 and got == {i: (i, True) if t is None else (root[first[t]], root[first[t]] == i) for i, t in docs}
+    assert all(got[1000 + i] == (1000 + i, True) for i in range(30))
+
+
 def test_minhash_keeps_one_row_of_each_class(spark, frame):
     rng = random.Random(2)
     text = " ".join(prose(rng, 50))
