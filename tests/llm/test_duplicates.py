@@ -134,6 +134,16 @@ def test_minhash_weighs_by_tf_idf(spark, frame, tmp_path):
     assert all(got[1000 + i] == (1000 + i, True) for i in range(30))
 
 
+def test_pipeline_keeps_texts_that_share_a_header(spark, frame):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    header = " ".join(prose(rng, 60))
+    texts = [header + " " + " ".join(prose(rng, 5)) for _ in range(30)] + [" ".join(prose(rng, 20)) for _ in range(200)]
+    docs = frame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == list(range(230))
+
+
 def test_minhash_keeps_one_row_of_each_class(spark, frame):
     rng = random.Random(2)
     text = " ".join(prose(rng, 50))
