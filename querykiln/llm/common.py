@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from querykiln.session import shared_folder
 
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "4m"  # of rows that Spark and a Python worker pass each other at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches have up to BATCH_BYTES, however many rows that is.
+
+    Spark's own limit, 10,000 rows or 64 MB, has each task hold some 25 MB of texts several times over, outside
+    the heap and in its Python worker. The setting stays with the session: plans run when they are written.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over the batches of a task; then the memory that it freed goes back to the system.
+
+    Workers stay for later tasks, and what one task needed at its peak would stay with them.
+    """
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def thinned(rows: DataFrame, h: Column, share: Column | float) -> DataFrame:
     """An even share of the rows by their hash, picked where they are; all rows if the share is 1 or more.
 
@@ -74,7 +100,7 @@ def arrow_columns(df: DataFrame, inputs: dict[str, Column | str], schema: str,
                 [batch.column(0), *columns], names=["kept", *(f"out_{f.name}" for f in arrow)])
 
     out = packed.mapInArrow(
-        run, "kept " + packed.schema["kept"].dataType.simpleString() + ", "
+        gives_back(run), "kept " + packed.schema["kept"].dataType.simpleString() + ", "
         + ", ".join(f"out_{f.name} {f.dataType.simpleString()}" for f in added))
     taken = {f.name.lower() for f in added}
     return out.select(*[F.col(f"kept.`{c}`") for c in df.columns if c.lower() not in taken],

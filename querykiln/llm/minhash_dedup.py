@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import partitions, stored, table
+from querykiln.llm.common import gives_back, partitions, stored, table
 from querykiln.llm.components import components
 from querykiln.llm.decontamination import _FOLD
 from querykiln.llm.words import gram_hashes, mixed, plain, portions, texts_by_key, word_hashes
@@ -201,7 +201,7 @@ def _frequencies(distinct: DataFrame, size: int, block: int = BLOCK_SHINGLES, re
     schema = "block long, bucket long, hashes binary, often binary, times binary"
     spark = distinct.sparkSession
     n, name = partitions(spark), f"querykiln_frequencies_{uuid.uuid4().hex}"
-    dealt = distinct.select("doc_key", "body").mapInArrow(deal, schema).repartition(
+    dealt = distinct.select("doc_key", "body").mapInArrow(gives_back(deal), schema).repartition(
         max(n, size // (2 * BUCKET_BYTES)), "bucket")
     counted = dealt.groupBy("bucket").applyInArrow(lambda rows: _counted(rows, bits), schema)
     found = counted.groupBy("block").applyInArrow(_returned, "doc_key long, df binary")
@@ -309,15 +309,15 @@ def _links(distinct: DataFrame, weights: Weights, threshold: float) -> DataFrame
             h, owner, w = _weighed(batch, 1, weights)
             yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "doc_key": batch.column(0).to_numpy()[owner], "w": w})
 
-    bands = stored(distinct.mapInArrow(sign, "band long, doc_key long"), "minhash")
+    bands = stored(distinct.mapInArrow(gives_back(sign), "band long, doc_key long"), "minhash")
     members = stored(_shared(bands), "minhash")
     weighed = distinct.join(members.select("doc_key").distinct(), "doc_key").mapInArrow(
-        weigh, "h long, doc_key long, w double")
+        gives_back(weigh), "h long, doc_key long, w double")
     # A shingle of one candidate only is that text's own; its owner's weight is out of reach.
     per = weighed.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_key").alias("doc_key"), F.sum("w").alias("w"))
     own = per.where("n = 1").groupBy("doc_key").agg(F.sum("w").alias("own"))
     mass = distinct.join(members.select("doc_key").distinct(), "doc_key").mapInArrow(
-        _mass(weights), "doc_key long, mass double")
+        gives_back(_mass(weights)), "doc_key long, mass double")
     able = mass.join(own, "doc_key", "left").select(
         "doc_key", "mass", (F.col("mass") - F.coalesce("own", F.lit(0.0))).alias("common"))
     able = stored(able.where(F.col("common") >= threshold * F.col("mass") * (1 - 1e-9)), "minhash")
@@ -361,7 +361,7 @@ def _remaining(distinct: DataFrame, rest: DataFrame, able: DataFrame, weigh, thr
     large = rest.where(F.col("n") > SMALL)
     texts = large.select("doc_key", "component").distinct()
     shingled = stored(distinct.join(texts.select("doc_key").distinct(), "doc_key").mapInArrow(
-        weigh, "h long, doc_key long, w double"), "minhash")
+        gives_back(weigh), "h long, doc_key long, w double"), "minhash")
     few = shingled.groupBy("h").agg(F.count("*").alias("of")).where(F.col("of") <= FEW)
     rare = stored(shingled.join(few, "h"), "minhash")
     share = rare.where("of > 1").select("h", "doc_key").join(texts, "doc_key")
@@ -426,7 +426,7 @@ def _verify(distinct: DataFrame, pairs: DataFrame, weights: Weights, threshold:
     # join that can be split.
     with_b = pairs.join(distinct.toDF("b", "body_b", "df_b"), "b")
     of_a = distinct.join(pairs.select(F.col("a").alias("doc_key")).distinct(), "doc_key").toDF("a", "body_a", "df_a")
-    return with_b.join(of_a, "a").select("a", "b", "body_a", "df_a", "body_b", "df_b").mapInArrow(run, "a long, b long")
+    return with_b.join(of_a, "a").select("a", "b", "body_a", "df_a", "body_b", "df_b").mapInArrow(gives_back(run), "a long, b long")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -441,7 +441,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     out = kept.select("row", "body").mapInArrow(
-        run, f"row {kept.schema['row'].dataType.simpleString()}, text string")
+        gives_back(run), f"row {kept.schema['row'].dataType.simpleString()}, text string")
     return out.select(*[F.col("text") if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import arrow_columns, plain_names, stored, table
+from querykiln.llm.common import arrow_columns, gives_back, plain_names, stored, table
 from querykiln.llm.words import word_hashes
 
 ORDER = 5
@@ -92,7 +92,7 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"),
                        F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null and length(text) > 0")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    packed = rows.mapInArrow(run, f"doc_id {kind}, lang string, body binary")
+    packed = rows.mapInArrow(gives_back(run), f"doc_id {kind}, lang string, body binary")
     ids = trusted.select("doc_id", F.lit(False).alias("toxic"))
     if toxic is not None:
         ids = ids.union(toxic.select("doc_id", F.lit(True)))
@@ -127,7 +127,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for lang, (keys, n) in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "gram": keys, "n": n})
 
-    counts = texts.mapInArrow(run, "lang string, gram long, n long")
+    counts = texts.mapInArrow(gives_back(run), "lang string, gram long, n long")
     return stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
@@ -185,7 +185,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     "lang": pa.array([lang] * len(word), pa.string()), "toxic": pa.array([toxic] * len(word), pa.bool_()),
                     "word": word, "n": n.astype(np.int64)})
 
-    counts = texts.select("lang", "body", "toxic").mapInArrow(run, "lang string, toxic boolean, word long, n long")
+    counts = texts.select("lang", "body", "toxic").mapInArrow(gives_back(run), "lang string, toxic boolean, word long, n long")
     return counts.groupBy("lang", "toxic", "word").agg(F.sum("n").alias("n"))
 
 
@@ -204,7 +204,7 @@ def count_neighbours(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([lang] * len(word), pa.string()), "word": word, "before": before})
 
-    pairs = texts.select("lang", "body").mapInArrow(run, "lang string, word long, before long").distinct()
+    pairs = texts.select("lang", "body").mapInArrow(gives_back(run), "lang string, word long, before long").distinct()
     return pairs.groupBy("lang", "word").agg(F.count("*").alias("before"))
 
 
@@ -458,7 +458,7 @@ def fit(texts: DataFrame, bucket_grams: int = BUCKET_GRAMS, quantile: float = QU
                 names=["lang", "s", "n", "gain", "words"])
 
     scored = stored(held.select("lang", "body").mapInArrow(
-        run, "lang string, s double, n long, gain double, words long"), "trusted")
+        gives_back(run), "lang string, s double, n long, gain double, words long"), "trusted")
     means = scored.groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("mean"))
     smooth = (F.col("s") + prior * F.col("mean")) / (F.col("n") + prior)
     limits = scored.join(F.broadcast(means), "lang").groupBy("lang").agg(

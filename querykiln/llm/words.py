@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querykiln.llm.common import partitions
+from querykiln.llm.common import gives_back, partitions
 from querykiln.session import shared_folder
 
 SEGMENT_BYTES = 256 << 10  # hashed at once; takes some 40 times its size for a moment
@@ -152,7 +152,7 @@ def texts_by_key(docs: DataFrame, doc_id: str, text: str, purpose: str, keep: bo
     n = partitions(spark)
     name = f"querykiln_{purpose}_{uuid.uuid4().hex}"
     row_kind = f", row {rows.schema['row'].dataType.simpleString()}" if keep else ""
-    (rows.mapInArrow(run, f"doc_id {kind}, doc_key long, text_key binary, body binary{row_kind}")
+    (rows.mapInArrow(gives_back(run), f"doc_id {kind}, doc_key long, text_key binary, body binary{row_kind}")
      .repartition(n, "doc_key").write.bucketBy(n, "doc_key").option("path", shared_folder(spark, purpose))
      .option("compression", "uncompressed").saveAsTable(name))
     return spark.table(name)
