@@ -43,7 +43,7 @@ NO_LEAST = 0.0
 PIVOT_ROUNDS = 3
 SMALL = 4  # texts of a bucket that meet without further ado
 FEW = 16   # texts that a rare shingle is in
-BLOCK_SHINGLES = 1 << 20  # of texts that a task counts and deals out together
+BLOCK_SHINGLES = 1 << 19  # of texts that a task counts and deals out together
 BUCKET_BYTES = 1 << 20    # compressed text, some 300,000 shingles, for each bucket of hashes
 REPEATS = 64              # a shingle in more texts of a block is dealt out once, with their number
 NO_ID = (1 << 63) - 1

@@ -16,7 +16,7 @@ from querykiln.llm.common import gives_back, partitions
 from querykiln.session import shared_folder
 
 SEGMENT_BYTES = 256 << 10  # hashed at once; takes some 40 times its size for a moment
-PORTION_BYTES = 1 << 20    # of texts, as they are stored, that a task holds at once
+PORTION_BYTES = 256 << 10  # of texts, as they are stored, that a task holds at once
 _PRIME = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
