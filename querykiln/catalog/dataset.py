@@ -153,8 +153,9 @@ def dataset_manifest_row(spark, sf_dir: str) -> DataFrame:
     row = curation.dataset_manifest(new, "v4.1", F.col("example_id"))
     joined = lambda a: F.array_join(F.transform(F.map_entries(a), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(a)
-    return row.select("version", "selected_candidates", *[joined(a.removeprefix("axis_")) for a in AXES]).crossJoin(
-        curation.change_digests(changes))
+    both = row.select("version", "selected_candidates", *[joined(a.removeprefix("axis_")) for a in AXES]).unionByName(
+        curation.change_digests(changes), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])  # of two single rows, each column is in one
 
 
 def ablation_subsets(spark, sf_dir: str) -> DataFrame:
